@@ -1,0 +1,18 @@
+"""Broadcast only behind a measured bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Return ``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
+    (the join then shuffles both sides, and AQE splits skewed partitions).
+
+    The check runs ``limit(max_rows + 1).count()``: a bounded job that stops
+    reading once the bound is passed."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
