@@ -75,7 +75,7 @@ def sequence_features(df: DataFrame, keys: list[str], order: list[str], chunk: C
     summ = loc.groupBy(*keys, "_chunk").agg(*aggs)
     w_chunks = Window.partitionBy(*keys).orderBy("_chunk")
     before = w_chunks.rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*keys, "_chunk"]
+    cols = [*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_schunk")]
     if carry_prev:
         cols.append(F.lag("_last").over(w_chunks).alias("_cp"))
     if carry_next:
@@ -84,15 +84,19 @@ def sequence_features(df: DataFrame, keys: list[str], order: list[str], chunk: C
         cols.append(_LOCAL[r.how](F.col(f"_t_{name}")).over(before).alias(f"_cb_{name}"))
     summ = summ.select(*cols)
 
-    cond = [loc[k].eqNullSafe(summ[k]) for k in keys] + [loc["_chunk"] == summ["_chunk"]]
-    j = loc.join(summ, cond, "left")
-    out = [loc[c] for c in df.columns]
+    cond = [F.col(k).eqNullSafe(F.col(f"_sk{i}")) for i, k in enumerate(keys)]
+    cond.append(F.col("_chunk") == F.col("_schunk"))
+    c = cond[0]
+    for x in cond[1:]:
+        c = c & x
+    j = loc.join(summ, c, "left")
+    out = [F.col(c) for c in df.columns]
     for c in carry_prev:
-        out.append(F.when(loc["_lp"].isNull(), summ["_cp"][c]).otherwise(loc["_lp"][c])
+        out.append(F.when(F.col("_lp").isNull(), F.col("_cp")[c]).otherwise(F.col("_lp")[c])
                    .alias(f"prev_{c}"))
     for c in carry_next:
-        out.append(F.when(loc["_ln"].isNull(), summ["_cn"][c]).otherwise(loc["_ln"][c])
+        out.append(F.when(F.col("_ln").isNull(), F.col("_cn")[c]).otherwise(F.col("_ln")[c])
                    .alias(f"next_{c}"))
     for name, r in running.items():
-        out.append(_combine(r.how, summ[f"_cb_{name}"], loc[f"_lr_{name}"]).alias(name))
+        out.append(_combine(r.how, F.col(f"_cb_{name}"), F.col(f"_lr_{name}")).alias(name))
     return j.select(*out)

@@ -42,8 +42,8 @@ def error_code(event_id: Column, entity_id: Column, coords: Column,
         chain = chain.when(~json_ok, F.lit("INVALID_JSON"))
     return (chain.when(coords.isNull(), F.lit("MISSING_COORDINATES"))
             .when(F.size(coords) != 2, F.lit("INVALID_COORDINATES_LENGTH"))
-            .when(~in_range(coords[0], S.LON_MIN, S.LON_MAX), F.lit("INVALID_LONGITUDE"))
-            .when(~in_range(coords[1], S.LAT_MIN, S.LAT_MAX), F.lit("INVALID_LATITUDE")))
+            .when(~in_range(F.get(coords, 0), S.LON_MIN, S.LON_MAX), F.lit("INVALID_LONGITUDE"))
+            .when(~in_range(F.get(coords, 1), S.LAT_MIN, S.LAT_MAX), F.lit("INVALID_LATITUDE")))
 
 
 def validate_updates(df: DataFrame, strict_json: bool = False) -> DataFrame:
@@ -73,7 +73,7 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     ts = "ts_ms" if "ts_ms" in validated.columns else "received_ms"
     accepted = validated.filter(F.col("error_code").isNull()).select(
         "event_id", "entity_id",
-        F.col("coordinates")[0].alias("longitude"), F.col("coordinates")[1].alias("latitude"),
+        F.get("coordinates", 0).alias("longitude"), F.get("coordinates", 1).alias("latitude"),
         F.col(ts).alias("ts_ms"), *(["seq"] if "seq" in validated.columns else []))
     rejected = validated.filter(F.col("error_code").isNotNull()).withColumn("status", F.lit(400))
     return accepted, rejected
@@ -90,8 +90,8 @@ def error_payload(rejected: DataFrame) -> DataFrame:
 
     The code table is a constant map folded into the projection: no join at all."""
     code = F.col("error_code")
-    value = F.when(code == "INVALID_LONGITUDE", F.col("coordinates")[0]) \
-        .when(code == "INVALID_LATITUDE", F.col("coordinates")[1])
+    value = F.when(code == "INVALID_LONGITUDE", F.get("coordinates", 0)) \
+        .when(code == "INVALID_LATITUDE", F.get("coordinates", 1))
     details = F.when(value.isNotNull() | code.isin("INVALID_LONGITUDE", "INVALID_LATITUDE"),
                      F.struct(_lookup(S.ERROR_FIELD, code).alias("field"), value.alias("value"),
                               _lookup(S.ERROR_CONSTRAINT, code).alias("constraint")))

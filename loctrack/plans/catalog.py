@@ -75,6 +75,360 @@ def q_snapshot_as_of(spark, d):
     return C.snapshot_as_of(ST.updates(spark, d), SNAPSHOT_AT_MS, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
 
 
+
+def W(*standins: str, extra: list[tuple[str, str]] = ()) -> str:
+    """WITH clause: stand-in views plus extra named views."""
+    head = with_views(*standins).rstrip()
+    for name, body in extra:
+        head += f",\n{name} AS (\n{body}\n)"
+    return head + "\n"
+
+
+def _uuid_of(text: str) -> str:
+    import hashlib
+    h = hashlib.md5(text.encode()).hexdigest()
+    return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
+
+
+from loctrack.plans import sqltext as Q  # noqa: E402
+
+END_MS = ORIGIN_MS + 30 * DAY_MS        # 2024-01-31 00:00 UTC
+MID_MS = ORIGIN_MS + 15 * DAY_MS        # 2024-01-16 00:00 UTC
+_TTL_S = (LOC_TTL_MS // 1000) * 1000
+
+# ---- shared SQL fragments --------------------------------------------------------------
+_RS = f"{ORIGIN_MS} + greatest({Q.ceil_div(f'ts_ms + {_TTL_S} - {ORIGIN_MS}', LOC_SWEEP_MS)}, 1) * {LOC_SWEEP_MS}"
+VERSIONS = ("versions", f"""
+SELECT *, CASE WHEN next_ts_ms IS NULL OR next_ts_ms > rs THEN rs END AS removed_at_ms,
+  coalesce(CASE WHEN next_ts_ms IS NULL OR next_ts_ms > rs THEN rs END, next_ts_ms) AS end_ms
+FROM (SELECT *, lead(ts_ms) OVER (PARTITION BY event_id, entity_id ORDER BY ts_ms, seq) AS next_ts_ms,
+        {_RS} AS rs FROM updates)""")
+_ISL_ORDER = "ORDER BY ts_ms, entity_id, seq"
+PRESENCE = ("presence", f"""
+SELECT event_id, island_no, min(ts_ms) AS present_from_ms, max(end_ms) AS removed_at_ms,
+  count(*) AS n_updates, count(DISTINCT entity_id) AS n_entities
+FROM (SELECT *, CAST(sum(CASE WHEN prev_end IS NULL OR ts_ms > prev_end THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY event_id {_ISL_ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island_no
+      FROM (SELECT *, max(end_ms) OVER (PARTITION BY event_id {_ISL_ORDER}
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM versions))
+GROUP BY event_id, island_no""")
+_K = Q.floor_div(f"v.subscribed_ms - {ORIGIN_MS}", LOC_SWEEP_MS)
+SNAPVIEW = ("snapview", f"""
+SELECT v.viewer_id, u.event_id, u.entity_id, u.longitude, u.latitude, u.ts_ms, u.seq, v.subscribed_ms
+FROM versions u JOIN viewers v ON u.event_id = v.event_id AND u.ts_ms <= v.subscribed_ms
+  AND (u.next_ts_ms IS NULL OR u.next_ts_ms > v.subscribed_ms)
+WHERE {_K} < 1 OR u.ts_ms > {ORIGIN_MS} + {_K} * {LOC_SWEEP_MS} - {_TTL_S}""")
+FANOUT = ("fanout", """
+SELECT v.viewer_id, u.event_id, u.entity_id, u.longitude, u.latitude, u.ts_ms, u.seq, v.subscribed_ms
+FROM updates u JOIN viewers v ON u.event_id = v.event_id AND u.ts_ms > v.subscribed_ms
+  AND (v.left_ms IS NULL OR u.ts_ms <= v.left_ms)""")
+STREAM = ("stream", """
+SELECT *, CAST(row_number() OVER (PARTITION BY viewer_id ORDER BY deliver_ms, phase, ts_ms, seq, entity_id) AS BIGINT) AS msg_no
+FROM (SELECT *, 0 AS phase, subscribed_ms AS deliver_ms FROM snapview
+      UNION ALL SELECT *, 1 AS phase, ts_ms AS deliver_ms FROM fanout)""")
+_STREAM_VIEWS = ["updates", "viewers"]
+_STREAM_EXTRA = [VERSIONS, SNAPVIEW, FANOUT, STREAM]
+GRID = ("grid", f"""
+SELECT *, {Q.grid_floor('deliver_ms', ORIGIN_MS, BATCH_INTERVAL_MS)} AS window_ms,
+  ((row_number() OVER (PARTITION BY viewer_id, {Q.grid_floor('deliver_ms', ORIGIN_MS, BATCH_INTERVAL_MS)}
+     ORDER BY deliver_ms, phase, ts_ms, seq, entity_id)) - 1) // {BATCH_SIZE} AS batch_no,
+  (row_number() OVER (PARTITION BY viewer_id, {Q.grid_floor('deliver_ms', ORIGIN_MS, BATCH_INTERVAL_MS)}
+     ORDER BY deliver_ms, phase, ts_ms, seq, entity_id) - 1) % {BATCH_SIZE} AS pos
+FROM stream""")
+
+
+def _updates(spark, d):
+    return ST.updates(spark, d)
+
+
+def _stream(spark, d, viewers=None):
+    from loctrack.operators import joins as D
+    return D.viewer_stream(_updates(spark, d), viewers if viewers is not None else ST.viewers(spark, d),
+                           LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+
+
+# =========================================================================== A/B: raw requests
+_RAW_SQL = """
+SELECT seq, CASE WHEN n_coords IS NULL OR isnan(lon) THEN NULL ELSE n_coords END AS n_coords,
+  CASE WHEN n_coords IS NULL OR isnan(lon) THEN NULL ELSE lon END AS longitude,
+  CASE WHEN n_coords IS NULL OR isnan(lon) OR n_coords < 2 THEN NULL ELSE lat END AS latitude
+FROM updates_raw"""
+
+
+@query("body_coordinates", W("updates_raw") + _RAW_SQL)
+def q_body_coordinates(spark, d):
+    raw = ST.raw_requests(spark, d)
+    c = V.coordinates_from_body("body")
+    return raw.select("seq", F.when(c.isNotNull(), F.size(c)).alias("n_coords"),
+                      F.get(c, 0).alias("longitude"), F.get(c, 1).alias("latitude"))
+
+
+@query("validate_raw", W("updates_raw") + f"""
+SELECT seq, event_key AS event_id, entity_key AS entity_id,
+  CASE WHEN NOT {Q.is_valid_uuid('event_key')} THEN 'INVALID_SKATING_EVENT_ID'
+       WHEN NOT {Q.is_valid_uuid('entity_key')} THEN 'INVALID_SKATER_ID'
+       WHEN n_coords IS NULL OR isnan(lon) THEN 'MISSING_COORDINATES'
+       WHEN n_coords <> 2 THEN 'INVALID_COORDINATES_LENGTH'
+       WHEN NOT {Q.in_range('lon', -180.0, 180.0)} THEN 'INVALID_LONGITUDE'
+       WHEN NOT {Q.in_range('lat', -90.0, 90.0)} THEN 'INVALID_LATITUDE' END AS error_code
+FROM updates_raw""")
+def q_validate_raw(spark, d):
+    return V.validate_updates(ST.raw_requests(spark, d)).select("seq", "event_id", "entity_id", "error_code")
+
+
+@query("accepted_updates", W("updates") + "SELECT * FROM updates")
+def q_accepted_updates(spark, d):
+    return _updates(spark, d)
+
+
+@query("rejected_payloads", W("updates_raw", "validated") + """
+SELECT seq, error_code AS error,
+  CASE error_code
+    WHEN 'INVALID_SKATING_EVENT_ID' THEN 'Skating event ID must be a valid UUID'
+    WHEN 'INVALID_SKATER_ID' THEN 'Skater ID must be a valid UUID'
+    WHEN 'MISSING_COORDINATES' THEN 'Request must contain ''coordinates'' field with array of numbers'
+    WHEN 'INVALID_COORDINATES_LENGTH' THEN 'Coordinates array must contain exactly 2 numbers [longitude, latitude]'
+    WHEN 'INVALID_LONGITUDE' THEN 'Longitude must be between -180.0 and 180.0'
+    WHEN 'INVALID_LATITUDE' THEN 'Latitude must be between -90.0 and 90.0' END AS message,
+  CASE error_code WHEN 'INVALID_LONGITUDE' THEN 'coordinates[0]' WHEN 'INVALID_LATITUDE' THEN 'coordinates[1]' END AS detail_field,
+  CASE error_code WHEN 'INVALID_LONGITUDE' THEN lon WHEN 'INVALID_LATITUDE' THEN lat END AS detail_value,
+  CASE error_code WHEN 'INVALID_LONGITUDE' THEN 'range(-180.0, 180.0)' WHEN 'INVALID_LATITUDE' THEN 'range(-90.0, 90.0)' END AS detail_constraint,
+  400 AS status
+FROM validated WHERE error_code IS NOT NULL""")
+def q_rejected_payloads(spark, d):
+    _, rej = V.split_valid(V.validate_updates(ST.updates_raw(spark, d)))
+    p = V.error_payload(rej)
+    return p.select("seq", "error", "message", F.col("details.field").alias("detail_field"),
+                    F.col("details.value").alias("detail_value"),
+                    F.col("details.constraint").alias("detail_constraint"), "status")
+
+
+_TWO_EVENTS = f" {_uuid_of('click')} , {_uuid_of('view')},, "
+
+
+@query("events_filter", W("updates") + f"""
+SELECT * FROM updates WHERE event_id IN ('{_uuid_of('click')}', '{_uuid_of('view')}')""")
+def q_events_filter(spark, d):
+    return V.for_events(_updates(spark, d), _TWO_EVENTS)
+
+
+# =========================================================================== C: keyed state
+@query("latest_locations", W("updates") + _LATEST_SQL.format(src="updates"))
+def q_latest_locations(spark, d):
+    return C.latest_locations(_updates(spark, d))
+
+
+@query("upsert", W("updates") + _LATEST_SQL.format(
+    src=f"(SELECT * FROM ({_LATEST_SQL.format(src=f'(SELECT * FROM updates WHERE ts_ms < {MID_MS})')}) "
+        f"UNION ALL SELECT * FROM updates WHERE ts_ms >= {MID_MS})"))
+def q_upsert(spark, d):
+    u = _updates(spark, d)
+    snap = C.latest_locations(u.filter(F.col("ts_ms") < MID_MS))
+    return C.upsert(snap, u.filter(F.col("ts_ms") >= MID_MS))
+
+
+@query("retain_live", W("updates") + f"""
+SELECT * FROM ({_LATEST_SQL.format(src="updates")}) WHERE ts_ms > {END_MS - _TTL_S}""")
+def q_retain_live(spark, d):
+    return C.retain_live(C.latest_locations(_updates(spark, d)), END_MS, LOC_TTL_MS)
+
+
+@query("sweep_summary", W("updates") + f"""
+SELECT event_id, count(*) AS n_before, count_if(ts_ms <= {SNAPSHOT_AT_MS - _TTL_S}) AS n_removed,
+  count_if(ts_ms > {SNAPSHOT_AT_MS - _TTL_S}) AS n_kept, count_if(ts_ms > {SNAPSHOT_AT_MS - _TTL_S}) = 0 AS emptied
+FROM ({_LATEST_SQL.format(src=f"(SELECT * FROM updates WHERE ts_ms <= {SNAPSHOT_AT_MS})")}) GROUP BY event_id""")
+def q_sweep_summary(spark, d):
+    snap = C.latest_locations(_updates(spark, d).filter(F.col("ts_ms") <= SNAPSHOT_AT_MS))
+    return C.sweep(snap, SNAPSHOT_AT_MS, LOC_TTL_MS)[1]
+
+
+@query("removal_log", W("updates", extra=[VERSIONS]) + """
+SELECT removed_at_ms AS sweep_ms, count(*) AS n_removed FROM versions
+WHERE removed_at_ms IS NOT NULL GROUP BY removed_at_ms""")
+def q_removal_log(spark, d):
+    return C.removal_log(_updates(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+
+
+@query("event_presence", W("updates", extra=[VERSIONS, PRESENCE]) + "SELECT * FROM presence")
+def q_event_presence(spark, d):
+    return C.event_presence(_updates(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+
+
+def _sessions_sql(removal) -> str:
+    return f"""
+SELECT event_id, session_no, min(access_ms) AS started_ms, max(access_ms) AS last_access_ms,
+  count(*) AS n_accesses, {removal('max(access_ms)')} AS removed_at_ms
+FROM (SELECT *, CAST(sum(CASE WHEN prev IS NULL OR access_ms > {removal('prev')} THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY event_id ORDER BY access_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no
+      FROM (SELECT *, lag(access_ms) OVER (PARTITION BY event_id ORDER BY access_ms) AS prev FROM accesses))
+GROUP BY event_id, session_no"""
+
+
+def _grid_removal(x: str) -> str:
+    return f"({ORIGIN_MS} + ({Q.floor_div(f'{x} + {CHAN_TTL_MS} - {ORIGIN_MS}', CHAN_SWEEP_MS)} + 1) * {CHAN_SWEEP_MS})"
+
+
+@query("channel_sessions", W("accesses") + _sessions_sql(_grid_removal))
+def q_channel_sessions(spark, d):
+    return C.channel_sessions(ST.accesses(spark, d), CHAN_TTL_MS, CHAN_SWEEP_MS, ORIGIN_MS)
+
+
+@query("channel_sessions_gap", W("accesses") + _sessions_sql(lambda x: f"({x} + {CHAN_TTL_MS})"))
+def q_channel_sessions_gap(spark, d):
+    return C.channel_sessions(ST.accesses(spark, d), CHAN_TTL_MS, None)
+
+
+@query("idle_channels", W("accesses") + f"""
+SELECT event_id, last_access_ms, {SNAPSHOT_AT_MS} - last_access_ms AS idle_ms FROM (
+  SELECT event_id, max(access_ms) AS last_access_ms FROM accesses WHERE access_ms <= {SNAPSHOT_AT_MS} GROUP BY event_id)
+WHERE last_access_ms < {SNAPSHOT_AT_MS - CHAN_TTL_MS}""")
+def q_idle_channels(spark, d):
+    return C.idle_channels(ST.accesses(spark, d), SNAPSHOT_AT_MS, CHAN_TTL_MS)
+
+
+# =========================================================================== D: joins
+from loctrack.operators import joins as D  # noqa: E402
+
+
+@query("fan_out", W("updates", "viewers", extra=[FANOUT]) + "SELECT * FROM fanout")
+def q_fan_out(spark, d):
+    return D.fan_out(_updates(spark, d), ST.viewers(spark, d))
+
+
+@query("snapshot_for_viewers", W("updates", "viewers", extra=[VERSIONS, SNAPVIEW]) + "SELECT * FROM snapview")
+def q_snapshot_for_viewers(spark, d):
+    return D.snapshot_for_viewers(_updates(spark, d), ST.viewers(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+
+
+@query("viewer_stream", W(*_STREAM_VIEWS, extra=_STREAM_EXTRA) + "SELECT * FROM stream")
+def q_viewer_stream(spark, d):
+    return _stream(spark, d)
+
+
+_OPEN_AT = f"subscribed_ms <= {SNAPSHOT_AT_MS} AND (left_ms IS NULL OR left_ms > {SNAPSHOT_AT_MS})"
+
+
+@query("stale_in_view", W("updates", extra=[
+    ("viewers", f"SELECT * FROM ({ST.SQL['viewers']}) WHERE {_OPEN_AT}"), *_STREAM_EXTRA]) + f"""
+SELECT viewer_id, event_id, entity_id, longitude, latitude, ts_ms, seq, {SNAPSHOT_AT_MS} - ts_ms AS age_ms
+FROM (SELECT *, row_number() OVER (PARTITION BY viewer_id, event_id, entity_id ORDER BY ts_ms DESC, seq DESC) AS rn
+      FROM stream WHERE deliver_ms <= {SNAPSHOT_AT_MS}) v
+WHERE rn = 1 AND NOT EXISTS (
+  SELECT 1 FROM ({_LATEST_SQL.format(src=f"(SELECT * FROM updates WHERE ts_ms <= {SNAPSHOT_AT_MS})")}) l
+  WHERE l.event_id = v.event_id AND l.entity_id = v.entity_id AND l.ts_ms > {_LAST_SWEEP - _TTL_S})""")
+def q_stale_in_view(spark, d):
+    vw = ST.viewers(spark, d).filter(F.expr(_OPEN_AT))
+    view = D.viewer_view_at(_stream(spark, d, vw), SNAPSHOT_AT_MS)
+    live = C.snapshot_as_of(_updates(spark, d), SNAPSHOT_AT_MS, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+    return D.stale_in_view(view, live, SNAPSHOT_AT_MS)
+
+
+_IDS_SQL = """
+SELECT DISTINCT event_id, trim(x) AS entity_id FROM (SELECT event_id, unnest(string_split(skater_ids, '|')) AS x FROM deliveries)
+WHERE trim(x) <> ''"""
+
+
+@query("isolation_check", W("deliveries") + f"""
+SELECT entity_id, count(*) AS n_events FROM ({_IDS_SQL}) GROUP BY entity_id HAVING count(*) > 1""")
+def q_isolation_check(spark, d):
+    return D.isolation_check(ST.deliveries(spark, d))
+
+
+# =========================================================================== E: windows
+from loctrack.operators import windows as E  # noqa: E402
+
+_GRID_ORDER = ["phase", "ts_ms", "seq", "entity_id"]
+
+
+def _grid(spark, d):
+    return E.batch_grid(_stream(spark, d), "viewer_id", "deliver_ms", BATCH_SIZE, BATCH_INTERVAL_MS,
+                        ORIGIN_MS, _GRID_ORDER)
+
+
+@query("batch_grid", W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, GRID]) + """
+SELECT viewer_id, msg_no, window_ms, batch_no FROM grid""")
+def q_batch_grid(spark, d):
+    return _grid(spark, d).select("viewer_id", "msg_no", "window_ms", "batch_no")
+
+
+def _batches(spark, d):
+    return E.to_batches(_grid(spark, d), ["viewer_id", "event_id"], BATCH_INTERVAL_MS,
+                        ["deliver_ms", *_GRID_ORDER])
+
+
+@query("to_batches", W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, GRID]) + f"""
+SELECT viewer_id, event_id, window_ms, batch_no, window_ms + {BATCH_INTERVAL_MS} AS serverTime,
+  count(*) AS n_locations, arg_min(entity_id, pos) AS first_skater, arg_max(ts_ms, pos) AS last_timestamp
+FROM grid GROUP BY viewer_id, event_id, window_ms, batch_no""")
+def q_to_batches(spark, d):
+    b = _batches(spark, d)
+    return b.select("viewer_id", "event_id", "window_ms", "batch_no", "serverTime",
+                    F.size("locations").alias("n_locations"),
+                    F.element_at("locations", 1)["skaterId"].alias("first_skater"),
+                    F.element_at("locations", -1)["timestamp"].alias("last_timestamp"))
+
+
+@query("group_within")
+def q_group_within(spark, d):
+    s = _stream(spark, d).select("viewer_id", "msg_no", "deliver_ms")
+    return E.group_within(s, "viewer_id", BATCH_SIZE, BATCH_INTERVAL_MS, ts="deliver_ms", order=["msg_no"])
+
+
+@query("newest_n", W("updates") + f"""
+SELECT event_id, entity_id, longitude, latitude, ts_ms, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts_ms DESC, seq DESC) AS rn FROM updates)
+WHERE rn <= {NEWEST_N}""")
+def q_newest_n(spark, d):
+    return E.newest_n(_updates(spark, d), NEWEST_N)
+
+
+@query("newest_n_dropped", W("updates") + f"""
+SELECT event_id, count(*) AS n_rows, greatest(count(*) - {NEWEST_N}, 0) AS n_dropped FROM updates GROUP BY event_id""")
+def q_newest_n_dropped(spark, d):
+    return E.dropped_count(_updates(spark, d), NEWEST_N)
+
+
+@query("viewer_table", W(*_STREAM_VIEWS, extra=_STREAM_EXTRA) + """
+SELECT viewer_id, entity_id, printf('%.6f', latitude) AS latitude_text, printf('%.6f', longitude) AS longitude_text,
+  strftime(make_timestamp(ts_ms * 1000), '%I:%M:%S %p') AS time_text, ts_ms
+FROM (SELECT *, row_number() OVER (PARTITION BY viewer_id, entity_id ORDER BY ts_ms DESC, seq DESC) AS rn FROM stream)
+WHERE rn = 1""")
+def q_viewer_table(spark, d):
+    return E.viewer_table(_stream(spark, d))
+
+
+@query("viewer_stats", W(*_STREAM_VIEWS, extra=_STREAM_EXTRA) + """
+SELECT viewer_id, count(DISTINCT entity_id) AS n_entities, max(ts_ms) AS last_update_ms, count(*) AS n_rows
+FROM stream GROUP BY viewer_id""")
+def q_viewer_stats(spark, d):
+    return E.viewer_stats(_stream(spark, d))
+
+
+@query("number_messages", W("deliveries") + """
+SELECT event_id, viewer_number, seq, receive_ms, error,
+  CAST(sum(CASE WHEN error = '' THEN 1 ELSE 0 END) OVER (PARTITION BY event_id, viewer_number
+       ORDER BY receive_ms, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS message_count
+FROM deliveries""")
+def q_number_messages(spark, d):
+    return E.number_messages(ST.deliveries(spark, d)).select(
+        "event_id", "viewer_number", "seq", "receive_ms", "error", "message_count")
+
+
+_IDLE_MS = 24 * HOUR_MS
+
+
+@query("resume_check", W("deliveries") + f"""
+SELECT event_id, viewer_number, prev AS silent_from_ms, receive_ms AS resumed_ms, receive_ms - prev AS silence_ms
+FROM (SELECT *, lag(receive_ms) OVER (PARTITION BY event_id, viewer_number ORDER BY receive_ms, seq) AS prev
+      FROM deliveries WHERE error = '')
+WHERE receive_ms - prev > {_IDLE_MS}""")
+def q_resume_check(spark, d):
+    return E.resume_check(ST.deliveries(spark, d), _IDLE_MS)
+
+
+def queries_defined():
+    return list(QUERIES)
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
