@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loctrack import schemas as S
@@ -46,8 +46,8 @@ def crash_scan(logs: DataFrame, tail: int | None = None) -> DataFrame:
     the only place a limit is the feature)."""
     src = logs
     if tail is not None:
-        w = Window.orderBy(F.col("line_no").desc())
-        src = logs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= tail).drop("_r")
+        # top-N: each task keeps its last ``tail`` lines, the driver merges N per task
+        src = logs.orderBy(F.col("line_no").desc()).limit(tail)
     txt = F.col("text") if "text" in src.columns else F.col("line")
     hit = F.lit(None).cast("string")
     for word in reversed(S.CRASH_INDICATORS):

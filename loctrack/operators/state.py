@@ -104,7 +104,7 @@ def removal_sweep(ts, ttl_ms: int, sweep_ms: int, origin_ms: int):
     return F.lit(origin_ms) + F.greatest(k, F.lit(1)) * F.lit(sweep_ms)
 
 
-def _versions(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int,
+def versions(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int,
               chunk_ms: int) -> DataFrame:
     """Every update with the next update of its key and its own end:
     ``removed_at`` (a sweep) or replaced at ``next_ts_ms``."""
@@ -118,7 +118,7 @@ def _versions(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int,
 def removal_log(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int = 0,
                 by_event: bool = False, chunk_ms: int = 86_400_000) -> DataFrame:
     """Rows removed per sweep time (sweeps that remove nothing are not listed)."""
-    v = _versions(updates, ttl_ms, sweep_ms, origin_ms, chunk_ms)
+    v = versions(updates, ttl_ms, sweep_ms, origin_ms, chunk_ms)
     keys = ["removed_at_ms"] + (["event_id"] if by_event else [])
     return v.filter(F.col("removed_at_ms").isNotNull()).groupBy(*keys) \
         .agg(F.count(F.lit(1)).alias("n_removed")).withColumnRenamed("removed_at_ms", "sweep_ms")
@@ -145,7 +145,7 @@ def event_presence(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: in
     An event appears with its first write and disappears at the sweep that
     leaves it empty.  Each update lives from its ts to its replacement or its
     removal; an event's presence is the union of these intervals."""
-    v = _versions(updates, ttl_ms, sweep_ms, origin_ms, chunk_ms)
+    v = versions(updates, ttl_ms, sweep_ms, origin_ms, chunk_ms)
     isl = _islands(v, "event_id", "ts_ms", "end_ms", ["ts_ms", "entity_id", "seq"], chunk_ms)
     return isl.groupBy("event_id", "island_no").agg(
         F.min("ts_ms").alias("present_from_ms"),

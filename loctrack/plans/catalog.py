@@ -426,6 +426,340 @@ def q_resume_check(spark, d):
     return E.resume_check(ST.deliveries(spark, d), _IDLE_MS)
 
 
+# =========================================================================== G: metrics
+from loctrack.operators import metrics as G  # noqa: E402
+
+
+@query("record_counts", W("publish_metrics") + """
+SELECT event_id, count(*) AS n_records FROM publish_metrics GROUP BY event_id""")
+def q_record_counts(spark, d):
+    return G.record_counts(ST.publish_metrics(spark, d))
+
+
+@query("error_summary", W("publish_metrics") + """
+SELECT event_id, count(*) AS n_records, count_if(error <> '') AS n_errors,
+  count_if(error <> '') / count(*) AS error_rate
+FROM publish_metrics GROUP BY event_id""")
+def q_error_summary(spark, d):
+    return G.error_summary(ST.publish_metrics(spark, d))
+
+
+_CLASS_SQL = "CASE " + " ".join(
+    f"WHEN starts_with(error, '{p}') THEN '{p}'" for p in sorted(G.S.ERROR_PREFIXES, key=len, reverse=True)
+) + " ELSE 'other' END"
+
+
+@query("error_classes", W("publish_metrics", "deliveries") + f"""
+SELECT 'publish' AS source, {_CLASS_SQL} AS error_class, count(*) AS n_errors FROM publish_metrics
+WHERE error <> '' GROUP BY 2
+UNION ALL
+SELECT 'delivery' AS source, {_CLASS_SQL} AS error_class, count(*) AS n_errors FROM deliveries
+WHERE error <> '' GROUP BY 2""")
+def q_error_classes(spark, d):
+    a = G.error_classes(ST.publish_metrics(spark, d)).select(F.lit("publish").alias("source"), "*")
+    b = G.error_classes(ST.deliveries(spark, d)).select(F.lit("delivery").alias("source"), "*")
+    return a.unionByName(b)
+
+
+@query("seen_entities", W("deliveries") + f"""
+SELECT event_id, count(*) AS n_entities FROM ({_IDS_SQL}) GROUP BY event_id""")
+def q_seen_entities(spark, d):
+    return G.seen_entities(ST.deliveries(spark, d))
+
+
+_EXP_INTERVAL_S, _EXP_MINUTES = 60, 68
+
+
+@query("expected_count_check", W("publish_metrics") + f"""
+SELECT event_id, actual, n_entities, expected, (expected * 10) // 100 AS allowed_delta,
+  abs(actual - expected) <= (expected * 10) // 100 AS within
+FROM (SELECT event_id, count(*) AS actual, count(DISTINCT skater_id) AS n_entities,
+        CAST(count(DISTINCT skater_id) * {60 // _EXP_INTERVAL_S} * {_EXP_MINUTES} AS BIGINT) AS expected
+      FROM publish_metrics GROUP BY event_id)""")
+def q_expected_count_check(spark, d):
+    return G.expected_count_check(ST.publish_metrics(spark, d), None, _EXP_INTERVAL_S, _EXP_MINUTES, 0.1)
+
+
+def _summary_sql(src: str, key: str, v: str) -> str:
+    return f"""
+SELECT {key}, count({v}) AS n, min({v}) AS min, round(avg({v}), 3) AS mean, max({v}) AS max,
+  quantile_cont({v}, 0.5) AS p50, quantile_cont({v}, 0.95) AS p95, quantile_cont({v}, 0.99) AS p99
+FROM {src} GROUP BY {key}"""
+
+
+def _round_mean(df):
+    return df.withColumn("mean", F.round("mean", 3))
+
+
+@query("response_time_summary", W("publish_metrics") + _summary_sql(
+    "(SELECT * FROM publish_metrics WHERE error = '')", "event_id", "response_time_ms"))
+def q_response_time_summary(spark, d):
+    return _round_mean(G.response_time_summary(ST.publish_metrics(spark, d)))
+
+
+@query("delivery_latency", W("deliveries") + f"""
+SELECT s.*, n_negative FROM ({_summary_sql(
+    "(SELECT *, CAST(receive_ms - server_ms AS DOUBLE) AS latency_ms FROM deliveries "
+    "WHERE error = '' AND server_ms IS NOT NULL)", "event_id", "latency_ms")}) s
+JOIN (SELECT event_id, count_if(receive_ms < server_ms) AS n_negative FROM deliveries
+      WHERE error = '' AND server_ms IS NOT NULL GROUP BY event_id) n USING (event_id)""")
+def q_delivery_latency(spark, d):
+    return _round_mean(G.delivery_latency_summary(ST.deliveries(spark, d)))
+
+
+@query("batching_delay", W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, GRID]) + f"""
+SELECT viewer_id, count(*) AS n, min(window_ms + {BATCH_INTERVAL_MS} - ts_ms) AS min_delay_ms,
+  max(window_ms + {BATCH_INTERVAL_MS} - ts_ms) AS max_delay_ms,
+  CAST(sum(window_ms + {BATCH_INTERVAL_MS} - ts_ms) AS BIGINT) AS total_delay_ms
+FROM grid GROUP BY viewer_id""")
+def q_batching_delay(spark, d):
+    rows = G.batching_delay(_batches(spark, d), ["viewer_id"])
+    return rows.groupBy("viewer_id").agg(F.count(F.lit(1)).alias("n"), F.min("delay_ms").alias("min_delay_ms"),
+                                         F.max("delay_ms").alias("max_delay_ms"),
+                                         F.sum("delay_ms").alias("total_delay_ms"))
+
+
+@query("publish_to_delivery", W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, GRID]) + f"""
+SELECT g.viewer_id, u.event_id, u.entity_id, u.ts_ms, u.seq, g.window_ms + {BATCH_INTERVAL_MS} AS delivered_ms,
+  g.window_ms + {BATCH_INTERVAL_MS} - u.ts_ms AS delay_ms
+FROM updates u JOIN grid g ON u.event_id = g.event_id AND u.entity_id = g.entity_id AND u.ts_ms = g.ts_ms""")
+def q_publish_to_delivery(spark, d):
+    delivered = G.explode_locations(_batches(spark, d), ["viewer_id", "event_id"])
+    return G.publish_to_delivery(_updates(spark, d), delivered).select(
+        "viewer_id", "event_id", "entity_id", "ts_ms", "seq", "delivered_ms", "delay_ms")
+
+
+@query("publish_rate", W("updates") + f"""
+SELECT event_id, {Q.grid_floor('ts_ms', ORIGIN_MS, HOUR_MS)} AS window_ms, count(*) AS n_updates,
+  count(*) * 60000e0 / {float(HOUR_MS)!r}e0 AS per_minute
+FROM updates GROUP BY 1, 2""".replace(".0e0", "e0"))
+def q_publish_rate(spark, d):
+    return G.publish_rate(_updates(spark, d), HOUR_MS, ORIGIN_MS)
+
+
+def _gc(x: str) -> str:
+    return Q.grid_ceil(x, ORIGIN_MS, LOC_SWEEP_MS)
+
+
+@query("active_gauges", W("updates", "viewers", extra=[VERSIONS, PRESENCE, ("deltas", f"""
+SELECT {_gc('present_from_ms')} AS t_ms, 1 AS de, 0 AS dn, 0 AS dv FROM presence
+UNION ALL SELECT {_gc('removed_at_ms')}, -1, 0, 0 FROM presence WHERE removed_at_ms IS NOT NULL
+UNION ALL SELECT {_gc('ts_ms')}, 0, 1, 0 FROM versions
+UNION ALL SELECT {_gc('end_ms')}, 0, -1, 0 FROM versions WHERE end_ms IS NOT NULL
+UNION ALL SELECT {_gc('subscribed_ms')}, 0, 0, 1 FROM viewers
+UNION ALL SELECT {_gc('left_ms')}, 0, 0, -1 FROM viewers WHERE left_ms IS NOT NULL""")]) + """
+SELECT t_ms,
+  CAST(sum(de) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS active_events,
+  CAST(sum(dn) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS live_entities,
+  CAST(sum(dv) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open_viewers
+FROM (SELECT t_ms, sum(de) AS de, sum(dn) AS dn, sum(dv) AS dv FROM deltas GROUP BY t_ms)""")
+def q_active_gauges(spark, d):
+    u = _updates(spark, d)
+    pres = C.event_presence(u, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+    lives = C.versions(u, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS, 86_400_000) \
+        .select(F.col("ts_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
+    return G.active_gauges(pres, lives, ST.viewers(spark, d), LOC_SWEEP_MS, ORIGIN_MS)
+
+
+_EDGES = [0.0, 100.0, 250.0, 500.0, 1000.0, 2500.0]
+
+
+@query("duration_histogram", W("deliveries") + f"""
+SELECT bucket, list_extract([NULL, {", ".join(f"{e!r}e0".replace(".0e0", "e0") for e in _EDGES)}]::DOUBLE[], bucket + 1) AS lower,
+  list_extract([{", ".join(f"{e!r}e0".replace(".0e0", "e0") for e in _EDGES)}, NULL]::DOUBLE[], bucket + 1) AS upper, count(*) AS n
+FROM (SELECT {" + ".join(f"CAST(latency_ms >= {e!r}e0 AS INTEGER)".replace(".0e0", "e0") for e in _EDGES)} AS bucket
+      FROM (SELECT CAST(receive_ms - server_ms AS DOUBLE) AS latency_ms FROM deliveries
+            WHERE error = '' AND server_ms IS NOT NULL))
+GROUP BY bucket""")
+def q_duration_histogram(spark, d):
+    return G.duration_histogram(G.delivery_latency(ST.deliveries(spark, d)), "latency_ms", _EDGES)
+
+
+@query("bandwidth_estimate", W("updates") + f"""
+SELECT event_id, {Q.grid_floor('ts_ms', ORIGIN_MS, HOUR_MS)} AS window_ms, count(*) AS n_updates,
+  count(*) * 2048 AS bytes, count(*) * 2048 / 3600e0 AS bytes_per_s
+FROM updates GROUP BY 1, 2""")
+def q_bandwidth_estimate(spark, d):
+    return G.bandwidth_estimate(_updates(spark, d), 2048, HOUR_MS, ORIGIN_MS)
+
+
+# =========================================================================== H: heap series
+from loctrack.operators import timeseries as H  # noqa: E402
+
+_CLK = H.CLOCK_RE
+_CLOCK_V = (f"CASE WHEN regexp_full_match(time_str, '{_CLK[1:-1]}') "
+            f"AND CAST(regexp_extract(time_str, '{_CLK}', 1) AS INTEGER) < 24 "
+            f"AND CAST(regexp_extract(time_str, '{_CLK}', 2) AS INTEGER) < 60 "
+            f"AND CAST(regexp_extract(time_str, '{_CLK}', 3) AS INTEGER) <= 61 THEN "
+            f"CAST(CAST(regexp_extract(time_str, '{_CLK}', 1) AS INTEGER) * 3600 "
+            f"+ CAST(regexp_extract(time_str, '{_CLK}', 2) AS INTEGER) * 60 "
+            f"+ CAST(regexp_extract(time_str, '{_CLK}', 3) AS INTEGER) AS DOUBLE) "
+            f"+ CAST('0.' || regexp_extract(time_str, '{_CLK}', 4) AS DOUBLE) END")
+ELAPSED = ("elapsed", f"""
+SELECT recording, sample_no, time_str, heap_mb, elapsed_s FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY recording ORDER BY sample_no) - 1 AS DOUBLE) AS elapsed_s
+  FROM hs WHERE first_v IS NULL)
+UNION ALL
+SELECT recording, sample_no, time_str, heap_mb, v - first_v + days * 86400e0 AS elapsed_s FROM (
+  SELECT *, sum(back) OVER (PARTITION BY recording ORDER BY sample_no ROWS UNBOUNDED PRECEDING) AS days FROM (
+    SELECT *, CASE WHEN lag(v) OVER (PARTITION BY recording ORDER BY sample_no) > v THEN 1 ELSE 0 END AS back
+    FROM hs WHERE first_v IS NOT NULL AND v IS NOT NULL))""")
+HS = ("hs", f"""
+SELECT *, first_value(v) OVER (PARTITION BY recording ORDER BY sample_no
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_v
+FROM (SELECT *, {_CLOCK_V} AS v FROM heap_series)""")
+
+
+def _elapsed(spark, d):
+    return H.elapsed_seconds(ST.heap_series(spark, d))
+
+
+@query("heap_elapsed", W("heap_series", extra=[HS, ELAPSED]) + "SELECT * FROM elapsed")
+def q_heap_elapsed(spark, d):
+    return _elapsed(spark, d)
+
+
+SUMMARY = ("summary", """
+SELECT recording, count(*) AS n_samples, arg_max(elapsed_s, sample_no) / 60 AS duration_min,
+  arg_min(heap_mb, sample_no) AS initial_mb, arg_max(heap_mb, sample_no) AS final_mb,
+  arg_max(heap_mb, sample_no) - arg_min(heap_mb, sample_no) AS growth_mb,
+  coalesce(regr_slope(heap_mb, elapsed_s), 0) * 60 AS rate
+FROM elapsed GROUP BY recording""")
+
+
+@query("heap_summary", W("heap_series", extra=[HS, ELAPSED, SUMMARY]) + f"""
+SELECT recording, n_samples, duration_min, initial_mb, final_mb, growth_mb, round(rate, 3) + 0e0 AS growth_mb_per_min,
+  CASE WHEN rate > {H.S.LEAK_MB_PER_MIN} THEN 'LEAK' WHEN rate > {H.S.POTENTIAL_LEAK_MB_PER_MIN} THEN 'POTENTIAL_LEAK'
+       ELSE 'STABLE' END AS assessment
+FROM summary""")
+def q_heap_summary(spark, d):
+    # + 0.0 turns a rounded -0.0 into 0.0
+    return H.recording_summary(_elapsed(spark, d)) \
+        .withColumn("growth_mb_per_min", F.round("growth_mb_per_min", 3) + F.lit(0.0))
+
+
+@query("heap_compare", W("heap_series", extra=[HS, ELAPSED, SUMMARY]) + """
+SELECT base, rate_a, rate_b, round(CASE WHEN rate_a <> 0 THEN (rate_b - rate_a) / abs(rate_a) * 100 END, 3) AS change_pct
+FROM (SELECT split_part(recording, '/', 1) AS base,
+        CASE WHEN duration_min > 0 THEN (final_mb - initial_mb) / duration_min END AS rate_a
+      FROM summary WHERE ends_with(recording, '/a')) a
+JOIN (SELECT split_part(recording, '/', 1) AS base,
+        CASE WHEN duration_min > 0 THEN (final_mb - initial_mb) / duration_min END AS rate_b
+      FROM summary WHERE ends_with(recording, '/b')) b USING (base)""")
+def q_heap_compare(spark, d):
+    s = H.recording_summary(_elapsed(spark, d)).withColumn("base", F.split("recording", "/")[0])
+    a = s.filter(F.col("recording").endswith("/a"))
+    b = s.filter(F.col("recording").endswith("/b"))
+    return H.compare_runs(a, b, "base").withColumn("change_pct", F.round("change_pct", 3))
+
+
+# =========================================================================== I: logs
+from loctrack.operators import logs as I  # noqa: E402
+
+_LRE = I.LINE_RE
+PARSED = ("parsed", f"""
+SELECT line_no, line, CASE WHEN regexp_matches(line, '{_LRE}') THEN regexp_extract(line, '{_LRE}', 1) END AS time_text,
+  CASE WHEN regexp_matches(line, '{_LRE}') THEN regexp_extract(line, '{_LRE}', 2) END AS level,
+  CASE WHEN regexp_matches(line, '{_LRE}') THEN regexp_extract(line, '{_LRE}', 3) END AS logger,
+  CASE WHEN regexp_matches(line, '{_LRE}') THEN regexp_extract(line, '{_LRE}', 4) ELSE line END AS message
+FROM log_lines""")
+PARSED_TS = ("parsed_ts", "SELECT *, epoch_us(strptime(time_text, '%Y-%m-%d %H:%M:%S')) // 1000 AS ts_ms FROM parsed")
+
+
+def _logs(spark, d):
+    return I.parse_log_lines(ST.log_lines(spark, d))
+
+
+@query("log_parse", W("log_lines", extra=[PARSED, PARSED_TS]) + """
+SELECT line_no, time_text, ts_ms, level, logger, message FROM parsed_ts""")
+def q_log_parse(spark, d):
+    return _logs(spark, d).select("line_no", "time_text", "ts_ms", "level", "logger", "message")
+
+
+_CRASH_SQL = ("CASE " + " ".join(f"WHEN contains(line, '{w}') THEN '{w}'" for w in I.S.CRASH_INDICATORS)
+              + " WHEN len(list_filter(regexp_extract_all(line, 'exit code ([0-9]+)', 1), lambda c: c <> '0')) > 0"
+              + " THEN 'exit code ' || list_filter(regexp_extract_all(line, 'exit code ([0-9]+)', 1), lambda c: c <> '0')[1]"
+              + " END")
+
+
+@query("crash_scan", W("log_lines") + f"""
+SELECT line_no, crash_reason FROM (SELECT line_no, {_CRASH_SQL} AS crash_reason FROM log_lines)
+WHERE crash_reason IS NOT NULL""")
+def q_crash_scan(spark, d):
+    return I.crash_scan(_logs(spark, d)).select("line_no", "crash_reason")
+
+
+@query("crash_scan_tail", W("log_lines") + f"""
+SELECT line_no, crash_reason FROM (SELECT line_no, {_CRASH_SQL} AS crash_reason FROM
+  (SELECT * FROM log_lines ORDER BY line_no DESC LIMIT 200))
+WHERE crash_reason IS NOT NULL""")
+def q_crash_scan_tail(spark, d):
+    return I.crash_scan(_logs(spark, d), tail=200).select("line_no", "crash_reason")
+
+
+@query("sweep_log", W("log_lines", extra=[PARSED, PARSED_TS]) + f"""
+SELECT kind, ts_ms - (ts_ms % {HOUR_MS}) AS period_ms, count(*) AS n_sweeps,
+  CAST(coalesce(sum(n), 0) AS BIGINT) AS n_removed, count_if(failed) AS n_failed
+FROM (SELECT ts_ms,
+        CASE WHEN regexp_matches(message, '{I.SWEEP_HUBS_RE}') OR starts_with(message, 'Hub cleanup failed: ') THEN 'hubs'
+             WHEN regexp_matches(message, '{I.SWEEP_LOCATIONS_RE}') OR starts_with(message, 'Cleanup failed: ') THEN 'locations' END AS kind,
+        CASE WHEN regexp_matches(message, '{I.SWEEP_HUBS_RE}') THEN CAST(regexp_extract(message, '{I.SWEEP_HUBS_RE}', 1) AS BIGINT)
+             WHEN regexp_matches(message, '{I.SWEEP_LOCATIONS_RE}') THEN CAST(regexp_extract(message, '{I.SWEEP_LOCATIONS_RE}', 1) AS BIGINT) END AS n,
+        starts_with(message, 'Hub cleanup failed: ') OR starts_with(message, 'Cleanup failed: ') AS failed
+      FROM parsed_ts)
+WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def q_sweep_log(spark, d):
+    return I.sweep_totals(I.sweep_log(_logs(spark, d)), HOUR_MS)
+
+
+@query("logs_for_event", W("log_lines", extra=[PARSED, PARSED_TS]) + f"""
+SELECT * FROM (
+  SELECT line_no, ts_ms,
+    CASE WHEN regexp_matches(message, '{I.REQUEST_RE}') THEN 'request' WHEN regexp_matches(message, '{I.CONNECT_RE}') THEN 'connect'
+         WHEN regexp_matches(message, '{I.REJECT_RE}') THEN 'reject' WHEN regexp_matches(message, '{I.STREAM_ERROR_RE}') THEN 'stream_error' END AS kind,
+    CASE WHEN regexp_matches(message, '{I.REQUEST_RE}') THEN regexp_extract(message, '{I.REQUEST_RE}', 1)
+         WHEN regexp_matches(message, '{I.CONNECT_RE}') THEN regexp_extract(message, '{I.CONNECT_RE}', 1)
+         WHEN regexp_matches(message, '{I.STREAM_ERROR_RE}') THEN regexp_extract(message, '{I.STREAM_ERROR_RE}', 1) END AS event_id,
+    CASE WHEN regexp_matches(message, '{I.REQUEST_RE}') THEN regexp_extract(message, '{I.REQUEST_RE}', 2) END AS entity_id,
+    CASE WHEN regexp_matches(message, '{I.REJECT_RE}') THEN regexp_extract(message, '{I.REJECT_RE}', 1) END AS error_code
+  FROM parsed_ts)
+WHERE event_id IN ('{_uuid_of('click')}', '{_uuid_of('view')}')""")
+def q_logs_for_event(spark, d):
+    return I.logs_for_event(_logs(spark, d), _TWO_EVENTS)
+
+
+# =========================================================================== A: codecs on derived data
+from loctrack import sources as A  # noqa: E402
+
+
+@query("batch_json_roundtrip", W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, GRID]) + f"""
+SELECT viewer_id, window_ms, batch_no, CAST(pos AS INTEGER) AS pos, entity_id AS skaterId, latitude, longitude,
+  ts_ms AS timestamp, window_ms + {BATCH_INTERVAL_MS} AS serverTime, CAST(NULL AS VARCHAR) AS decode_error
+FROM grid""")
+def q_batch_json_roundtrip(spark, d):
+    b = _batches(spark, d)
+    text = b.select("viewer_id", "window_ms", "batch_no", A.batches_to_json(b).alias("json"))
+    return A.explode_batches(text, "json", keep=["viewer_id", "window_ms", "batch_no"])
+
+
+@query("flat_update_roundtrip", W("updates") + """
+SELECT event_id AS eventId, entity_id AS skaterId, longitude, latitude, ts_ms AS timestamp, seq,
+  CAST(NULL AS VARCHAR) AS decode_error FROM updates""")
+def q_flat_update_roundtrip(spark, d):
+    u = _updates(spark, d)
+    js = F.to_json(F.struct(F.col("event_id").alias("eventId"), F.col("entity_id").alias("skaterId"),
+                            "longitude", "latitude", F.col("ts_ms").alias("timestamp")))
+    t = u.select("seq", js.alias("json"))
+    return A.parse_flat_updates(t, "json", now_ms=0).drop("json")
+
+
+@query("publish_metrics_text", W("publish_metrics") + """
+SELECT strftime(make_timestamp((ts_ms // 1000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, event_id, skater_id,
+  printf('%.2f', response_time_ms) AS response_time_ms, error FROM publish_metrics""")
+def q_publish_metrics_text(spark, d):
+    return A.publish_metrics_text(ST.publish_metrics(spark, d))
+
+
 def queries_defined():
     return list(QUERIES)
 

@@ -143,7 +143,9 @@ def heap_series(spark, sf_dir) -> DataFrame:
     ev = _events(spark, sf_dir)
     t = F.when(F.col("event_id") % 37 == 0, F.lit("n/a")) \
         .otherwise(F.date_format("ts", "HH:mm:ss.SSS"))
-    return ev.select(F.col("event_type").alias("recording"), F.col("event_id").alias("sample_no"),
+    run = F.when(F.col("ts_ms") < F.lit(ORIGIN_MS + 15 * DAY_MS), F.lit("a")).otherwise(F.lit("b"))
+    return ev.select(F.concat(F.col("event_type"), F.lit("/"), run).alias("recording"),
+                     F.col("event_id").alias("sample_no"),
                      t.alias("time_str"), (F.lit(250.0) + F.col("value")).alias("heap_mb"))
 
 
@@ -231,8 +233,9 @@ SELECT ts_ms + CAST(floor(value * 10e0) AS BIGINT) - 50 AS receive_ms, event_typ
   CASE WHEN event_id % 50 = 0 THEN 'failed to parse message: invalid character ''x''' ELSE '' END AS error,
   event_id AS seq
 FROM ({_EV})""",
-    "heap_series": """
-SELECT event_type AS recording, event_id AS sample_no,
+    "heap_series": f"""
+SELECT event_type || '/' || CASE WHEN {Q.ms_of('ts')} < {ORIGIN_MS + 15 * DAY_MS} THEN 'a' ELSE 'b' END AS recording,
+  event_id AS sample_no,
   CASE WHEN event_id % 37 = 0 THEN 'n/a' ELSE strftime(ts, '%H:%M:%S.%g') END AS time_str,
   250e0 + value AS heap_mb
 FROM events""",
