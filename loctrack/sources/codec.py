@@ -39,12 +39,12 @@ def _is_number(t: Column) -> Column:
 
 
 def _str_field(v: Column, f: str):
-    ok = _vtype(v, f) == "STRING"
+    ok = F.coalesce(_vtype(v, f) == "STRING", F.lit(False))
     return ok, F.try_variant_get(v, f"$.{f}", "string")
 
 
 def _num_field(v: Column, f: str):
-    ok = _is_number(_vtype(v, f))
+    ok = F.coalesce(_is_number(_vtype(v, f)), F.lit(False))
     return ok, F.try_variant_get(v, f"$.{f}", "double")
 
 
