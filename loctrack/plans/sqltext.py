@@ -5,16 +5,13 @@ from __future__ import annotations
 
 
 def uuid_cut(h: str) -> str:
-    return (f"concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), "
-            f"substr({h}, 17, 4), substr({h}, 21, 12))")
+    return f"regexp_replace({h}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
 
 
 def is_valid_uuid(x: str) -> str:
-    sig = "regexp_replace(g, '^\\+?0*', '')"
-    overflow = (f"list_bool_or(list_transform(string_split({x}, '-'), lambda g: length({sig}) > 16 "
-                f"OR (length({sig}) = 16 AND regexp_matches({sig}, '^[89a-fA-F]'))))")
+    overflow = "(^|-)\\+?0*([1-9a-fA-F][0-9a-fA-F]{16,}|[89a-fA-F][0-9a-fA-F]{15})(-|$)"
     return (f"coalesce(regexp_full_match({x}, '\\+?[0-9A-Fa-f]+(-\\+?[0-9A-Fa-f]+){{4}}') "
-            f"AND length({x}) <= 36 AND NOT {overflow}, false)")
+            f"AND length({x}) <= 36 AND NOT regexp_matches({x}, '{overflow}'), false)")
 
 
 def in_range(x: str, lo: float, hi: float) -> str:

@@ -28,7 +28,19 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the session has task
+    slots (one small file, one row group) before the per-row work.  A large
+    input is already split across many files and is left as it is -- no extra
+    shuffle."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
 
 
 def _events(spark, sf_dir) -> DataFrame:
