@@ -31,6 +31,22 @@ def fan_out(updates: DataFrame, viewers: DataFrame,
     return updates.join(v, cond, "inner").select("viewer_id", *_UPD, "subscribed_ms")
 
 
+def _versions(updates: DataFrame, chunk_ms: int) -> DataFrame:
+    """Each update with the time of the next update of its key (null: still latest)."""
+    return sequence_features(updates.select(*_UPD), C.KEY, C.ORDER, floor_div("ts_ms", chunk_ms),
+                             next=["ts_ms"])
+
+
+def _visible_at(t, ttl_ms: int, sweep_ms: int, origin_ms: int, read_ttl: bool):
+    """C5's visibility of a row at reader time ``t`` (a column)."""
+    ttl = (ttl_ms // 1000) * 1000
+    if read_ttl:
+        return F.col("ts_ms") > t - F.lit(ttl)
+    k = floor_div(t - F.lit(origin_ms), sweep_ms)
+    last = F.lit(origin_ms) + k * F.lit(sweep_ms)
+    return (k < 1) | (F.col("ts_ms") > last - F.lit(ttl))
+
+
 def snapshot_for_viewers(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms: int,
                          origin_ms: int = 0, read_ttl: bool = False,
                          chunk_ms: int = 86_400_000,
@@ -41,34 +57,40 @@ def snapshot_for_viewers(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sw
     of its key; a viewer at time T meets exactly the versions with
     ``ts <= T < next_ts`` -- one row per visible entity, no per-viewer history
     blow-up -- and the sweep-grid visibility of C5 is applied to T."""
-    ver = sequence_features(updates.select(*_UPD), C.KEY, C.ORDER, floor_div("ts_ms", chunk_ms),
-                            next=["ts_ms"])
+    ver = _versions(updates, chunk_ms)
     v = broadcast_if_small(viewers.select("viewer_id", F.col("event_id").alias("_ev"),
                                           "subscribed_ms"), max_broadcast_rows)
-    t = v["subscribed_ms"]
-    cond = ((ver["event_id"] == v["_ev"]) & (ver["ts_ms"] <= t)
-            & (ver["next_ts_ms"].isNull() | (ver["next_ts_ms"] > t)))
+    t = F.col("subscribed_ms")
+    cond = ((ver["event_id"] == v["_ev"]) & (ver["ts_ms"] <= v["subscribed_ms"])
+            & (ver["next_ts_ms"].isNull() | (ver["next_ts_ms"] > v["subscribed_ms"])))
     j = ver.join(v, cond, "inner")
-    ttl = (ttl_ms // 1000) * 1000
-    if read_ttl:
-        vis = F.col("ts_ms") > t - F.lit(ttl)
-    else:
-        k = floor_div(t - F.lit(origin_ms), sweep_ms)
-        last = F.lit(origin_ms) + k * F.lit(sweep_ms)
-        vis = (k < 1) | (F.col("ts_ms") > last - F.lit(ttl))
-    return j.filter(vis).select("viewer_id", *_UPD, "subscribed_ms")
+    return j.filter(_visible_at(t, ttl_ms, sweep_ms, origin_ms, read_ttl)) \
+        .select("viewer_id", *_UPD, "subscribed_ms")
 
 
 def viewer_stream(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms: int,
-                  origin_ms: int = 0, chunk_ms: int = 86_400_000) -> DataFrame:
+                  origin_ms: int = 0, chunk_ms: int = 86_400_000,
+                  max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """D3: what each viewer receives, in order: its snapshot (phase 0, delivered
     at subscription) and then the live updates (phase 1), numbered per viewer
-    by (phase, ts, seq).  Rows are cut exactly once at ``subscribed_ms``."""
-    snap = snapshot_for_viewers(updates, viewers, ttl_ms, sweep_ms, origin_ms, chunk_ms=chunk_ms) \
-        .withColumn("phase", F.lit(0)).withColumn("deliver_ms", F.col("subscribed_ms"))
-    live = fan_out(updates, viewers).withColumn("phase", F.lit(1)) \
-        .withColumn("deliver_ms", F.col("ts_ms"))
-    both = snap.unionByName(live)
+    by (phase, ts, seq).  Rows are cut exactly once at ``subscribed_ms``.
+
+    One pass: every update version meets the viewers of its event once; it is
+    in a viewer's snapshot when it is the visible version at subscription
+    (D2), and live when it arrives while the viewer is subscribed (D1)."""
+    ver = _versions(updates, chunk_ms)
+    v = broadcast_if_small(viewers.select("viewer_id", F.col("event_id").alias("_ev"),
+                                          "subscribed_ms", "left_ms"), max_broadcast_rows)
+    t, ts = v["subscribed_ms"], ver["ts_ms"]
+    snap = (ts <= t) & (ver["next_ts_ms"].isNull() | (ver["next_ts_ms"] > t))
+    live = (ts > t) & (v["left_ms"].isNull() | (ts <= v["left_ms"]))
+    j = ver.join(v, (ver["event_id"] == v["_ev"]) & (snap | live), "inner")
+    phase = F.when(F.col("ts_ms") <= F.col("subscribed_ms"), F.lit(0)).otherwise(F.lit(1))
+    j = j.withColumn("phase", phase).filter(
+        (F.col("phase") == 1) | _visible_at(F.col("subscribed_ms"), ttl_ms, sweep_ms, origin_ms, False))
+    both = j.select("viewer_id", *_UPD, "subscribed_ms", "phase",
+                    F.when(F.col("phase") == 0, F.col("subscribed_ms")).otherwise(F.col("ts_ms"))
+                    .alias("deliver_ms"))
     order = ["deliver_ms", "phase", "ts_ms", "seq", "entity_id"]
     return sequence_features(both, ["viewer_id"], order, floor_div("deliver_ms", chunk_ms),
                              running={"msg_no": Running(F.lit(1).cast("long"), "sum")})

@@ -100,3 +100,44 @@ def sequence_features(df: DataFrame, keys: list[str], order: list[str], chunk: C
     for name, r in running.items():
         out.append(_combine(r.how, F.col(f"_cb_{name}"), F.col(f"_lr_{name}")).alias(name))
     return j.select(*out)
+
+
+def running_flag_count(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
+                       carry: list[str], flag, name: str, keep_prev: bool = False) -> DataFrame:
+    """Running count (inclusive) of ``flag(prev, cur)`` per key in one pass,
+    where ``prev``/``cur`` are structs of the ``carry`` columns of the previous
+    and the current row (``prev`` is null on a key's first row).
+
+    Rows after the first in a chunk see their neighbour in the chunk's window;
+    the flag of each chunk's first row needs the previous chunk's last row and
+    is settled on the small (key, chunk) summary, together with the counts of
+    all earlier chunks.  Used for session starts and day roll-overs."""
+    w_local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    cur = F.struct(*carry)
+    loc = df.withColumn("_chunk", chunk).withColumn("_lp", F.lag(cur).over(w_local))
+    local_flag = F.when(F.col("_lp").isNull(), F.lit(0)) \
+        .otherwise(flag(F.col("_lp"), cur).cast("long"))
+    loc = loc.withColumn("_lf", local_flag).withColumn(
+        "_lr", F.sum("_lf").over(w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ord_struct = F.struct(*order)
+    summ = loc.groupBy(*keys, "_chunk").agg(F.min_by(cur, ord_struct).alias("_first"),
+                                            F.max_by(cur, ord_struct).alias("_last"),
+                                            F.sum("_lf").alias("_tot"))
+    w_chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    summ = summ.withColumn("_pl", F.lag("_last").over(w_chunks))
+    summ = summ.withColumn("_ff", F.coalesce(flag(F.col("_pl"), F.col("_first")), F.lit(False)).cast("long"))
+    summ = summ.withColumn("_off", F.coalesce(F.sum(F.col("_tot") + F.col("_ff")).over(
+        w_chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    summ = summ.select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
+                       F.col("_chunk").alias("_schunk"), "_pl", "_ff", "_off")
+    c = F.col("_chunk") == F.col("_schunk")
+    for i, k in enumerate(keys):
+        c = c & F.col(k).eqNullSafe(F.col(f"_sk{i}"))
+    j = loc.join(summ, c, "left")
+    out = [F.col(x) for x in df.columns]
+    out.append((F.col("_off") + F.col("_ff") + F.col("_lr")).alias(name))
+    if keep_prev:
+        for x in carry:
+            out.append(F.when(F.col("_lp").isNull(), F.col("_pl")[x]).otherwise(F.col("_lp")[x])
+                       .alias(f"prev_{x}"))
+    return j.select(*out)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loctrack.functions import ceil_div, floor_div, grid_floor
-from loctrack.operators.sequence import Running, sequence_features
+from loctrack.operators.sequence import Running, running_flag_count, sequence_features
 
 KEY = ["event_id", "entity_id"]
 ORDER = ["ts_ms", "seq"]
@@ -172,12 +172,11 @@ def channel_sessions(accesses: DataFrame, ttl_ms: int, sweep_ms: int | None = No
     channel is removed at ``channel_removal(last access)``; an access after that
     opens a new session.  With ``sweep_ms=None`` this equals a session window
     with gap ``ttl`` (a gap exactly equal to the ttl stays one session)."""
-    chunk = floor_div("access_ms", chunk_ms)
-    a = sequence_features(accesses, ["event_id"], ["access_ms"], chunk, prev=["access_ms"])
-    new = (F.col("prev_access_ms").isNull()
-           | (F.col("access_ms") > channel_removal(F.col("prev_access_ms"), ttl_ms, sweep_ms, origin_ms)))
-    b = sequence_features(a.withColumn("_new", new.cast("long")), ["event_id"], ["access_ms"], chunk,
-                          running={"session_no": Running(F.col("_new"), "sum", inclusive=True)})
+    def new_session(prev, cur):
+        return prev.isNull() | (cur["access_ms"] > channel_removal(prev["access_ms"], ttl_ms, sweep_ms, origin_ms))
+
+    b = running_flag_count(accesses, ["event_id"], ["access_ms"], floor_div("access_ms", chunk_ms),
+                           ["access_ms"], new_session, "session_no")
     s = b.groupBy("event_id", "session_no").agg(
         F.min("access_ms").alias("started_ms"),
         F.max("access_ms").alias("last_access_ms"),

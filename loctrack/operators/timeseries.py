@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loctrack import schemas as S
 from loctrack.functions import floor_div
-from loctrack.operators.sequence import Running, sequence_features
+from loctrack.operators.sequence import Running, running_flag_count, sequence_features
 
 # Block marker and field patterns of the heap summary text.
 BLOCK_START = "jdk.GCHeapSummary"
@@ -100,10 +100,9 @@ def elapsed_seconds(samples: DataFrame, key: str = "recording", order: str = "sa
         .withColumn("elapsed_s", (F.col("_i") - 1).cast("double")).select(*out_cols)
     val = F.when(F.col("_fmt") == "clock", F.col("_clock")).otherwise(F.col("_iso"))
     p = s.filter(F.col("_fmt") != "index").withColumn("_v", val).filter(F.col("_v").isNotNull())
-    p = sequence_features(p, [key], [order], chunk, prev=["_v"])
-    back = (F.col("prev__v").isNotNull() & (F.col("_v") < F.col("prev__v"))).cast("long")
-    p = sequence_features(p.withColumn("_back", back), [key], [order], chunk,
-                          running={"_days": Running(F.col("_back"), "sum")})
+    # a day is added whenever the time goes backwards against the previous parsed row
+    p = running_flag_count(p, [key], [order], chunk, ["_v"],
+                           lambda prev, cur: prev.isNotNull() & (cur["_v"] < prev["_v"]), "_days")
     p = p.withColumn("elapsed_s", F.col("_v") - F.col("_first_v") + F.col("_days") * F.lit(float(DAY_S)))
     return idx.unionByName(p.select(*out_cols))
 

@@ -95,3 +95,21 @@ def test_number_messages_and_resume(spark):
     assert got == [1, 1, 2, 3]
     r = E.resume_check(d, 60_000).collect()
     assert [(x.silent_from_ms, x.resumed_ms) for x in r] == [(3000, 90_000)]
+
+
+def test_running_flag_count_matches_plain_window(spark):
+    from pyspark.sql import Window
+    from loctrack.operators.sequence import running_flag_count
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    df = ev.select(F.col("event_type").alias("k"), "event_id", "value")
+    got = running_flag_count(df, ["k"], ["event_id"], F.floor(F.col("event_id") / 311), ["value"],
+                             lambda p, c: p.isNull() | (c["value"] > p["value"] + 100), "n", keep_prev=True)
+    w = Window.partitionBy("k").orderBy("event_id")
+    prev = F.lag("value").over(w)
+    want = df.withColumn("prev_value", prev).withColumn(
+        "f", (F.col("prev_value").isNull() | (F.col("value") > F.col("prev_value") + 100)).cast("long")) \
+        .withColumn("n", F.sum("f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cols = ["k", "event_id", "prev_value", "n"]
+    a = got.select(*cols).toPandas().sort_values("event_id").reset_index(drop=True)
+    b = want.select(*cols).toPandas().sort_values("event_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b, check_dtype=False)
