@@ -3,27 +3,31 @@ numbering and silence detection."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from loctrack.functions import clock12_text, fixed6_text, floor_div, grid_floor
+from loctrack.operators import grouping as G
 from loctrack.operators import state as C
 from loctrack.operators.sequence import Running, sequence_features
 from loctrack.schemas import LOCATION
 
 
 def batch_grid(rows: DataFrame, key: str, ts: str, size: int, interval_ms: int,
-               origin_ms: int = 0, order: list[str] = ("ts_ms", "seq")) -> DataFrame:
+               origin_ms: int = 0, order: list[str] = ("ts_ms", "seq"), sub_chunks: int = 16) -> DataFrame:
     """Replayable form of "group within (size, interval)": tumbling windows
     of ``interval`` per key, each cut into chunks of at most ``size`` rows.
     Adds ``window_ms`` (window start) and ``batch_no`` (0-based within it).
-    The window sort only spans one key's rows inside one interval."""
-    w = grid_floor(F.col(ts), origin_ms, interval_ms)
-    r = rows.withColumn("window_ms", w)
-    rn = F.row_number().over(Window.partitionBy(key, "window_ms").orderBy(ts, *order))
-    return r.withColumn("batch_no", floor_div(rn - F.lit(1), size))
+
+    The position in the window is a running count over (key, window) cut into
+    ``sub_chunks`` time slices, so even one key's rows inside one window are
+    sorted by several tasks (see ``sequence_features``)."""
+    r = rows.withColumn("window_ms", grid_floor(F.col(ts), origin_ms, interval_ms))
+    sub = max(interval_ms // max(sub_chunks, 1), 1)
+    n = sequence_features(r, [key, "window_ms"], [ts, *order], floor_div(F.col(ts) - F.lit(origin_ms), sub),
+                          running={"_pos": Running(F.lit(1), "sum")})
+    return n.withColumn("batch_no", floor_div(F.col("_pos") - F.lit(1), size)).drop("_pos")
 
 
 def to_batches(grouped: DataFrame, key, interval_ms: int,
@@ -41,34 +45,15 @@ def to_batches(grouped: DataFrame, key, interval_ms: int,
                     (F.col("window_ms") + F.lit(interval_ms)).alias("serverTime"))
 
 
-def group_within(rows: DataFrame, key: str, size: int, interval_ms: int,
-                 ts: str = "ts_ms", order: list[str] = ("ts_ms", "seq")) -> DataFrame:
-    """Exact "either limit" grouping, sequential per key.
-
-    A group opens at its first row and closes when it holds ``size`` rows or
-    when a row arrives ``interval`` or more after the group opened (that row
-    opens the next group).  Runs per key with ``applyInPandas``; suited to
-    per-viewer streams, not to one giant key (use E1 there)."""
-    cols = rows.columns
-    schema = rows.select(*cols, F.lit(0).cast("long").alias("group_no"),
-                         F.lit(0).cast("long").alias("group_open_ms")).schema
-    okeys = list(order)
-
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(okeys, kind="mergesort").reset_index(drop=True)
-        g_no, g_open, n = -1, None, 0
-        nos, opens = [], []
-        for t in pdf[ts].tolist():
-            if g_open is None or n >= size or t - g_open >= interval_ms:
-                g_no, g_open, n = g_no + 1, t, 0
-            n += 1
-            nos.append(g_no)
-            opens.append(g_open)
-        pdf["group_no"] = pd.Series(nos, dtype="int64")
-        pdf["group_open_ms"] = pd.Series(opens, dtype="int64")
-        return pdf
-
-    return rows.groupBy(key).applyInPandas(per_key, schema)
+def group_within(rows: DataFrame, key, size: int, interval_ms: int, ts: str = "ts_ms",
+                 order=("ts_ms", "seq"), chunk_rows: int = 65_536,
+                 time_chunk_ms: int = 86_400_000) -> DataFrame:
+    """Exact "either limit" grouping.  A group opens at its first row and
+    closes when it holds ``size`` rows or when a row arrives ``interval`` or
+    more after the group opened (that row opens the next group).  Distributed
+    by row chunks with composed chunk functions (see ``grouping``): no task
+    ever holds all rows of a key."""
+    return G.group_within(rows, key, size, interval_ms, ts, order, chunk_rows, time_chunk_ms)
 
 
 def newest_n(rows: DataFrame, n: int, key: str = "event_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Fan-out, snapshot-then-live streams, batching and buffers."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from loctrack.operators import joins as D
@@ -59,14 +60,27 @@ def _brute_groups(ts, size, interval):
     return out
 
 
-def test_group_within_matches_brute_force(spark):
+@pytest.mark.parametrize("chunk_rows,size,interval", [(65_536, 3, 6 * 3_600_000), (3, 3, 6 * 3_600_000),
+                                                      (5, 3, 2 * 3_600_000), (4, 4, 3_600_000),
+                                                      (7, 2, 12 * 3_600_000)])
+def test_group_within_matches_brute_force(spark, chunk_rows, size, interval):
+    """Small chunks (many chunks and blocks per viewer) exercise the chunk
+    functions, their composition and the entry states flowing back down."""
     s = D.viewer_stream(ST.updates(spark, "/root/testdata/sf0.001"), ST.viewers(spark, "/root/testdata/sf0.001"),
                         24 * 3_600_000, 6 * 3_600_000, ST.ORIGIN_MS)
     rows = s.select("viewer_id", "msg_no", "deliver_ms")
-    got = E.group_within(rows, "viewer_id", 3, 6 * 3_600_000, ts="deliver_ms", order=["msg_no"]).toPandas()
+    got = E.group_within(rows, "viewer_id", size, interval, ts="deliver_ms", order=["msg_no"],
+                         chunk_rows=chunk_rows, time_chunk_ms=3 * 86_400_000).toPandas()
+    assert len(got) == rows.count()
     for vid, pdf in got.groupby("viewer_id"):
         pdf = pdf.sort_values("msg_no")
-        assert pdf["group_no"].tolist() == _brute_groups(pdf["deliver_ms"].tolist(), 3, 6 * 3_600_000)
+        t = pdf["deliver_ms"].tolist()
+        want = _brute_groups(t, size, interval)
+        assert pdf["group_no"].tolist() == want
+        opens = {}
+        for g, x in zip(want, t):
+            opens.setdefault(g, x)
+        assert pdf["group_open_ms"].tolist() == [opens[g] for g in want]
 
 
 def test_sequence_features_match_plain_window(spark):
