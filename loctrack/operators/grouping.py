@@ -105,19 +105,24 @@ def _arrays(pdf: pd.DataFrame):
 
 def group_within(rows: DataFrame, key, size: int, interval_ms: int, ts: str = "ts_ms",
                  order=("ts_ms", "seq"), chunk_rows: int = 65_536,
-                 time_chunk_ms: int = 86_400_000) -> DataFrame:
+                 time_chunk_ms: int = 86_400_000, position: str | None = None) -> DataFrame:
     """Rows plus ``group_no`` (0-based per key, in ``order``) and
     ``group_open_ms`` (``ts`` of the group's first row).  ``order`` must be a
-    total order within a key; ``time_chunk_ms`` cuts the numbering pass."""
+    total order within a key; ``time_chunk_ms`` cuts the numbering pass.
+    ``position`` names a column that already holds the 1-based consecutive
+    position of each row in ``order`` within its key (then no numbering pass)."""
     keys = [key] if isinstance(key, str) else list(key)
     size = max(int(size), 1)
     ch = max(int(chunk_rows), size)
     cols = rows.columns
     kfields = [rows.schema[k] for k in keys]
 
-    numbered = sequence_features(rows, keys, list(order), floor_div(ts, time_chunk_ms),
-                                 running={"_rn": Running(F.lit(1), "sum")})
-    rn = F.col("_rn") - F.lit(1)
+    if position is None:
+        numbered = sequence_features(rows, keys, list(order), floor_div(ts, time_chunk_ms),
+                                     running={"_rn": Running(F.lit(1), "sum")})
+        rn = F.col("_rn") - F.lit(1)
+    else:
+        numbered, rn = rows, F.col(position).cast("long") - F.lit(1)
     own = numbered.select(*cols, floor_div(rn, ch).alias("_c"), (rn % F.lit(ch)).alias("_i"))
     halo = own.filter((F.col("_i") < F.lit(size - 1)) & (F.col("_c") > 0)) \
         .select(*cols, (F.col("_c") - 1).alias("_c"), (F.col("_i") + F.lit(ch)).alias("_i"))

@@ -201,7 +201,9 @@ def active_gauges(presence: DataFrame, entity_lives: DataFrame, viewers: DataFra
     per = d.groupBy("t_ms").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c)
                                   for c in ("d_events", "d_entities", "d_viewers")])
     per = per.withColumn("_k", F.lit(0).cast("long"))
-    out = sequence_features(per, ["_k"], ["t_ms"], floor_div("t_ms", 30 * 86_400_000),
+    # at most one row per grid point: 30-day chunks hold a bounded number of
+    # points (43,200 at a one-minute grid), so no hot-cell count is needed
+    out = sequence_features(per, ["_k"], ["t_ms"], floor_div("t_ms", 30 * 86_400_000), max_chunk_rows=None,
                             running={"active_events": Running(F.col("d_events"), "sum"),
                                      "live_entities": Running(F.col("d_entities"), "sum"),
                                      "open_viewers": Running(F.col("d_viewers"), "sum")})

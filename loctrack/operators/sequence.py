@@ -17,6 +17,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# A (key, chunk) cell with more rows than this is cut further before its sort.
+MAX_CHUNK_ROWS = 2_000_000
+# No cell can be larger than the whole input: below this estimate per bound
+# row the hot-cell count is skipped.
+_BYTES_PER_ROW_FLOOR = 64
 
 
 @dataclass(frozen=True)
@@ -38,19 +45,57 @@ def _combine(how: str, before: Column, local: Column) -> Column:
     return F.least(before, local)
 
 
+def split_hot_chunks(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
+                     max_rows: int | None = MAX_CHUNK_ROWS) -> DataFrame:
+    """``df`` with ``_chunk``: ``chunk``, and for the few (key, chunk) cells
+    holding more than ``max_rows`` rows, a sub-chunk by even ranges of the
+    first ordering column (4 sub-chunks per ``max_rows`` rows of the cell).
+
+    A one-pass count per cell (partial aggregation) finds the hot cells; there
+    are at most rows / ``max_rows`` of them, which bounds the broadcast.  Cold
+    cells keep sub-chunk 0, so the result is the same as without splitting --
+    only the sorts are spread over more tasks.  The refinement needs a numeric
+    first ordering column (a time); otherwise ``chunk`` is used as it is.  When
+    the optimizer's size estimate of the whole input is below ``max_rows`` rows
+    of 64 bytes, no cell can be hot and the count is skipped."""
+    from loctrack.plans.sizing import estimated_bytes
+    base = df.withColumn("_chunk0", chunk)
+    first = df.schema[order[0]].dataType if order and order[0] in df.columns else None
+    if (not max_rows or not isinstance(first, (T.LongType, T.IntegerType, T.ShortType, T.DoubleType))
+            or estimated_bytes(df) < max_rows * _BYTES_PER_ROW_FLOOR):
+        return base.withColumnRenamed("_chunk0", "_chunk")
+    o = F.col(order[0])
+    hot = base.groupBy(*keys, "_chunk0").agg(F.count(F.lit(1)).alias("_n"), F.min(o).alias("_lo"),
+                                             F.max(o).alias("_hi")) \
+        .filter(F.col("_n") > F.lit(max_rows)) \
+        .select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], F.col("_chunk0").alias("_hc"),
+                F.ceil(F.col("_n") * F.lit(4.0) / F.lit(max_rows)).alias("_ns"), "_lo", "_hi")
+    cond = F.col("_chunk0") == F.col("_hc")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_hk{i}"))
+    j = base.join(F.broadcast(hot), cond, "left")
+    width = (F.col("_hi") - F.col("_lo")).cast("double") / F.col("_ns")
+    sub = F.when(F.col("_hc").isNull() | (width <= 0), F.lit(0)) \
+        .otherwise(F.least(F.floor((o - F.col("_lo")).cast("double") / width), F.col("_ns") - 1)).cast("long")
+    return j.withColumn("_chunk", F.struct(F.col("_chunk0").alias("c"), sub.alias("s"))) \
+        .select(*df.columns, "_chunk")
+
+
 def sequence_features(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
                       prev: list[str] = (), next: list[str] = (),
-                      running: dict[str, Running] | None = None) -> DataFrame:
+                      running: dict[str, Running] | None = None,
+                      max_chunk_rows: int | None = MAX_CHUNK_ROWS) -> DataFrame:
     """Add ``prev_<c>`` / ``next_<c>`` (the neighbouring row of the same key in
     ``order``) and running aggregates to every row.
 
     ``order`` must be a total order within a key; ``chunk`` must not decrease
-    along it (e.g. ``floor(ts / width)``).
+    along it (e.g. ``floor(ts / width)``).  Cells of more than
+    ``max_chunk_rows`` rows are cut further (``split_hot_chunks``).
     """
     running = running or {}
     carry_prev, carry_next = list(prev), list(next)
     w_local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    loc = df.withColumn("_chunk", chunk)
+    loc = split_hot_chunks(df, keys, order, chunk, max_chunk_rows)
     if carry_prev:
         loc = loc.withColumn("_lp", F.lag(F.struct(*carry_prev)).over(w_local))
     if carry_next:
@@ -103,7 +148,8 @@ def sequence_features(df: DataFrame, keys: list[str], order: list[str], chunk: C
 
 
 def running_flag_count(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-                       carry: list[str], flag, name: str, keep_prev: bool = False) -> DataFrame:
+                       carry: list[str], flag, name: str, keep_prev: bool = False,
+                       max_chunk_rows: int | None = MAX_CHUNK_ROWS) -> DataFrame:
     """Running count (inclusive) of ``flag(prev, cur)`` per key in one pass,
     where ``prev``/``cur`` are structs of the ``carry`` columns of the previous
     and the current row (``prev`` is null on a key's first row).
@@ -114,7 +160,7 @@ def running_flag_count(df: DataFrame, keys: list[str], order: list[str], chunk:
     all earlier chunks.  Used for session starts and day roll-overs."""
     w_local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     cur = F.struct(*carry)
-    loc = df.withColumn("_chunk", chunk).withColumn("_lp", F.lag(cur).over(w_local))
+    loc = split_hot_chunks(df, keys, order, chunk, max_chunk_rows).withColumn("_lp", F.lag(cur).over(w_local))
     local_flag = F.when(F.col("_lp").isNull(), F.lit(0)) \
         .otherwise(flag(F.col("_lp"), cur).cast("long"))
     loc = loc.withColumn("_lf", local_flag).withColumn(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loctrack.functions import ceil_div, floor_div, grid_floor
-from loctrack.operators.sequence import Running, running_flag_count, sequence_features
+from loctrack.operators.sequence import Running, running_flag_count, sequence_features, split_hot_chunks
 
 KEY = ["event_id", "entity_id"]
 ORDER = ["ts_ms", "seq"]
@@ -108,7 +108,9 @@ def versions(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int,
               chunk_ms: int) -> DataFrame:
     """Every update with the next update of its key and its own end:
     ``removed_at`` (a sweep) or replaced at ``next_ts_ms``."""
-    nb = sequence_features(updates, KEY, ORDER, floor_div("ts_ms", chunk_ms), next=["ts_ms"])
+    # per (event, entity): bounded by one participant's publish rate, no hot-cell count
+    nb = sequence_features(updates, KEY, ORDER, floor_div("ts_ms", chunk_ms), next=["ts_ms"],
+                           max_chunk_rows=None)
     s = removal_sweep(F.col("ts_ms"), ttl_ms, sweep_ms, origin_ms)
     removed = F.col("next_ts_ms").isNull() | (F.col("next_ts_ms") > s)
     return nb.withColumn("removed_at_ms", F.when(removed, s)) \
@@ -128,14 +130,15 @@ def _islands(rows: DataFrame, key: str, start: str, end: str, order: list[str],
              chunk_ms: int) -> DataFrame:
     """Gaps and islands over [start, end) intervals of one key, in two chunked
     passes: exclusive running max of ``end``, then a running count of island
-    starts.  Adds ``island_no`` (1-based)."""
-    chunk = floor_div(start, chunk_ms)
-    a = sequence_features(rows, [key], order, chunk,
+    starts.  Adds ``island_no`` (1-based).  Both passes share one chunking
+    (hot cells are found once)."""
+    r = split_hot_chunks(rows, [key], order, floor_div(start, chunk_ms)).withColumnRenamed("_chunk", "_ck")
+    a = sequence_features(r, [key], order, F.col("_ck"), max_chunk_rows=None,
                           running={"_prev_end": Running(F.col(end), "max", inclusive=False)})
     new = (F.col("_prev_end").isNull() | (F.col(start) > F.col("_prev_end"))).cast("long")
-    b = sequence_features(a.withColumn("_new", new), [key], order, chunk,
+    b = sequence_features(a.withColumn("_new", new), [key], order, F.col("_ck"), max_chunk_rows=None,
                           running={"island_no": Running(F.col("_new"), "sum", inclusive=True)})
-    return b.drop("_prev_end", "_new")
+    return b.drop("_prev_end", "_new", "_ck")
 
 
 def event_presence(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int = 0,

@@ -47,13 +47,13 @@ def to_batches(grouped: DataFrame, key, interval_ms: int,
 
 def group_within(rows: DataFrame, key, size: int, interval_ms: int, ts: str = "ts_ms",
                  order=("ts_ms", "seq"), chunk_rows: int = 65_536,
-                 time_chunk_ms: int = 86_400_000) -> DataFrame:
+                 time_chunk_ms: int = 86_400_000, position: str | None = None) -> DataFrame:
     """Exact "either limit" grouping.  A group opens at its first row and
     closes when it holds ``size`` rows or when a row arrives ``interval`` or
     more after the group opened (that row opens the next group).  Distributed
     by row chunks with composed chunk functions (see ``grouping``): no task
     ever holds all rows of a key."""
-    return G.group_within(rows, key, size, interval_ms, ts, order, chunk_rows, time_chunk_ms)
+    return G.group_within(rows, key, size, interval_ms, ts, order, chunk_rows, time_chunk_ms, position)
 
 
 def newest_n(rows: DataFrame, n: int, key: str = "event_id") -> DataFrame:

@@ -371,7 +371,8 @@ def q_to_batches(spark, d):
 @query("group_within")
 def q_group_within(spark, d):
     s = _stream(spark, d).select("viewer_id", "msg_no", "deliver_ms")
-    return E.group_within(s, "viewer_id", BATCH_SIZE, BATCH_INTERVAL_MS, ts="deliver_ms", order=["msg_no"])
+    return E.group_within(s, "viewer_id", BATCH_SIZE, BATCH_INTERVAL_MS, ts="deliver_ms", order=["msg_no"],
+                          position="msg_no")
 
 
 @query("newest_n", W("updates") + f"""

@@ -60,17 +60,17 @@ def _brute_groups(ts, size, interval):
     return out
 
 
-@pytest.mark.parametrize("chunk_rows,size,interval", [(65_536, 3, 6 * 3_600_000), (3, 3, 6 * 3_600_000),
-                                                      (5, 3, 2 * 3_600_000), (4, 4, 3_600_000),
-                                                      (7, 2, 12 * 3_600_000)])
-def test_group_within_matches_brute_force(spark, chunk_rows, size, interval):
+@pytest.mark.parametrize("chunk_rows,size,interval,position", [
+    (65_536, 3, 6 * 3_600_000, None), (3, 3, 6 * 3_600_000, None), (5, 3, 2 * 3_600_000, "msg_no"),
+    (4, 4, 3_600_000, None), (7, 2, 12 * 3_600_000, "msg_no")])
+def test_group_within_matches_brute_force(spark, chunk_rows, size, interval, position):
     """Small chunks (many chunks and blocks per viewer) exercise the chunk
     functions, their composition and the entry states flowing back down."""
     s = D.viewer_stream(ST.updates(spark, "/root/testdata/sf0.001"), ST.viewers(spark, "/root/testdata/sf0.001"),
                         24 * 3_600_000, 6 * 3_600_000, ST.ORIGIN_MS)
     rows = s.select("viewer_id", "msg_no", "deliver_ms")
     got = E.group_within(rows, "viewer_id", size, interval, ts="deliver_ms", order=["msg_no"],
-                         chunk_rows=chunk_rows, time_chunk_ms=3 * 86_400_000).toPandas()
+                         chunk_rows=chunk_rows, time_chunk_ms=3 * 86_400_000, position=position).toPandas()
     assert len(got) == rows.count()
     for vid, pdf in got.groupby("viewer_id"):
         pdf = pdf.sort_values("msg_no")
@@ -83,13 +83,26 @@ def test_group_within_matches_brute_force(spark, chunk_rows, size, interval):
         assert pdf["group_open_ms"].tolist() == [opens[g] for g in want]
 
 
-def test_sequence_features_match_plain_window(spark):
+# chunk width, and rows above which a (key, chunk) cell is split further:
+# the default bound (no split here), a small bound (many hot cells), and one
+# chunk per key that only the split cuts up
+SPLITS = [(777, None), (777, 37), (None, 100)]
+
+
+def _chunk(width):
+    return F.floor(F.col("event_id") / width) if width else F.lit(0)
+
+
+@pytest.mark.parametrize("width,max_rows", SPLITS)
+def test_sequence_features_match_plain_window(spark, width, max_rows):
     from pyspark.sql import Window
+    from loctrack.operators.sequence import MAX_CHUNK_ROWS
     ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     df = ev.select(F.col("event_type").alias("k"), "event_id", F.col("value"))
-    got = sequence_features(df, ["k"], ["event_id"], F.floor(F.col("event_id") / 777),
+    got = sequence_features(df, ["k"], ["event_id"], _chunk(width),
                             prev=["value"], next=["event_id"],
-                            running={"cnt": Running(F.lit(1), "sum"), "mx": Running(F.col("value"), "max", False)})
+                            running={"cnt": Running(F.lit(1), "sum"), "mx": Running(F.col("value"), "max", False)},
+                            max_chunk_rows=max_rows or MAX_CHUNK_ROWS)
     w = Window.partitionBy("k").orderBy("event_id")
     want = df.select("k", "event_id", F.lag("value").over(w).alias("prev_value"),
                      F.lead("event_id").over(w).alias("next_event_id"),
@@ -111,13 +124,15 @@ def test_number_messages_and_resume(spark):
     assert [(x.silent_from_ms, x.resumed_ms) for x in r] == [(3000, 90_000)]
 
 
-def test_running_flag_count_matches_plain_window(spark):
+@pytest.mark.parametrize("width,max_rows", SPLITS)
+def test_running_flag_count_matches_plain_window(spark, width, max_rows):
     from pyspark.sql import Window
-    from loctrack.operators.sequence import running_flag_count
+    from loctrack.operators.sequence import MAX_CHUNK_ROWS, running_flag_count
     ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     df = ev.select(F.col("event_type").alias("k"), "event_id", "value")
-    got = running_flag_count(df, ["k"], ["event_id"], F.floor(F.col("event_id") / 311), ["value"],
-                             lambda p, c: p.isNull() | (c["value"] > p["value"] + 100), "n", keep_prev=True)
+    got = running_flag_count(df, ["k"], ["event_id"], _chunk(width), ["value"],
+                             lambda p, c: p.isNull() | (c["value"] > p["value"] + 100), "n", keep_prev=True,
+                             max_chunk_rows=max_rows or MAX_CHUNK_ROWS)
     w = Window.partitionBy("k").orderBy("event_id")
     prev = F.lag("value").over(w)
     want = df.withColumn("prev_value", prev).withColumn(
