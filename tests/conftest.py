@@ -13,7 +13,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from loctrack.session import build_session, checkpoint_dir
-    s = build_session("local[4]", 8, "loctrack-tests")
+    s = build_session("local[4]", 8, "loctrack-tests", extra={"spark.driver.memory": "4g"})
     checkpoint_dir(s)
     yield s
     s.stop()
