@@ -31,9 +31,10 @@ def heap_samples(lines: DataFrame, key: str = "recording", line_no: str = "line_
     spans a whole recording."""
     s = F.trim(F.col("line"))
     start = s.startswith(BLOCK_START)
-    # block numbers: running count of marker lines (chunked by line number)
+    # block numbers: running count of marker lines, chunked by consecutive line
+    # numbers: at most 100,000 rows per chunk by construction (no hot cells)
     b = sequence_features(lines.withColumn("_start", start.cast("long")), [key], [line_no],
-                          floor_div(line_no, 100_000),
+                          floor_div(line_no, 100_000), max_chunk_rows=None,
                           running={"_block": Running(F.col("_start"), "sum")})
     b = b.filter(F.col("_block") > 0)
     delta = (F.length(s) - F.length(F.regexp_replace(s, r"\{", ""))) \
@@ -93,16 +94,17 @@ def elapsed_seconds(samples: DataFrame, key: str = "recording", order: str = "sa
         .when(F.col("_f._iso").isNotNull(), F.lit("iso")).otherwise(F.lit("index"))
     first = first.select(key, fmt.alias("_fmt"), F.coalesce("_f._clock", "_f._iso").alias("_first_v"))
     s = s.join(first, key)
-    chunk = floor_div(order, 100_000)
+    chunk = floor_div(order, 100_000)      # consecutive sample numbers: bounded chunks
     out_cols = [c for c in samples.columns] + ["elapsed_s"]
-    idx = sequence_features(s.filter(F.col("_fmt") == "index"), [key], [order], chunk,
+    idx = sequence_features(s.filter(F.col("_fmt") == "index"), [key], [order], chunk, max_chunk_rows=None,
                             running={"_i": Running(F.lit(1).cast("long"), "sum")}) \
         .withColumn("elapsed_s", (F.col("_i") - 1).cast("double")).select(*out_cols)
     val = F.when(F.col("_fmt") == "clock", F.col("_clock")).otherwise(F.col("_iso"))
     p = s.filter(F.col("_fmt") != "index").withColumn("_v", val).filter(F.col("_v").isNotNull())
     # a day is added whenever the time goes backwards against the previous parsed row
     p = running_flag_count(p, [key], [order], chunk, ["_v"],
-                           lambda prev, cur: prev.isNotNull() & (cur["_v"] < prev["_v"]), "_days")
+                           lambda prev, cur: prev.isNotNull() & (cur["_v"] < prev["_v"]), "_days",
+                           max_chunk_rows=None)
     p = p.withColumn("elapsed_s", F.col("_v") - F.col("_first_v") + F.col("_days") * F.lit(float(DAY_S)))
     return idx.unionByName(p.select(*out_cols))
 

@@ -15,15 +15,26 @@ from loctrack.schemas import LOCATION
 
 
 def batch_grid(rows: DataFrame, key: str, ts: str, size: int, interval_ms: int,
-               origin_ms: int = 0, order: list[str] = ("ts_ms", "seq"), sub_chunks: int = 16) -> DataFrame:
+               origin_ms: int = 0, order: list[str] = ("ts_ms", "seq"), sub_chunks: int = 16,
+               position: str | None = None) -> DataFrame:
     """Replayable form of "group within (size, interval)": tumbling windows
     of ``interval`` per key, each cut into chunks of at most ``size`` rows.
     Adds ``window_ms`` (window start) and ``batch_no`` (0-based within it).
 
     The position in the window is a running count over (key, window) cut into
     ``sub_chunks`` time slices, so even one key's rows inside one window are
-    sorted by several tasks (see ``sequence_features``)."""
+    sorted by several tasks (see ``sequence_features``).  When ``position``
+    names a consecutive 1-based position of the rows of a key in
+    ``(ts, *order)``, the position in the window is ``position`` minus the
+    window's smallest one: a grouped minimum (partial aggregation) joined back,
+    no sort at all."""
     r = rows.withColumn("window_ms", grid_floor(F.col(ts), origin_ms, interval_ms))
+    if position is not None:
+        first = r.groupBy(key, "window_ms").agg(F.min(position).alias("_p0")) \
+            .select(F.col(key).alias("_fk"), F.col("window_ms").alias("_fw"), "_p0")
+        j = r.join(first, (F.col(key).eqNullSafe(F.col("_fk"))) & (F.col("window_ms") == F.col("_fw")))
+        return j.withColumn("batch_no", floor_div(F.col(position) - F.col("_p0"), size)) \
+            .drop("_fk", "_fw", "_p0")
     sub = max(interval_ms // max(sub_chunks, 1), 1)
     n = sequence_features(r, [key, "window_ms"], [ts, *order], floor_div(F.col(ts) - F.lit(origin_ms), sub),
                           running={"_pos": Running(F.lit(1), "sum")})

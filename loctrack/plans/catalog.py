@@ -341,8 +341,9 @@ _GRID_ORDER = ["phase", "ts_ms", "seq", "entity_id"]
 
 
 def _grid(spark, d):
+    # msg_no is the viewer's consecutive position in (deliver_ms, *_GRID_ORDER)
     return E.batch_grid(_stream(spark, d), "viewer_id", "deliver_ms", BATCH_SIZE, BATCH_INTERVAL_MS,
-                        ORIGIN_MS, _GRID_ORDER)
+                        ORIGIN_MS, _GRID_ORDER, position="msg_no")
 
 
 @query("batch_grid", W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, GRID]) + """

@@ -142,3 +142,14 @@ def test_running_flag_count_matches_plain_window(spark, width, max_rows):
     a = got.select(*cols).toPandas().sort_values("event_id").reset_index(drop=True)
     b = want.select(*cols).toPandas().sort_values("event_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
+
+
+def test_batch_grid_position_equals_sorted_path(spark):
+    """The msg_no shortcut gives the same batches as the chunked window positions."""
+    d = "/root/testdata/sf0.001"
+    s = D.viewer_stream(ST.updates(spark, d), ST.viewers(spark, d), 24 * 3_600_000, 6 * 3_600_000, ST.ORIGIN_MS)
+    order = ["phase", "ts_ms", "seq", "entity_id"]
+    a = E.batch_grid(s, "viewer_id", "deliver_ms", 3, 6 * 3_600_000, ST.ORIGIN_MS, order)
+    b = E.batch_grid(s, "viewer_id", "deliver_ms", 3, 6 * 3_600_000, ST.ORIGIN_MS, order, position="msg_no")
+    cols = ["viewer_id", "msg_no", "window_ms", "batch_no"]
+    assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
