@@ -762,6 +762,65 @@ def q_publish_metrics_text(spark, d):
     return A.publish_metrics_text(ST.publish_metrics(spark, d))
 
 
+# =========================================================================== K: streaming (rows only)
+def _replay(spark, src: DataFrame, name: str, build, time_col: str, files: int = 4) -> DataFrame:
+    """Replay a derived table as a stream through a K operator.
+
+    The table is written under the shared checkpoint folder (cut into ``files``
+    ranges of ``time_col``), read back with ``readStream`` and run to the end of input
+    (``availableNow``); every micro-batch is written to its own folder of a
+    parquet sink there (a replayed batch overwrites its own output), and the
+    sink is returned as a batch DataFrame."""
+    import uuid
+
+    from loctrack.session import checkpoint_dir
+    from loctrack.streaming import stream_checkpoint
+    base = f"{checkpoint_dir(spark).rstrip('/')}/replay/{name}-{uuid.uuid4().hex[:12]}"
+    src.repartitionByRange(files, time_col).write.parquet(f"{base}/input")
+    stream = spark.readStream.schema(src.schema).parquet(f"{base}/input")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    out = build(stream)
+    mode = "update" if out.isStreaming and name == "latest_state_stream" else "append"
+    q = out.writeStream.foreachBatch(sink).outputMode(mode) \
+        .option("checkpointLocation", stream_checkpoint(spark, name)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out/*")
+
+
+@query("latest_state_stream")
+def q_latest_state_stream(spark, d):
+    from loctrack import streaming as K
+    u = _updates(spark, d).select("event_id", "entity_id", "longitude", "latitude", "seq", "ts_ms")
+    return _replay(spark, u, "latest_state_stream",
+                   lambda s: K.latest_state_stream(s, LOC_TTL_MS, emit_removals=True), "ts_ms")
+
+
+@query("group_within_stream")
+def q_group_within_stream(spark, d):
+    from loctrack import streaming as K
+    rows = _stream(spark, d).select(F.col("viewer_id").cast("string").alias("viewer_id"), "msg_no", "deliver_ms")
+    return _replay(spark, rows, "group_within_stream",
+                   lambda s: K.group_within_stream(s, "viewer_id", BATCH_SIZE, BATCH_INTERVAL_MS, ts="deliver_ms"),
+                   "deliver_ms")
+
+
+@query("channel_sessions_stream")
+def q_channel_sessions_stream(spark, d):
+    from loctrack import streaming as K
+    return _replay(spark, ST.accesses(spark, d), "channel_sessions_stream",
+                   lambda s: K.channel_sessions_stream(s, CHAN_TTL_MS), "access_ms")
+
+
+@query("publish_rate_stream")
+def q_publish_rate_stream(spark, d):
+    from loctrack import streaming as K
+    u = _updates(spark, d).select("event_id", "entity_id", "seq", "ts_ms")
+    return _replay(spark, u, "publish_rate_stream", lambda s: K.publish_rate_stream(s, HOUR_MS), "ts_ms")
+
+
 def queries_defined():
     return list(QUERIES)
 
