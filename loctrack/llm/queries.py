@@ -75,9 +75,9 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 w AS (SELECT doc_id, pos, array_to_string(lines[pos + 1 : pos + 3], chr(10)) AS body
   FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM d WHERE len(lines) >= 3)),
 o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS k FROM w WHERE regexp_matches(body, '[^\x20\x09-\x0D]')),
-gone AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS at FROM o WHERE k > 1 GROUP BY doc_id),
-r AS (SELECT doc_id, lines, coalesce(at, []) AS at FROM d LEFT JOIN gone USING (doc_id)),
-k AS (SELECT doc_id, lines, list_filter(range(0, len(lines)), lambda i: NOT list_contains(at, i)) AS keep FROM r)
+gone AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS places FROM o WHERE k > 1 GROUP BY doc_id),
+r AS (SELECT doc_id, lines, coalesce(places, []) AS places FROM d LEFT JOIN gone USING (doc_id)),
+k AS (SELECT doc_id, lines, list_filter(range(0, len(lines)), lambda i: NOT list_contains(places, i)) AS keep FROM r)
 SELECT doc_id, CASE WHEN lines IS NOT NULL THEN coalesce(array_to_string(list_transform(keep, lambda i: lines[i + 1]), chr(10)), '') END AS text,
   coalesce(len(lines), 0)::BIGINT AS lines_before, coalesce(len(lines) - len(keep), 0)::BIGINT AS lines_removed FROM k
 """
