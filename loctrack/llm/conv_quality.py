@@ -33,6 +33,9 @@ CHUNK, STRIDE = 512, 448
 #: Training rows of each class, and chunks of each, at most.
 SAMPLE, SAMPLE_CHUNKS = 1500, 8
 STEPS, BATCH, RATE = 500, 32, 0.01
+#: Share of good rows that are cut to a short piece in a training step, and its
+#: bytes: a piece of a good text is good, and few labelled texts are short.
+CUT_SHARE, CUT_BYTES = 0.25, (10, 200)
 #: Score from which the prediction is 1.
 CUT = 0.7
 #: Chunks that are scored at a time.
@@ -73,6 +76,11 @@ class Net:
         for step in range(1, STEPS + 1):
             rows = np.concatenate([rng.choice(s, BATCH // 2) for s in sides])
             picked = [texts[r] for r in rows]
+            for i in np.flatnonzero((labels[rows] == 1) & (rng.random(BATCH) < CUT_SHARE)):
+                piece = np.zeros((1, CHUNK), np.uint8)
+                n = rng.integers(*CUT_BYTES)
+                piece[0, :n] = picked[i][rng.integers(len(picked[i])), :n]
+                picked[i] = piece
             of = np.repeat(np.arange(BATCH), [len(p) for p in picked])
             x, y = np.concatenate(picked), labels[rows]
             z = sum(self.filters[k][x[:, at + k]] for k in range(WIDTH))

@@ -6,7 +6,7 @@ asks the stored index for every window of the benchmark items: in each segment
 it starts from the window's rarest term, shifts the position lists by the
 offsets of the terms, and intersects list after list, rarest first.  With a
 slop of 0 a match is an exact phrase; with slop s it is a proximity match, in
-which each word lies at most s words from its place relative to the rarest one.
+which each word lies at most s words from its place in a window put somewhere.
 
 The index is sharded by document, so no term, however frequent, gathers in one
 task, and nothing but small rows for each document is shuffled.  The benchmark
@@ -134,29 +134,27 @@ class Segment:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _intersect(self, q: Queries, part: np.ndarray, term: np.ndarray, count: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(part):
+            return np.empty(0, np.int64), part
         order = np.argsort(count[part], axis=1, kind="stable")
-        rarest = term[part, order[:, 0]] if len(part) else part
-        n = self.counts[rarest] if len(part) else part
+        rarest = term[part, order[:, 0]]
+        n = self.counts[rarest]
         row = np.repeat(np.arange(len(part)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.first[rarest[row]] if len(row) else row
-        start = self.positions[at] - order[row, 0] if len(row) else row
+        anchor = self.positions[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.first[rarest[row]]]
+        doc = np.searchsorted(self.starts, anchor, "right") - 1
+        start, shift = anchor - order[row, 0], np.arange(-slop, slop + 1)
+        row, doc, start = np.repeat(row, len(shift)), np.repeat(doc, len(shift)), (start[:, None] + shift).ravel()
         for k in range(1, q.windows.shape[1]):
             if not len(row):
                 break
             offset = order[row, k]
             wanted = term[part[row], offset]
-            low = wanted * self.size + (start + offset - slop).clip(0)
-            high = wanted * self.size + (start + offset + slop).clip(-1, self.size - 1)
+            low = wanted * self.size + np.maximum(start + offset - slop, self.starts[doc])
+            high = wanted * self.size + np.minimum(start + offset + slop, self.starts[doc + 1] - 1)
             there = self.keys[np.searchsorted(self.keys, low).clip(0, len(self.keys) - 1)]
             keep = (wanted == -2) | (there >= low) & (there <= high)
-            row, start = row[keep], start[keep]
-        if slop:
-            start = start.clip(0)
-        doc = np.searchsorted(self.starts, start, "right") - 1
-        inside = (start >= 0) & (start + q.lengths[part[row]] <= self.starts[(doc + 1).clip(0, len(self.starts) - 1)])
-        if slop:  # near the end of a document the window may reach beyond it
-            inside = (start >= 0) & (doc < len(self.starts) - 1)
-        return start[inside], part[row[inside]]
+            row, doc, start = row[keep], doc[keep], start[keep]
+        return start.clip(self.starts[doc], self.starts[doc + 1] - 1), part[row]
 
 
 MATCH_SCHEMA = "segment bigint, ordinal int, doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<bigint>, near array<bigint>"
