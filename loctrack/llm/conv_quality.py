@@ -35,7 +35,7 @@ SAMPLE, SAMPLE_CHUNKS = 1500, 8
 STEPS, BATCH, RATE = 500, 32, 0.01
 #: Share of good rows that are cut to a short piece in a training step, and its
 #: bytes: a piece of a good text is good, and few labelled texts are short.
-CUT_SHARE, CUT_BYTES = 0.25, (10, 200)
+CUT_SHARE, CUT_BYTES = 0.15, (10, 200)
 #: Score from which the prediction is 1.
 CUT = 0.7
 #: Chunks that are scored at a time.
@@ -67,7 +67,7 @@ class Net:
         return hidden, 1 / (1 + np.exp(-np.clip(hidden @ self.w2 + self.b2[0], -30, 30)))
 
     def train(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Net:
-        """Adam on batches with as many rows of either class."""
+        """Adam, at a falling rate, on batches with as many rows of either class."""
         rng = np.random.default_rng(seed)
         params = [self.filters, self.w1, self.b1, self.w2, self.b2]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -103,7 +103,7 @@ class Net:
             for i, (q, g) in enumerate(zip(params, grads, strict=True)):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.99 * v[i] + 0.01 * g * g
-                q -= (RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                q -= (RATE * (1 - step / (STEPS + 1)) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return self
 
 
