@@ -189,10 +189,10 @@ def _spans(seg: Segment, starts: np.ndarray, q: Queries, of: np.ndarray) -> list
     return out
 
 
-def find_matches(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+def find_matches(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int | None = SLOP) -> DataFrame:
     """A row for each document of the index and block of items: its words, the
     spans covered by exact phrases, the items with such phrases, and the items
-    with proximity matches."""
+    with proximity matches (none are looked for if ``slop`` is None)."""
     rows = keyed(items, item_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // BLOCK_BYTES) + 1
@@ -204,7 +204,8 @@ def find_matches(index: DataFrame, items: DataFrame, item_col: str = "item_id",
             for batch in slices(batches, 1):
                 r = {k: v[0] for k, v in batch.to_pydict().items()}
                 seg = Segment(r["starts"], r["terms"], r["counts"], r["positions"])
-                exact, near = seg.matches(q, 0), seg.matches(q, slop)
+                exact = seg.matches(q, 0)
+                near = seg.matches(q, slop) if slop is not None else (exact[0][:0], exact[1][:0])
                 n = len(seg.starts) - 1
                 columns = [[r["segment"]] * n, range(n), r["ids"], np.diff(seg.starts), _spans(seg, exact[0], q, exact[1]), _by_document(seg, exact[0], q, exact[1]), _by_document(seg, near[0], q, near[1])]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -215,7 +216,7 @@ def find_matches(index: DataFrame, items: DataFrame, item_col: str = "item_id",
     return found
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = SLOP) -> DataFrame:
     """A row for each document: words, words inside exact phrases, the items
     with such phrases and those with proximity matches."""
     found = find_matches(build_index(docs, id_col, text_col), items, item_col, item_text_col, window, slop)
@@ -233,5 +234,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window of an item."""
-    found = contamination(docs, items, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("_hit_id")).distinct()
+    found = contamination(docs, items, id_col, text_col, slop=None).where("n_hit > 0").select(F.col("doc_id").alias("_hit_id")).distinct()
     return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_hit_id")), "left_anti")

@@ -22,8 +22,8 @@ def digest_of(ids: Column) -> Column:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest_of(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=None)
+    return found.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest_of(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +95,56 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
 """
 
 
-ORACLES: dict[str, str] = {"op8_warc_zip": OP8_SQL, "op9_line_dedup": OP9_SQL}
+#: Windows of documents as text, joined with those of the items.
+OP1_SQL = r"""
+WITH lo AS (SELECT 'abcdefghijklmnopqrstuvwxyz' AS a),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), upper(a), a), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, lo),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), upper(a), a), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, lo),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k + 1 : k + 10], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(0, greatest(1, len(w) - 9))) AS k FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, k, n, array_to_string(w[k + 1 : k + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, k, dw.n FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+def _kind_sql(kind: int, name: str, pattern: str, group: int, keep: str) -> str:
+    """Spans of one kind; the lengths of the pieces between the matches give the
+    places."""
+    return f"""
+SELECT doc_id, source, lang, {kind} AS kind, '{name}' AS name, s, s + length(m[i]) AS e, md5(v[i]) AS hash FROM (
+  SELECT doc_id, source, lang, m, v, i, list_sum(list_transform(gaps[1 : i], lambda x: length(x)))::BIGINT
+    + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0)::BIGINT AS s FROM (
+    SELECT doc_id, source, lang, m, v, gaps, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, source, lang, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS v, string_split_regex(text, '{pattern}') AS gaps
+      FROM documents WHERE regexp_matches(text, '{pattern}'))))
+WHERE {keep}"""
+
+
+_ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) + "?" * (w == "api_") + ("[Kk][Ee][Yy]" if w == "api_" else "") for w in ("password", "passwd", "secret", "token", "api_"))
+_RUN = "[A-Za-z0-9+/_=-]{20,}"
+
+OP10_SQL = f"""
+WITH base AS ({_kind_sql(0, "assign", f"""({_ANY_CASE})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, "length(v[i]) >= 6")}
+UNION ALL {_kind_sql(1, "access", "AKIA[A-Z0-9]{16,}", 0, "true")}
+UNION ALL {_kind_sql(2, "hex", "[0-9a-f]{24,}", 0, "true")}),
+runs AS ({_kind_sql(3, "owned", _RUN, 0, "regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Za-z]')")}),
+cand AS (SELECT * FROM base UNION ALL
+  SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND r.s < b.e)),
+freq AS (SELECT hash, count(DISTINCT source) <= 2 AS live FROM cand GROUP BY hash),
+per AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h,
+    string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+    string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3 OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+  FROM cand JOIN freq USING (hash) GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op8_warc_zip": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_secrets": OP10_SQL}
