@@ -96,7 +96,7 @@ def join_ids(arr, sep: str = "|") -> Column:
 def floor_div(a, b) -> Column:
     """Exact integer floor division (b > 0)."""
     a, b = _c(a), (F.lit(b) if isinstance(b, int) else _c(b))
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
 
 
 def ceil_div(a, b) -> Column:

@@ -2,9 +2,9 @@
 stale rows in a viewer's table, isolation between events.
 
 Every join keeps the equality on ``event_id`` so Spark plans a hash join with a
-range post-filter, never a nested loop.  The viewer side is broadcast only
-after its row count is checked (``broadcast_if_small``); otherwise both sides
-shuffle on the event and AQE splits a hot event's partition.
+range post-filter, never a nested loop.  No side is hinted: Spark broadcasts the
+viewers only when their measured bytes are under its threshold; otherwise both
+sides shuffle on the event and AQE splits a hot event's partition.
 """
 
 from __future__ import annotations
@@ -15,28 +15,22 @@ from pyspark.sql import functions as F
 from loctrack.functions import floor_div, split_ids
 from loctrack.operators import state as C
 from loctrack.operators.sequence import Running, sequence_features
-from loctrack.plans.sizing import DEFAULT_MAX_ROWS, broadcast_if_small
 
 _UPD = ["event_id", "entity_id", "longitude", "latitude", "ts_ms", "seq"]
 
 
-def fan_out(updates: DataFrame, viewers: DataFrame,
-            max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def fan_out(updates: DataFrame, viewers: DataFrame) -> DataFrame:
     """Every update to every viewer of its event subscribed at that time
     (``subscribed_ms < ts <= left_ms``, open end when ``left_ms`` is null)."""
-    v = broadcast_if_small(viewers.select("viewer_id", F.col("event_id").alias("_ev"),
-                                          "subscribed_ms", "left_ms"), max_broadcast_rows)
+    v = viewers.select("viewer_id", F.col("event_id").alias("_ev"), "subscribed_ms", "left_ms")
     cond = ((updates["event_id"] == v["_ev"]) & (updates["ts_ms"] > v["subscribed_ms"])
             & (v["left_ms"].isNull() | (updates["ts_ms"] <= v["left_ms"])))
     return updates.join(v, cond, "inner").select("viewer_id", *_UPD, "subscribed_ms")
 
 
 def _versions(updates: DataFrame, chunk_ms: int) -> DataFrame:
-    """Each update with the time of the next update of its key (null: still latest).
-    Keyed by (event, entity): one participant's updates per chunk are bounded by
-    its publish rate, so no hot-cell count is needed."""
-    return sequence_features(updates.select(*_UPD), C.KEY, C.ORDER, floor_div("ts_ms", chunk_ms),
-                             next=["ts_ms"], max_chunk_rows=None)
+    """Each update with the time of the next update of its key (null: still latest)."""
+    return sequence_features(updates.select(*_UPD), C.KEY, C.ORDER, floor_div("ts_ms", chunk_ms), next=["ts_ms"])
 
 
 def _visible_at(t, ttl_ms: int, sweep_ms: int, origin_ms: int, read_ttl: bool):
@@ -51,8 +45,7 @@ def _visible_at(t, ttl_ms: int, sweep_ms: int, origin_ms: int, read_ttl: bool):
 
 def snapshot_for_viewers(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms: int,
                          origin_ms: int = 0, read_ttl: bool = False,
-                         chunk_ms: int = 86_400_000,
-                         max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                         chunk_ms: int = 86_400_000) -> DataFrame:
     """The snapshot each viewer receives when it subscribes (as-of join).
 
     Each update is turned into a version valid from its ts until the next update
@@ -60,8 +53,7 @@ def snapshot_for_viewers(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sw
     ``ts <= T < next_ts`` -- one row per visible entity, no per-viewer history
     blow-up -- and the sweep-grid visibility of C5 is applied to T."""
     ver = _versions(updates, chunk_ms)
-    v = broadcast_if_small(viewers.select("viewer_id", F.col("event_id").alias("_ev"),
-                                          "subscribed_ms"), max_broadcast_rows)
+    v = viewers.select("viewer_id", F.col("event_id").alias("_ev"), "subscribed_ms")
     t = F.col("subscribed_ms")
     cond = ((ver["event_id"] == v["_ev"]) & (ver["ts_ms"] <= v["subscribed_ms"])
             & (ver["next_ts_ms"].isNull() | (ver["next_ts_ms"] > v["subscribed_ms"])))
@@ -71,18 +63,16 @@ def snapshot_for_viewers(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sw
 
 
 def viewer_stream(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms: int,
-                  origin_ms: int = 0, chunk_ms: int = 86_400_000,
-                  max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                  origin_ms: int = 0, chunk_ms: int = 86_400_000, number: bool = True) -> DataFrame:
     """D3: what each viewer receives, in order: its snapshot (phase 0, delivered
     at subscription) and then the live updates (phase 1), numbered per viewer
-    by (phase, ts, seq).  Rows are cut exactly once at ``subscribed_ms``.
+    by (phase, ts, seq) unless ``number`` is False.  Rows are cut exactly once at ``subscribed_ms``.
 
     One pass: every update version meets the viewers of its event once; it is
     in a viewer's snapshot when it is the visible version at subscription
     (D2), and live when it arrives while the viewer is subscribed (D1)."""
     ver = _versions(updates, chunk_ms)
-    v = broadcast_if_small(viewers.select("viewer_id", F.col("event_id").alias("_ev"),
-                                          "subscribed_ms", "left_ms"), max_broadcast_rows)
+    v = viewers.select("viewer_id", F.col("event_id").alias("_ev"), "subscribed_ms", "left_ms")
     t, ts = v["subscribed_ms"], ver["ts_ms"]
     snap = (ts <= t) & (ver["next_ts_ms"].isNull() | (ver["next_ts_ms"] > t))
     live = (ts > t) & (v["left_ms"].isNull() | (ts <= v["left_ms"]))
@@ -93,6 +83,8 @@ def viewer_stream(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms:
     both = j.select("viewer_id", *_UPD, "subscribed_ms", "phase",
                     F.when(F.col("phase") == 0, F.col("subscribed_ms")).otherwise(F.col("ts_ms"))
                     .alias("deliver_ms"))
+    if not number:
+        return both
     order = ["deliver_ms", "phase", "ts_ms", "seq", "entity_id"]
     return sequence_features(both, ["viewer_id"], order, floor_div("deliver_ms", chunk_ms),
                              running={"msg_no": Running(F.lit(1).cast("long"), "sum")})

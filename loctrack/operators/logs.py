@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loctrack import schemas as S
@@ -42,12 +42,15 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
 
 def crash_scan(logs: DataFrame, tail: int | None = None) -> DataFrame:
     """Lines that show a crash: an indicator word, or ``exit code N`` with
-    N != "0".  ``tail`` limits the scan to the last lines (top-N by line number,
-    the only place a limit is the feature)."""
+    N != "0".  ``tail`` limits the scan to the last lines of each log (top-N by
+    line number per ``source_file``, the only place a limit is the feature)."""
     src = logs
     if tail is not None:
-        # top-N: each task keeps its last ``tail`` lines, the driver merges N per task
-        src = logs.orderBy(F.col("line_no").desc()).limit(tail)
+        # a rank filter: each task forwards at most ``tail`` lines of a log
+        log = [F.col("source_file")] if "source_file" in logs.columns else []
+        w = Window.partitionBy(*log).orderBy(F.col("line_no").desc())
+        src = logs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= tail).drop("_rn") if log \
+            else logs.orderBy(F.col("line_no").desc()).limit(tail)
     txt = F.col("text") if "text" in src.columns else F.col("line")
     hit = F.lit(None).cast("string")
     for word in reversed(S.CRASH_INDICATORS):

@@ -3,13 +3,15 @@ history (rates, gauges, histograms, bandwidth)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loctrack import schemas as S
 from loctrack.functions import ceil_div, floor_div, grid_ceil, grid_floor, split_ids
 from loctrack.operators.sequence import Running, sequence_features
-from loctrack.plans.sizing import broadcast_if_small
 
 DEFAULT_PS = (0.5, 0.95, 0.99)
 
@@ -57,73 +59,81 @@ def seen_entities(deliveries: DataFrame, approx: bool = False) -> DataFrame:
 def expected_count_check(metrics: DataFrame, entities: int | Column, interval_s: int,
                          minutes: int, tol: float = 0.1, by: list[str] = ("event_id",)) -> DataFrame:
     """Actual rows per key against entities * (60 div interval) * minutes,
-    accepted within +-tol of the expected count (integer arithmetic as the
-    load tool does)."""
+    accepted within +-tol of the expected count (rounded down, in decimal
+    arithmetic, so any tolerance is exact)."""
     per_min = 60 // interval_s
     ent = entities if isinstance(entities, Column) else F.lit(entities)
     c = metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("actual"),
                                  F.count_distinct("skater_id").alias("n_entities"))
     ent = F.col("n_entities") if entities is None else ent
     exp = (ent * F.lit(per_min) * F.lit(minutes)).cast("long")
-    delta = floor_div(exp * F.lit(int(round(tol * 100))), 100)
+    delta = F.floor(exp.cast("decimal(20,0)") * F.lit(Decimal(str(tol)))).cast("long")
     return c.withColumn("expected", exp).withColumn("allowed_delta", delta) \
         .withColumn("within", F.abs(F.col("actual") - F.col("expected")) <= F.col("allowed_delta"))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps=DEFAULT_PS,
-                      width: float = 1.0, names: list[str] | None = None) -> DataFrame:
-    """Exact linear-interpolated percentiles (``percentile_cont``) per key,
-    without buffering a group in one task.
-
-    1. count rows per (key, value) -- partial aggregation;
-    2. running count over the values of a key, cut in value chunks of ``width``
-       (the chunked sequence helper), giving each value its rank range;
-    3. one small target row per (key, p) with the ranks floor/ceil(p * (n-1));
-       a join on the key with a rank-range condition picks the two values and
-       interpolates.
-    """
-    names = names or [f"p{int(round(p * 100))}" for p in ps]
-    vc = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    chunk = F.floor(F.col(value) / F.lit(width)).cast("long")
-    cum = sequence_features(vc, list(keys), [value], chunk, running={"_cum": Running(F.col("_c"), "sum")})
-    cum = cum.withColumn("_lo_rank", F.col("_cum") - F.col("_c"))
-    n = vc.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    tg = n.select(*keys, "_n", F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(nm).alias("name"))
-                                                   for p, nm in zip(ps, names)])).alias("_t"))
-    h = F.col("_t.p") * (F.col("_n") - F.lit(1)).cast("double")
-    tg = tg.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_t.name").alias("_name"),
-                   h.alias("_h"), F.floor(h).cast("long").alias("_lo"), F.ceil(h).cast("long").alias("_hi"))
-    tg = broadcast_if_small(tg)
-    eq = [cum[k].eqNullSafe(tg[f"_k_{k}"]) for k in keys]
-    at_lo = (cum["_lo_rank"] <= tg["_lo"]) & (tg["_lo"] < cum["_cum"])
-    at_hi = (cum["_lo_rank"] <= tg["_hi"]) & (tg["_hi"] < cum["_cum"])
-    cond = eq[0]
-    for e in eq[1:]:
-        cond = cond & e
-    j = cum.join(tg, cond & (at_lo | at_hi), "inner")
-    per = j.groupBy(*keys, "_name", "_h", "_lo").agg(
-        F.max(F.when(at_lo, F.col(value))).alias("_vlo"),
-        F.max(F.when(at_hi, F.col(value))).alias("_vhi"))
-    res = F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))
-    per = per.withColumn("_res", res)
-    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == nm, F.col("_res"))).alias(nm)
-                                    for nm in names])
-
-
-def value_summary(df: DataFrame, keys: list[str], value: str, exact: bool = True,
-                  ps=DEFAULT_PS, width: float = 1.0) -> DataFrame:
-    """n, min, mean, max and percentiles of ``value`` per key.  ``exact=False``
-    uses ``percentile_approx`` (one pass, bounded memory per group)."""
-    basic = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"),
-        F.max(value).alias("max"))
-    names = [f"p{int(round(p * 100))}" for p in ps]
+def _names(ps) -> list[str]:
+    return [f"p{int(round(p * 100))}" for p in ps]
+
+
+def value_summary(df: DataFrame, keys: list[str], value: str, exact: bool = True, ps=DEFAULT_PS,
+                  counts: dict[str, Callable[[Column], Column]] | None = None, cells: int = 256) -> DataFrame:
+    """n, min, mean, max and linear-interpolated percentiles of ``value`` per
+    key, and how many values fulfil each condition of ``counts``.
+
+    No task holds a group.  Rows are counted per (key, value) with partial
+    aggregation, and all the rest works on these counts: a running count over
+    the values of a key, cut into ``cells`` chunks of the key's own value range
+    (the chunked sequence helper, which cuts fuller chunks further), gives each
+    value its range of ranks, and one aggregation picks the two values around
+    each percentile's rank.  Null keys are a group; NaN sorts behind all values;
+    without keys the whole table is one group.
+
+    ``exact=False`` uses ``percentile_approx`` (one pass, bounded memory)."""
+    counts, keys = counts or {}, list(keys)
+    v, names = F.col(value), _names(ps)
+    src = df.filter(v.isNotNull())
     if not exact:
-        pa = df.groupBy(*keys).agg(F.percentile_approx(value, list(ps), 10000).alias("_pa"))
-        pa = pa.select(*keys, *[F.col("_pa")[i].cast("double").alias(nm) for i, nm in enumerate(names)])
-    else:
-        pa = exact_percentiles(df, list(keys), value, ps, width, names)
-    return basic.join(pa, list(keys), "left")
+        extra = [F.count_if(f(v)).alias(k) for k, f in counts.items()]
+        pa = F.percentile_approx(value, list(ps), 10000).alias("_pa")
+        out = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"),
+                                     F.max(value).alias("max"), *extra, pa)
+        return out.select(*keys, "n", "min", "mean", "max", *[F.col("_pa")[i].cast("double").alias(k) for i, k in enumerate(names)], *counts)
+    by = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
+    src = src.select(*([F.col(k).alias(b) for k, b in zip(keys, by)] or [F.lit(0).alias("_k0")]), v.cast("double").alias("_x"))
+    x, c = F.col("_x"), F.col("_c")
+    vc = src.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    finite = F.when(~F.isnan(x) & (F.abs(x) < 1e300), x)
+    stats = vc.groupBy(*by).agg(
+        F.sum("_c").alias("n"), F.min("_x").alias("min"), (F.sum(x * c) / F.sum("_c")).alias("mean"), F.max("_x").alias("max"),
+        F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
+        *[F.coalesce(F.sum(F.when(f(x), c)), F.lit(0)).alias(k) for k, f in counts.items()]) \
+        .select(*[F.col(b).alias(f"_s{b}") for b in by], "n", "min", "mean", "max", "_lo", "_hi", *counts)
+    same = [F.col(b).eqNullSafe(F.col(f"_s{b}")) for b in by]
+    on = same[0]
+    for e in same[1:]:
+        on = on & e
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / F.lit(float(cells)), F.lit(1e-9))
+    chunk = F.when(F.isnan(x) | (x >= 1e300), F.lit(cells + 1)).when(x <= -1e300, F.lit(-1)) \
+        .otherwise(F.least(F.floor((x - F.col("_lo")) / width), F.lit(cells)).cast("int"))
+    j = vc.join(stats, on).withColumn("_cell", chunk)
+    cum = sequence_features(j, by, ["_x"], F.col("_cell"), running={"_cum": Running(c, "sum")})
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_cum") - c <= rank) & (rank < F.col("_cum")), x))
+
+    picks = []
+    for p, name in zip(ps, names):
+        h = F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        picks += [at(F.floor(h)).alias(f"_a{name}"), at(F.ceil(h)).alias(f"_b{name}")]
+    first = [F.first(k).alias(k) for k in ("n", "min", "mean", "max", *counts)]
+    out = cum.groupBy(*by).agg(*first, *picks)
+    ends = []
+    for p, name in zip(ps, names):
+        h = F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        lo, hi = F.col(f"_a{name}"), F.col(f"_b{name}")
+        ends.append(F.when(lo == hi, lo).otherwise(lo + (h - F.floor(h)) * (hi - lo)).alias(name))
+    return out.select(*[F.col(b).alias(k) for k, b in zip(keys, by)], "n", "min", "mean", "max", *ends, *counts)
 
 
 def response_time_summary(metrics: DataFrame, by: list[str] = ("event_id",), exact: bool = True) -> DataFrame:
@@ -144,8 +154,7 @@ def delivery_latency_summary(deliveries: DataFrame, by: list[str] = ("event_id",
                              exact: bool = True) -> DataFrame:
     """G6 summary per key, with the count of negative latencies."""
     lat = delivery_latency(deliveries)
-    neg = lat.groupBy(*by).agg(F.count_if("negative").alias("n_negative"))
-    return value_summary(lat, list(by), "latency_ms", exact).join(neg, list(by), "left")
+    return value_summary(lat, list(by), "latency_ms", exact, counts={"n_negative": lambda v: v < 0})
 
 
 def explode_locations(batches: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,11 +172,16 @@ def batching_delay(batches: DataFrame, keys: list[str] = ("viewer_id",)) -> Data
 def publish_to_delivery(updates: DataFrame, delivered: DataFrame) -> DataFrame:
     """End-to-end delay per update and viewer: join the published updates
     with the delivered locations on (event, entity, ts) -- both sides shuffle
-    on the same key, a hot event splits by entity and time."""
-    d = delivered.select("viewer_id", "event_id", "entity_id", "ts_ms",
-                         F.col("serverTime").alias("delivered_ms"))
-    return updates.select("event_id", "entity_id", "ts_ms", "seq") \
-        .join(d, ["event_id", "entity_id", "ts_ms"], "inner") \
+    on the same key, a hot event splits by entity and time.
+
+    Updates of a participant that share their time are told apart by their
+    order (``seq`` and the place in the batches), so ties don't multiply."""
+    key = ["event_id", "entity_id", "ts_ms"]
+    tie = F.row_number()
+    d = delivered.select("viewer_id", *key, F.col("serverTime").alias("delivered_ms"), "pos",
+                         tie.over(Window.partitionBy(*key, "viewer_id").orderBy("serverTime", "pos")).alias("_tie"))
+    u = updates.select(*key, "seq", tie.over(Window.partitionBy(*key).orderBy("seq")).alias("_tie"))
+    return u.join(d, [*key, "_tie"], "inner").drop("_tie", "pos") \
         .withColumn("delay_ms", F.col("delivered_ms") - F.col("ts_ms"))
 
 
@@ -178,28 +192,26 @@ def publish_rate(updates: DataFrame, window_ms: int = 60_000, origin_ms: int = 0
         .withColumn("per_minute", F.col("n_updates") * F.lit(60_000.0) / F.lit(float(window_ms)))
 
 
-def _deltas(iv: DataFrame, start: str, end: str, grid_ms: int, origin_ms: int, name: str) -> DataFrame:
-    """+1 at the first grid point >= start, -1 at the first grid point >= end:
-    the interval [start, end) covers exactly the grid points in between."""
-    a = iv.select(grid_ceil(F.col(start), origin_ms, grid_ms).alias("t_ms"), F.lit(1).cast("long").alias(name))
-    b = iv.filter(F.col(end).isNotNull()) \
-        .select(grid_ceil(F.col(end), origin_ms, grid_ms).alias("t_ms"), F.lit(-1).cast("long").alias(name))
-    return a.unionByName(b)
-
-
-def active_gauges(presence: DataFrame, entity_lives: DataFrame, viewers: DataFrame,
+def active_gauges(presence: DataFrame, lifetimes: DataFrame, viewers: DataFrame,
                   grid_ms: int, origin_ms: int = 0) -> DataFrame:
     """Per grid time point where anything changes: active events, live
-    entities, open viewers.  Interval endpoints become +1/-1 deltas summed per
-    grid point (partial aggregation), then a running sum over the grid points
-    -- a table with one row per point, not per interval."""
-    d = _deltas(presence, "present_from_ms", "removed_at_ms", grid_ms, origin_ms, "d_events") \
-        .unionByName(_deltas(entity_lives, "from_ms", "to_ms", grid_ms, origin_ms, "d_entities"),
-                     allowMissingColumns=True) \
-        .unionByName(_deltas(viewers, "subscribed_ms", "left_ms", grid_ms, origin_ms, "d_viewers"),
-                     allowMissingColumns=True)
-    per = d.groupBy("t_ms").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c)
-                                  for c in ("d_events", "d_entities", "d_viewers")])
+    entities, open viewers.
+
+    ``presence`` and ``lifetimes`` are points (t_ms, delta), see C7; a point
+    counts from the first grid point at or after it.  Points are summed per grid
+    point (partial aggregation), then a running sum goes over the grid points --
+    a table with one row per point, not per interval."""
+    def points(df: DataFrame, t: str, delta: Column, name: str) -> DataFrame:
+        return df.select(grid_ceil(F.col(t), origin_ms, grid_ms).alias("t_ms"), delta.cast("long").alias(name))
+
+    names = ("d_events", "d_entities", "d_viewers")
+    d = points(presence, "t_ms", F.col("delta"), names[0])
+    for more in (points(lifetimes, "t_ms", F.col("delta"), names[1]),
+                 points(viewers, "subscribed_ms", F.lit(1), names[2]),
+                 points(viewers.filter(F.col("left_ms").isNotNull()), "left_ms", F.lit(-1), names[2])):
+        d = d.unionByName(more, allowMissingColumns=True)
+    per = d.groupBy("t_ms").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names])
+    per = per.filter(F.greatest(*[F.abs(F.col(c)) for c in names]) > 0)
     per = per.withColumn("_k", F.lit(0).cast("long"))
     # at most one row per grid point: 30-day chunks hold a bounded number of
     # points (43,200 at a one-minute grid), so no hot-cell count is needed

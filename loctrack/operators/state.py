@@ -108,15 +108,39 @@ def versions(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int,
               chunk_ms: int) -> DataFrame:
     """Every update with the next update of its key and its own end:
     ``removed_at`` (a sweep) or replaced at ``next_ts_ms``."""
-    # per (event, entity): bounded by one participant's publish rate, no hot-cell count
-    nb = sequence_features(updates, KEY, ORDER, floor_div("ts_ms", chunk_ms), next=["ts_ms"],
-                           max_chunk_rows=None)
+    nb = sequence_features(updates, KEY, ORDER, floor_div("ts_ms", chunk_ms), next=["ts_ms"])
     s = removal_sweep(F.col("ts_ms"), ttl_ms, sweep_ms, origin_ms)
     removed = F.col("next_ts_ms").isNull() | (F.col("next_ts_ms") > s)
     return nb.withColumn("removed_at_ms", F.when(removed, s)) \
              .withColumn("end_ms", F.coalesce(F.col("removed_at_ms"), F.col("next_ts_ms")))
 
 
+def lifetime_points(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int = 0,
+                    chunk_ms: int = 86_400_000) -> DataFrame:
+    """(event_id, entity_id, t_ms, delta): +1 where a participant enters the
+    store, -1 at the sweep that removes it.  Replacements give no point, so there
+    are far fewer points than updates."""
+    nb = sequence_features(updates.select(*KEY, *ORDER), KEY, ORDER, floor_div("ts_ms", chunk_ms),
+                           prev=["ts_ms"], next=["ts_ms"])
+    at = F.col("ts_ms")
+    removed, removed_before = (removal_sweep(c, ttl_ms, sweep_ms, origin_ms) for c in (at, F.col("prev_ts_ms")))
+    point = lambda t, d: F.struct(t.alias("t_ms"), F.lit(d).cast("long").alias("delta"))
+    both = F.array(F.when(F.col("prev_ts_ms").isNull() | (at > removed_before), point(at, 1)),
+                   F.when(F.col("next_ts_ms").isNull() | (F.col("next_ts_ms") > removed), point(removed, -1)))
+    return nb.select(*KEY, F.explode(F.filter(both, lambda p: p.isNotNull())).alias("_p")).select(*KEY, "_p.*")
+
+
+def presence_points(points: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:
+    """(event_id, t_ms, delta): +1 where an event appears in the store and -1
+    where its last participant is removed.  Of points at one time the entries
+    come first, so intervals that touch are one."""
+    p = points.withColumn("_o", -F.col("delta"))
+    open_ = sequence_features(p, ["event_id"], ["t_ms", "_o", "entity_id"], floor_div("t_ms", chunk_ms),
+                              running={"_open": Running(F.col("delta"), "sum")})
+    edge = ((F.col("delta") == 1) & (F.col("_open") == 1)) | ((F.col("delta") == -1) & (F.col("_open") == 0))
+    return open_.filter(edge).select("event_id", "t_ms", "delta")
+
+
 def removal_log(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int = 0,
                 by_event: bool = False, chunk_ms: int = 86_400_000) -> DataFrame:
     """Rows removed per sweep time (sweeps that remove nothing are not listed)."""

@@ -12,25 +12,33 @@ from pyspark.sql import functions as F
 from loctrack import schemas as S
 from loctrack.functions import in_range, is_valid_uuid, split_ids
 
-COORDS_SCHEMA = "coordinates array<double>"
+COORDS_FIELD = "coordinates: array<double>"
 _JSON_OPTS = {"allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
 
 
 def coordinates_from_body(body) -> Column:
     """B2: the ``coordinates`` array of a JSON body as array<double>, else null.
 
-    Null when the body is not JSON, has no ``coordinates`` field, or any element
-    is not a number (a null element, a string, a boolean, NaN text).
+    Null when the body is not one JSON document (text behind it counts), has no
+    ``coordinates`` field, or any element is not a number (a null element, a
+    string, a boolean, NaN text).  Of a repeated field the last readable one counts.
+
+    The parsers stop behind the first document, so the body is read inside an
+    array and inside an object: no text behind it closes both.
     """
     body = F.col(body) if isinstance(body, str) else body
-    arr = F.from_json(body, COORDS_SCHEMA, _JSON_OPTS)["coordinates"]
+    one = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<struct<{COORDS_FIELD}>>", _JSON_OPTS)
+    two = F.from_json(F.concat(F.lit('{"b":'), body, F.lit("}")), f"b struct<{COORDS_FIELD}>", _JSON_OPTS)["b"]
+    arr = F.when((F.size(one) == 1) & two.isNotNull(), F.get(one, 0)["coordinates"])
     return F.when(F.exists(arr, lambda x: x.isNull()), F.lit(None)).otherwise(arr)
 
 
 def body_is_json(body) -> Column:
-    """True when the body parses as a JSON document (used by the strict mode)."""
+    """True when the body is one JSON document (used by the strict mode)."""
     body = F.col(body) if isinstance(body, str) else body
-    return F.get_json_object(body, "$").isNotNull()
+    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
+    two = F.try_parse_json(F.concat(F.lit('{"b":'), body, F.lit("}")))
+    return F.coalesce((F.size(one) == 1) & two.isNotNull(), F.lit(False))
 
 
 def error_code(event_id: Column, entity_id: Column, coords: Column,

@@ -72,7 +72,7 @@ SELECT event_id, entity_id, longitude, latitude, ts_ms, seq FROM (
 SELECT * FROM ({_LATEST_SQL.format(src=f"(SELECT * FROM updates WHERE ts_ms <= {SNAPSHOT_AT_MS})")})
 WHERE ts_ms > {_LAST_SWEEP - LOC_TTL_MS}""")
 def q_snapshot_as_of(spark, d):
-    return C.snapshot_as_of(ST.updates(spark, d), SNAPSHOT_AT_MS, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+    return C.snapshot_as_of(ST.updates(spark, d, SNAPSHOT_AT_MS), SNAPSHOT_AT_MS, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
 
 
 
@@ -141,10 +141,10 @@ def _updates(spark, d):
     return ST.updates(spark, d)
 
 
-def _stream(spark, d, viewers=None):
+def _stream(spark, d, viewers=None, number=True):
     from loctrack.operators import joins as D
     return D.viewer_stream(_updates(spark, d), viewers if viewers is not None else ST.viewers(spark, d),
-                           LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+                           LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS, number=number)
 
 
 # =========================================================================== A/B: raw requests
@@ -163,7 +163,7 @@ def q_body_coordinates(spark, d):
                       F.get(c, 0).alias("longitude"), F.get(c, 1).alias("latitude"))
 
 
-@query("validate_raw", W("updates_raw") + f"""
+_VALIDATE_RAW_SQL = f"""
 SELECT seq, event_key AS event_id, entity_key AS entity_id,
   CASE WHEN NOT {Q.is_valid_uuid('event_key')} THEN 'INVALID_SKATING_EVENT_ID'
        WHEN NOT {Q.is_valid_uuid('entity_key')} THEN 'INVALID_SKATER_ID'
@@ -171,7 +171,10 @@ SELECT seq, event_key AS event_id, entity_key AS entity_id,
        WHEN n_coords <> 2 THEN 'INVALID_COORDINATES_LENGTH'
        WHEN NOT {Q.in_range('lon', -180.0, 180.0)} THEN 'INVALID_LONGITUDE'
        WHEN NOT {Q.in_range('lat', -90.0, 90.0)} THEN 'INVALID_LATITUDE' END AS error_code
-FROM updates_raw""")
+FROM updates_raw"""
+
+
+@query("validate_raw", W("updates_raw") + _VALIDATE_RAW_SQL)
 def q_validate_raw(spark, d):
     return V.validate_updates(ST.raw_requests(spark, d)).select("seq", "event_id", "entity_id", "error_code")
 
@@ -254,6 +257,16 @@ def q_event_presence(spark, d):
     return C.event_presence(_updates(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
 
 
+# A short ttl, so that an event is empty between its updates.
+_GAP_TTL_MS, _GAP_SWEEP_MS = 600_000, 60_000
+_RS_GAP = f"{ORIGIN_MS} + greatest({Q.ceil_div(f'ts_ms + {_GAP_TTL_MS} - {ORIGIN_MS}', _GAP_SWEEP_MS)}, 1) * {_GAP_SWEEP_MS}"
+
+
+@query("event_presence_gaps", W("updates", extra=[("versions", VERSIONS[1].replace(_RS, _RS_GAP)), PRESENCE]) + "SELECT * FROM presence")
+def q_event_presence_gaps(spark, d):
+    return C.event_presence(_updates(spark, d), _GAP_TTL_MS, _GAP_SWEEP_MS, ORIGIN_MS)
+
+
 def _sessions_sql(removal) -> str:
     return f"""
 SELECT event_id, session_no, min(access_ms) AS started_ms, max(access_ms) AS last_access_ms,
@@ -278,12 +291,23 @@ def q_channel_sessions_gap(spark, d):
     return C.channel_sessions(ST.accesses(spark, d), CHAN_TTL_MS, None)
 
 
+IDLE_AT_MS = END_MS + HOUR_MS           # all channels have been left by then
+
+
 @query("idle_channels", W("accesses") + f"""
+SELECT event_id, last_access_ms, {IDLE_AT_MS} - last_access_ms AS idle_ms FROM (
+  SELECT event_id, max(access_ms) AS last_access_ms FROM accesses WHERE access_ms <= {IDLE_AT_MS} GROUP BY event_id)
+WHERE last_access_ms < {IDLE_AT_MS - CHAN_TTL_MS}""")
+def q_idle_channels(spark, d):
+    return C.idle_channels(ST.accesses(spark, d), IDLE_AT_MS, CHAN_TTL_MS)
+
+
+@query("idle_channels_now", W("accesses") + f"""
 SELECT event_id, last_access_ms, {SNAPSHOT_AT_MS} - last_access_ms AS idle_ms FROM (
   SELECT event_id, max(access_ms) AS last_access_ms FROM accesses WHERE access_ms <= {SNAPSHOT_AT_MS} GROUP BY event_id)
-WHERE last_access_ms < {SNAPSHOT_AT_MS - CHAN_TTL_MS}""")
-def q_idle_channels(spark, d):
-    return C.idle_channels(ST.accesses(spark, d), SNAPSHOT_AT_MS, CHAN_TTL_MS)
+WHERE last_access_ms < {SNAPSHOT_AT_MS - 60_000}""")
+def q_idle_channels_now(spark, d):
+    return C.idle_channels(ST.accesses(spark, d), SNAPSHOT_AT_MS, 60_000)
 
 
 # =========================================================================== D: joins
@@ -318,8 +342,8 @@ WHERE rn = 1 AND NOT EXISTS (
   WHERE l.event_id = v.event_id AND l.entity_id = v.entity_id AND l.ts_ms > {_LAST_SWEEP - _TTL_S})""")
 def q_stale_in_view(spark, d):
     vw = ST.viewers(spark, d).filter(F.expr(_OPEN_AT))
-    view = D.viewer_view_at(_stream(spark, d, vw), SNAPSHOT_AT_MS)
-    live = C.snapshot_as_of(_updates(spark, d), SNAPSHOT_AT_MS, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+    view = D.viewer_view_at(_stream(spark, d, vw, number=False), SNAPSHOT_AT_MS)
+    live = C.snapshot_as_of(ST.updates(spark, d, SNAPSHOT_AT_MS), SNAPSHOT_AT_MS, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
     return D.stale_in_view(view, live, SNAPSHOT_AT_MS)
 
 
@@ -346,6 +370,14 @@ def _grid(spark, d):
                         ORIGIN_MS, _GRID_ORDER, position="msg_no")
 
 
+@query("batch_grid_windows", W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, GRID]) + """
+SELECT viewer_id, ts_ms, seq, entity_id, window_ms, batch_no FROM grid""")
+def q_batch_grid_windows(spark, d):
+    """The same grid without the shortcut of known positions."""
+    return E.batch_grid(_stream(spark, d, number=False), "viewer_id", "deliver_ms", BATCH_SIZE, BATCH_INTERVAL_MS,
+                        ORIGIN_MS, _GRID_ORDER).select("viewer_id", "ts_ms", "seq", "entity_id", "window_ms", "batch_no")
+
+
 @query("batch_grid", W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, GRID]) + """
 SELECT viewer_id, msg_no, window_ms, batch_no FROM grid""")
 def q_batch_grid(spark, d):
@@ -359,17 +391,33 @@ def _batches(spark, d):
 
 @query("to_batches", W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, GRID]) + f"""
 SELECT viewer_id, event_id, window_ms, batch_no, window_ms + {BATCH_INTERVAL_MS} AS serverTime,
-  count(*) AS n_locations, arg_min(entity_id, pos) AS first_skater, arg_max(ts_ms, pos) AS last_timestamp
+  count(*) AS n_locations, string_agg(entity_id || '/' || printf('%.6f', latitude) || '/' || printf('%.6f', longitude)
+    || '/' || ts_ms, ' ' ORDER BY pos) AS locations_text
 FROM grid GROUP BY viewer_id, event_id, window_ms, batch_no""")
 def q_to_batches(spark, d):
     b = _batches(spark, d)
     return b.select("viewer_id", "event_id", "window_ms", "batch_no", "serverTime",
                     F.size("locations").alias("n_locations"),
-                    F.element_at("locations", 1)["skaterId"].alias("first_skater"),
-                    F.element_at("locations", -1)["timestamp"].alias("last_timestamp"))
+                    F.array_join(F.transform("locations", lambda x: F.concat_ws(
+                        "/", x["skaterId"], F.format_string("%.6f", x["latitude"]), F.format_string("%.6f", x["longitude"]),
+                        x["timestamp"])), " ").alias("locations_text"))
 
 
-@query("group_within")
+# Where the group that opens at a row is followed by the next one; then the
+# opening rows, one after the other.
+NEXT_OPEN = ("next_open", f"""
+SELECT viewer_id, msg_no AS i, deliver_ms AS open_ms, least(msg_no + {BATCH_SIZE}, 1 + count(*) OVER (
+  PARTITION BY viewer_id ORDER BY deliver_ms RANGE BETWEEN UNBOUNDED PRECEDING AND {BATCH_INTERVAL_MS - 1} FOLLOWING)) AS nxt
+FROM stream""")
+OPENS = ("opens", """
+SELECT viewer_id, i, open_ms, nxt, CAST(0 AS BIGINT) AS group_no FROM next_open WHERE i = 1
+UNION ALL
+SELECT n.viewer_id, n.i, n.open_ms, n.nxt, o.group_no + 1 FROM opens o JOIN next_open n ON n.viewer_id = o.viewer_id AND n.i = o.nxt""")
+
+
+@query("group_within", "WITH RECURSIVE " + W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, NEXT_OPEN, OPENS]).removeprefix("WITH ") + """
+SELECT s.viewer_id, s.msg_no, s.deliver_ms, o.group_no, o.open_ms AS group_open_ms
+FROM stream s JOIN opens o ON s.viewer_id = o.viewer_id AND s.msg_no >= o.i AND s.msg_no < o.nxt""")
 def q_group_within(spark, d):
     s = _stream(spark, d).select("viewer_id", "msg_no", "deliver_ms")
     return E.group_within(s, "viewer_id", BATCH_SIZE, BATCH_INTERVAL_MS, ts="deliver_ms", order=["msg_no"],
@@ -396,14 +444,14 @@ SELECT viewer_id, entity_id, printf('%.6f', latitude) AS latitude_text, printf('
 FROM (SELECT *, row_number() OVER (PARTITION BY viewer_id, entity_id ORDER BY ts_ms DESC, seq DESC) AS rn FROM stream)
 WHERE rn = 1""")
 def q_viewer_table(spark, d):
-    return E.viewer_table(_stream(spark, d))
+    return E.viewer_table(_stream(spark, d, number=False))
 
 
 @query("viewer_stats", W(*_STREAM_VIEWS, extra=_STREAM_EXTRA) + """
 SELECT viewer_id, count(DISTINCT entity_id) AS n_entities, max(ts_ms) AS last_update_ms, count(*) AS n_rows
 FROM stream GROUP BY viewer_id""")
 def q_viewer_stats(spark, d):
-    return E.viewer_stats(_stream(spark, d))
+    return E.viewer_stats(_stream(spark, d, number=False))
 
 
 @query("number_messages", W("deliveries") + """
@@ -554,13 +602,12 @@ SELECT t_ms,
   CAST(sum(de) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS active_events,
   CAST(sum(dn) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS live_entities,
   CAST(sum(dv) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open_viewers
-FROM (SELECT t_ms, sum(de) AS de, sum(dn) AS dn, sum(dv) AS dv FROM deltas GROUP BY t_ms)""")
+FROM (SELECT t_ms, sum(de) AS de, sum(dn) AS dn, sum(dv) AS dv FROM deltas GROUP BY t_ms
+  HAVING sum(de) <> 0 OR sum(dn) <> 0 OR sum(dv) <> 0)""")
 def q_active_gauges(spark, d):
     u = _updates(spark, d)
-    pres = C.event_presence(u, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
-    lives = C.versions(u, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS, 86_400_000) \
-        .select(F.col("ts_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
-    return G.active_gauges(pres, lives, ST.viewers(spark, d), LOC_SWEEP_MS, ORIGIN_MS)
+    points = C.lifetime_points(u, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+    return G.active_gauges(C.presence_points(points), points, ST.viewers(spark, d), LOC_SWEEP_MS, ORIGIN_MS)
 
 
 _EDGES = [0.0, 100.0, 250.0, 500.0, 1000.0, 2500.0]
@@ -762,67 +809,261 @@ def q_publish_metrics_text(spark, d):
     return A.publish_metrics_text(ST.publish_metrics(spark, d))
 
 
-# =========================================================================== K: streaming (rows only)
-def _replay(spark, src: DataFrame, name: str, build, time_col: str, files: int = 4) -> DataFrame:
-    """Replay a derived table as a stream through a K operator.
+# =========================================================================== A: files written and read again
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    from loctrack.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("raw_update_files", W("updates_raw") + _VALIDATE_RAW_SQL)
+def q_raw_update_files(spark, d):
+    """A1: requests written as JSON lines and read again, then validated."""
+    path = _folder(spark, "raw")
+    ST.raw_requests(spark, d).write.json(path)
+    return V.validate_updates(A.read_raw_updates(spark, path)).select("seq", "event_id", "entity_id", "error_code")
+
+
+_RFC = "strftime(make_timestamp((ts_ms // 1000) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query("publish_metric_files", W("publish_metrics") + f"""
+SELECT (ts_ms // 1000) * 1000 AS ts_ms, event_id, skater_id, printf('%.2f', response_time_ms)::DOUBLE AS response_time_ms, error
+FROM publish_metrics""")
+def q_publish_metric_files(spark, d):
+    """Publish CSV written and read again."""
+    path = _folder(spark, "publish")
+    A.write_publish_metrics(ST.publish_metrics(spark, d), path)
+    return A.read_publish_metrics(spark, path).select("ts_ms", "event_id", "skater_id", F.col("response_time_ms").cast("double").alias("response_time_ms"), "error")
+
 
-    The table is written under the shared checkpoint folder (cut into ``files``
-    ranges of ``time_col``), read back with ``readStream`` and run to the end of input
-    (``availableNow``); every micro-batch is written to its own folder of a
-    parquet sink there (a replayed batch overwrites its own output), and the
-    sink is returned as a batch DataFrame."""
+@query("delivery_metric_files", W("deliveries") + """
+SELECT (receive_ms // 1000) * 1000 AS ts_ms, event_id, viewer_number, seq AS message_count,
+  printf('%.2f', coalesce(receive_ms - server_ms, 0)::DOUBLE)::DOUBLE AS latency_ms, skater_ids, error,
+  len(list_filter(string_split(skater_ids, '|'), lambda x: trim(x) <> '')) AS n_ids
+FROM deliveries""")
+def q_delivery_metric_files(spark, d):
+    """Delivery CSV written and read again."""
+    path = _folder(spark, "delivery")
+    rows = ST.deliveries(spark, d)
+    A.write_delivery_metrics(rows.select(F.col("receive_ms").alias("ts_ms"), "event_id", "viewer_number", F.col("seq").alias("message_count"),
+                                         F.coalesce(F.col("receive_ms") - F.col("server_ms"), F.lit(0)).cast("double").alias("latency_ms"),
+                                         "skater_ids", "error"), path)
+    return A.read_delivery_metrics(spark, path).select(
+        "ts_ms", "event_id", F.col("viewer_number").cast("int").alias("viewer_number"), F.col("message_count").cast("long").alias("message_count"),
+        F.col("latency_ms").cast("double").alias("latency_ms"), "skater_ids", "error", F.size("skater_id_list").cast("long").alias("n_ids"))
+
+
+@query("app_log_files", W("log_lines", extra=[PARSED]) + """
+SELECT level, logger, message, count(*) AS n, (SELECT count(*) FROM log_lines) AS n_numbered FROM parsed GROUP BY 1, 2, 3""")
+def q_app_log_files(spark, d):
+    """A10: log files written and read again; ``n_numbered`` counts the distinct
+    (file, line number) pairs with numbers below the file's line count."""
+    path = _folder(spark, "logs")
+    ST.log_lines(spark, d).select("line").write.text(path)
+    logs = A.read_app_logs(spark, path)
+    per = logs.groupBy("source_file").agg(F.count(F.lit(1)).alias("k"), F.count_distinct("line_no").alias("u"), F.max("line_no").alias("m"))
+    good = per.filter((F.col("k") == F.col("u")) & (F.col("m") == F.col("k") - 1)).agg(F.sum("k").alias("n_numbered"))
+    return logs.groupBy("level", "logger", "message").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(good))
+
+
+@query("heap_recording_files", W("heap_series") + """
+SELECT time_str, round(heap_mb, 3) AS heap_mb, count(*) AS n FROM heap_series GROUP BY ALL""")
+def q_heap_recording_files(spark, d):
+    """Recordings written as text blocks, read again and parsed."""
+    path = _folder(spark, "heap")
+    block = F.format_string("jdk.GCHeapSummary {\n  startTime = %s (2026-01-18)\n  heapUsed = %.3f MB\n}", "time_str", "heap_mb")
+    ST.heap_series(spark, d).select(block.alias("value")).write.text(path)
+    s = H.heap_samples(A.read_heap_recordings(spark, path))
+    return s.groupBy("time_str", F.round("heap_mb", 3).alias("heap_mb")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Messages of which most are broken in one way, by the row's number.
+_MESSAGES = """CASE seq % 9 WHEN 0 THEN '[1,2]' WHEN 1 THEN '{"locations":"no","serverTime":5}'
+  WHEN 2 THEN concat('{"locations":[{"skaterId":7,"latitude":1,"longitude":2,"timestamp":3}],"serverTime":', CAST(ts_ms AS {s}), '}')
+  WHEN 3 THEN concat('{"locations":[{"skaterId":"a","latitude":"x","longitude":2,"timestamp":3}],"serverTime":', CAST(ts_ms AS {s}), '}')
+  WHEN 4 THEN '{"locations":[],"serverTime":"5"}' WHEN 5 THEN 'not json'
+  WHEN 6 THEN concat('{"serverTime":', CAST(ts_ms AS {s}), ',"locations":[{"skaterId":"a","latitude":1,"longitude":2,"timestamp":1.5}]}')
+  ELSE concat('{"locations":[{"skaterId":"', entity_id, '","latitude":1.5,"longitude":2,"timestamp":', CAST(ts_ms AS {s}),
+    '},{"skaterId":"b"}],"serverTime":', CAST(ts_ms AS {s}), '}') END"""
+
+
+@query("mistyped_messages", W("updates") + """
+SELECT seq, CAST(NULL AS BIGINT) AS "serverTime", CAST(NULL AS INTEGER) AS pos, CAST(NULL AS VARCHAR) AS "skaterId",
+  CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude, CAST(NULL AS BIGINT) AS "timestamp",
+  'failed to parse message' AS decode_error FROM updates WHERE seq % 9 < 7
+UNION ALL SELECT seq, ts_ms, 0, entity_id, 1.5, 2, ts_ms, NULL FROM updates WHERE seq % 9 >= 7
+UNION ALL SELECT seq, ts_ms, 1, 'b', NULL, NULL, NULL, NULL FROM updates WHERE seq % 9 >= 7""")
+def q_mistyped_messages(spark, d):
+    """A4 on good and mistyped messages."""
+    return A.explode_batches(_updates(spark, d).select("seq", F.expr(_MESSAGES.replace("{s}", "STRING")).alias("json")), "json", keep=["seq"])
+
+
+# Null keys, NaN and infinite values, by the row's number.
+@query("value_summary_odd", W("publish_metrics") + """
+, odd AS (SELECT nullif(event_id, '3') AS event_id, CASE WHEN CAST(skater_id AS BIGINT) % 11 = 0 THEN 'NaN'::DOUBLE ELSE response_time_ms END AS v FROM publish_metrics)
+SELECT event_id, count(v) AS n, min(v) AS min, quantile_cont(v, 0.5) AS p50, quantile_disc(v, 1) AS max FROM odd GROUP BY event_id
+UNION ALL SELECT 'all', count(v), min(v), quantile_cont(v, 0.5), quantile_disc(v, 1) FROM odd""")
+def q_value_summary_odd(spark, d):
+    """G5 with a null key, NaN values, and without keys."""
+    m = ST.publish_metrics(spark, d).select(
+        F.nullif("event_id", F.lit("3")).alias("event_id"),
+        F.when(F.col("skater_id").cast("long") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("response_time_ms")).alias("v"))
+    cols = ["event_id", "n", "min", "p50", "max"]
+    return G.value_summary(m, ["event_id"], "v").select(*cols).unionByName(
+        G.value_summary(m, [], "v").withColumn("event_id", F.lit("all")).select(*cols))
+
+
+@query("heap_elapsed_iso", W("heap_series") + """
+SELECT recording, sample_no, v - min(v) OVER (PARTITION BY recording) AS elapsed_us
+FROM (SELECT h.recording, h.sample_no, epoch_us(e.ts) AS v FROM heap_series h JOIN events e ON e.event_id = h.sample_no)""")
+def q_heap_elapsed_iso(spark, d):
+    """H2 on ISO times."""
+    ev = ST._events(spark, d).select(F.col("event_id").alias("sample_no"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time_str"))
+    s = ST.heap_series(spark, d).drop("time_str").join(ev, "sample_no")
+    return H.elapsed_seconds(s).select("recording", "sample_no", F.round(F.col("elapsed_s") * 1e6).cast("long").alias("elapsed_us"))
+
+
+# =========================================================================== K: streaming
+_WM_MS = 1000                            # watermark delay of the streams
+# A replay has at least this many micro-batches, and more if one would hold more rows.
+_REPLAY_BATCHES, _REPLAY_ROWS, _REPLAY_FILE_ROWS = 6, 5_000_000, 500_000
+
+
+def _replay(spark, src: DataFrame, name: str, time_col: str, run) -> str:
+    """Replay a derived table as a stream, in order of ``time_col``.
+
+    The table is written under the shared checkpoint folder, then dealt in time
+    slices to an input folder, one after the other, so that the file source
+    takes them in order; each slice is one micro-batch.  ``run(stream, base)``
+    starts the query, which is run to the end of input (``availableNow``).
+    Returns the folder."""
     import uuid
 
     from loctrack.session import checkpoint_dir
-    from loctrack.streaming import stream_checkpoint
     base = f"{checkpoint_dir(spark).rstrip('/')}/replay/{name}-{uuid.uuid4().hex[:12]}"
-    src.repartitionByRange(files, time_col).write.parquet(f"{base}/input")
-    stream = spark.readStream.schema(src.schema).parquet(f"{base}/input")
+    src.write.parquet(f"{base}/table")
+    table = spark.read.schema(src.schema).parquet(f"{base}/table")
+    n, lo, hi = table.agg(F.count(F.lit(1)), F.min(time_col), F.max(time_col)).first()
+    batches = max(_REPLAY_BATCHES, n // _REPLAY_ROWS)
+    files = n // batches // _REPLAY_FILE_ROWS + 1
+    step = ((hi or 0) - (lo or 0)) // batches + 1
+    for i in range(batches):
+        at = (lo or 0) + i * step
+        table.filter((F.col(time_col) >= at) & (F.col(time_col) < at + step)) \
+            .repartition(files).write.mode("append").parquet(f"{base}/input")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/input")
+    run(stream, base).awaitTermination()
+    return base
+
+
+def _replay_rows(spark, src: DataFrame, name: str, time_col: str, build, mode: str = "append") -> DataFrame:
+    """``_replay`` into a parquet sink with a folder for each micro-batch (a
+    replayed batch overwrites its own); the sink as a batch DataFrame."""
+    from loctrack.streaming import stream_checkpoint
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+    def run(stream, base):
+        out = build(stream)
+        schemas.append(out.schema)
 
-    out = build(stream)
-    mode = "update" if out.isStreaming and name == "latest_state_stream" else "append"
-    q = out.writeStream.foreachBatch(sink).outputMode(mode) \
-        .option("checkpointLocation", stream_checkpoint(spark, name)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out/*")
+        def sink(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
 
+        return out.writeStream.foreachBatch(sink).outputMode(mode) \
+            .option("checkpointLocation", stream_checkpoint(spark, name)).trigger(availableNow=True).start()
 
-@query("latest_state_stream")
+    schemas: list = []
+    base = _replay(spark, src, name, time_col, run)
+    return spark.read.schema(schemas[0]).parquet(f"{base}/out/*")
+
+
+@query("latest_state_stream", W("updates") + f"""
+SELECT event_id, entity_id, longitude, latitude, ts_ms, seq,
+  CASE WHEN ts_ms + {_TTL_S} < (SELECT max(ts_ms) - {_WM_MS} FROM updates) THEN 'remove' ELSE 'upsert' END AS change
+FROM ({_LATEST_SQL.format(src="updates")})""")
 def q_latest_state_stream(spark, d):
+    """The last change of every key; earlier changes depend on the micro-batches."""
     from loctrack import streaming as K
     u = _updates(spark, d).select("event_id", "entity_id", "longitude", "latitude", "seq", "ts_ms")
-    return _replay(spark, u, "latest_state_stream",
-                   lambda s: K.latest_state_stream(s, LOC_TTL_MS, emit_removals=True), "ts_ms")
-
-
-@query("group_within_stream")
+    out = _replay_rows(spark, u, "latest_state_stream", "ts_ms",
+                       lambda s: K.latest_state_stream(s, LOC_TTL_MS, _WM_MS, emit_removals=True), "update")
+    vals = ["longitude", "latitude", "ts_ms", "seq", "change"]
+    last = F.max_by(F.struct(*vals), F.struct("ts_ms", "seq", F.col("change") == "remove"))
+    return out.groupBy("event_id", "entity_id").agg(last.alias("_v")).select("event_id", "entity_id", "_v.*")
+
+
+@query("group_within_stream", "WITH RECURSIVE " + W(*_STREAM_VIEWS, extra=[*_STREAM_EXTRA, NEXT_OPEN, OPENS]).removeprefix("WITH ") + f"""
+, groups AS (SELECT CAST(s.viewer_id AS VARCHAR) AS key, o.group_no, o.open_ms AS group_open_ms, count(*) AS n_rows,
+    min(s.msg_no) AS first_msg, max(s.msg_no) AS last_msg, o.nxt
+  FROM stream s JOIN opens o ON s.viewer_id = o.viewer_id AND s.msg_no >= o.i AND s.msg_no < o.nxt GROUP BY ALL)
+SELECT key, group_no, group_open_ms, n_rows, first_msg, last_msg FROM groups g
+WHERE n_rows = {BATCH_SIZE} OR group_open_ms + {BATCH_INTERVAL_MS} < (SELECT max(deliver_ms) - {_WM_MS} FROM stream)
+  OR EXISTS (SELECT 1 FROM groups h WHERE h.key = g.key AND h.group_no > g.group_no)""")
 def q_group_within_stream(spark, d):
+    """Every group that is closed at the end of input."""
     from loctrack import streaming as K
     rows = _stream(spark, d).select(F.col("viewer_id").cast("string").alias("viewer_id"), "msg_no", "deliver_ms")
-    return _replay(spark, rows, "group_within_stream",
-                   lambda s: K.group_within_stream(s, "viewer_id", BATCH_SIZE, BATCH_INTERVAL_MS, ts="deliver_ms"),
-                   "deliver_ms")
+    return _replay_rows(spark, rows, "group_within_stream", "deliver_ms",
+                        lambda s: K.group_within_stream(s, "viewer_id", BATCH_SIZE, BATCH_INTERVAL_MS, ts="deliver_ms",
+                                                        watermark_ms=_WM_MS, keep_ms=400 * DAY_MS))
 
 
-@query("channel_sessions_stream")
+@query("channel_sessions_stream", W("accesses") + f"""
+SELECT event_id, started_ms, last_access_ms, n_accesses, removed_at_ms FROM (
+{_sessions_sql(lambda x: f"({x} + {CHAN_TTL_MS})")}) WHERE removed_at_ms <= (SELECT max(access_ms) - {_WM_MS} FROM accesses)""")
 def q_channel_sessions_stream(spark, d):
+    """Every session that is closed at the end of input."""
     from loctrack import streaming as K
-    return _replay(spark, ST.accesses(spark, d), "channel_sessions_stream",
-                   lambda s: K.channel_sessions_stream(s, CHAN_TTL_MS), "access_ms")
+    return _replay_rows(spark, ST.accesses(spark, d), "channel_sessions_stream", "access_ms",
+                        lambda s: K.channel_sessions_stream(s, CHAN_TTL_MS, _WM_MS))
 
 
-@query("publish_rate_stream")
+@query("publish_rate_stream", W("updates") + f"""
+SELECT event_id, ts_ms - ts_ms % {HOUR_MS} AS window_ms, count(*) AS n_updates FROM updates GROUP BY 1, 2
+HAVING window_ms + {HOUR_MS} <= (SELECT max(ts_ms) - {_WM_MS} FROM updates)""")
 def q_publish_rate_stream(spark, d):
+    """Every window that is closed at the end of input."""
     from loctrack import streaming as K
     u = _updates(spark, d).select("event_id", "entity_id", "seq", "ts_ms")
-    return _replay(spark, u, "publish_rate_stream", lambda s: K.publish_rate_stream(s, HOUR_MS), "ts_ms")
+    return _replay_rows(spark, u, "publish_rate_stream", "ts_ms", lambda s: K.publish_rate_stream(s, HOUR_MS, _WM_MS))
+
+
+@query("fan_out_stream", W("updates", "viewers", extra=[FANOUT]) + "SELECT * FROM fanout")
+def q_fan_out_stream(spark, d):
+    from loctrack import streaming as K
+    return _replay_rows(spark, _updates(spark, d), "fan_out_stream", "ts_ms",
+                        lambda s: K.fan_out_stream(s, ST.viewers(spark, d)))
+
 
+@query("ingest_stream", W("updates_raw") + """
+SELECT seq, event_id, entity_id, coalesce(error_code, '') AS error FROM (""" + _VALIDATE_RAW_SQL + ")")
+def q_ingest_stream(spark, d):
+    """Both sinks of the ingest, accepted rows without an error."""
+    from loctrack import streaming as K
+    raw = ST.raw_requests(spark, d)
+    base = _replay(spark, raw, "ingest_stream", "received_ms", lambda s, base: K.ingest_stream(
+        s, f"{base}/accepted", f"{base}/rejected", K.stream_checkpoint(spark, "ingest_stream")))
+    acc = spark.read.parquet(f"{base}/accepted").select("seq", "event_id", "entity_id", F.lit("").alias("error"))
+    return acc.unionByName(spark.read.parquet(f"{base}/rejected").select("seq", "event_id", "entity_id", "error"))
+
+
+@query("newest_n_stream", W("updates") + f"""
+SELECT event_id, entity_id, longitude, latitude, ts_ms, seq, n_dropped FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts_ms DESC, seq DESC) AS rn,
+    greatest(count(*) OVER (PARTITION BY event_id) - {NEWEST_N}, 0) AS n_dropped FROM updates)
+WHERE rn <= {NEWEST_N}""")
+def q_newest_n_stream(spark, d):
+    """The buffer at the end of input, and how many rows of the key it has dropped."""
+    from loctrack import streaming as K
+    base = _replay(spark, _updates(spark, d), "newest_n_stream", "ts_ms", lambda s, base: K.newest_n_stream(
+        s, NEWEST_N, f"{base}/kept", f"{base}/dropped", K.stream_checkpoint(spark, "newest_n_stream")))
+    kept = spark.read.parquet(f"{base}/kept")
+    dropped = spark.read.parquet(f"{base}/dropped/*")
+    last = dropped.agg(F.max("batch_id")).first()[0]
+    n = dropped.groupBy("event_id").agg(F.sum("n_dropped").alias("n_dropped"))
+    return kept.filter(F.col("batch_id") == (last or 0)).drop("batch_id").join(n, "event_id")
 
-def queries_defined():
-    return list(QUERIES)
 
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)

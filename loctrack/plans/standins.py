@@ -10,6 +10,8 @@ Each rule exists twice: as a DataFrame (``build``) and as DuckDB SQL (``SQL``).
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,24 +30,16 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the session has task
-    slots (one small file, one row group) before the per-row work.  A large
-    input is already split across many files and is left as it is -- no extra
-    shuffle."""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
 
-
-def _events(spark, sf_dir) -> DataFrame:
+def _events(spark, sf_dir, until_ms: int | None = None) -> DataFrame:
+    """``until_ms`` filters on the stored time, so that it reaches the scan."""
     use_utc(spark)
-    return _read(spark, sf_dir, "events").withColumn("ts_ms", epoch_ms_ntz("ts"))
+    ev = _read(spark, sf_dir, "events")
+    if until_ms is not None:
+        ev = ev.filter(F.col("ts") < F.lit(datetime(1970, 1, 1) + timedelta(milliseconds=until_ms + 1)))
+    return ev.withColumn("ts_ms", epoch_ms_ntz("ts"))
 
 
 def _pick(c: Column, cases: list[tuple[int, object]], default) -> Column:
@@ -57,9 +51,9 @@ def _pick(c: Column, cases: list[tuple[int, object]], default) -> Column:
 
 
 # --------------------------------------------------------------------------- updates_raw
-def updates_raw(spark, sf_dir) -> DataFrame:
+def updates_raw(spark, sf_dir, until_ms: int | None = None) -> DataFrame:
     """seq, grp, event_id, entity_id, coordinates array<double>, ts_ms."""
-    ev = _events(spark, sf_dir)
+    ev = _events(spark, sf_dir, until_ms)
     lon = F.when(F.col("event_id") % 71 == 0, F.lit(float("nan"))) \
         .otherwise(F.col("value") * F.lit(2.0) - F.lit(180.0))
     k = F.regexp_extract("props", r'"k":\s*(-?[0-9.]+)', 1).cast("double")
@@ -97,9 +91,9 @@ def raw_requests(spark, sf_dir) -> DataFrame:
                     F.col("ts_ms").alias("received_ms"))
 
 
-def updates(spark, sf_dir) -> DataFrame:
+def updates(spark, sf_dir, until_ms: int | None = None) -> DataFrame:
     """Accepted updates: event_id, entity_id, longitude, latitude, ts_ms, seq."""
-    accepted, _ = split_valid(validate_updates(updates_raw(spark, sf_dir)))
+    accepted, _ = split_valid(validate_updates(updates_raw(spark, sf_dir, until_ms)))
     return accepted
 
 
@@ -166,6 +160,7 @@ def log_lines(spark, sf_dir) -> DataFrame:
     ev_uuid = uuid_from_hex(F.md5("event_type"))
     ent_uuid = uuid_from_hex(F.md5(F.concat(F.lit("u"), F.col("user_id").cast("string"))))
     m = F.col("event_id") % 10
+    # The message texts of the service's log lines.
     text = (
         F.when(m == 0, F.concat(F.lit("INFO  app.core.CleanupService Cleanup completed: removed "),
                                 (F.col("user_id") % 4).cast("string"), F.lit(" locations")))

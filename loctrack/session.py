@@ -23,13 +23,16 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = "local[8]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "loctrack", extra: dict | None = None) -> SparkSession:
+    """A session with the library's settings.  Master and shuffle partitions are
+    the cluster's, unless they are passed."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -45,14 +48,17 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and streaming state.
+    """The folder for checkpoints, streaming state and intermediate tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file
-    system).  Only when nothing is configured (local tests) a fresh temporary
-    folder is created and registered.
+    It is what ``spark.checkpoint.dir`` names, a folder that all executors share.
+    Where nothing is configured, a new temporary folder is taken in local mode
+    only, in which driver and executors are one process; a cluster must name one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="loctrack-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -108,21 +108,48 @@ def write_batches(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(batches_to_json(df).alias("value")).write.mode(mode).text(path)
 
 
+def _typed(v: Column, field: str, kind: str) -> tuple[Column, Column]:
+    """(is fine, value): absent and null are fine, another type is not."""
+    t = _vtype(v, field)
+    absent = t.isNull() | (t == "VOID")
+    if kind == "string":
+        right, value = t == "STRING", F.try_variant_get(v, f"$.{field}", "string")
+    elif kind == "double":
+        right, value = _is_number(t), F.try_variant_get(v, f"$.{field}", "double")
+    else:
+        value = F.try_variant_get(v, f"$.{field}", "bigint")
+        right = _is_number(t) & value.isNotNull() & (F.try_variant_get(v, f"$.{field}", "double") == value.cast("double"))
+    return absent | F.coalesce(right, F.lit(False)), value
+
+
 def explode_batches(df: DataFrame, col: str, keep: list[str] = ()) -> DataFrame:
     """A4: one row per received location with its position in the batch; a
-    message that does not decode gives one error row and the rest goes on."""
-    parsed = F.from_json(F.col(col), BATCH)
-    ok = F.try_parse_json(F.col(col)).isNotNull() & parsed.isNotNull()
-    base = df.select(*keep, ok.alias("_ok"), parsed.alias("_b"))
-    good = base.filter("_ok").select(*keep, F.col("_b.serverTime").alias("serverTime"),
-                                     F.posexplode_outer("_b.locations").alias("pos", "loc"),
-                                     F.lit(None).cast("string").alias("decode_error"))
-    good = good.select(*keep, "serverTime", "pos", F.col("loc.skaterId").alias("skaterId"),
-                       F.col("loc.latitude").alias("latitude"), F.col("loc.longitude").alias("longitude"),
-                       F.col("loc.timestamp").alias("timestamp"), "decode_error")
-    bad = base.filter(~F.col("_ok")).select(
-        *keep, F.lit(None).cast("long").alias("serverTime"), F.lit(None).cast("int").alias("pos"),
-        F.lit(None).cast("string").alias("skaterId"), F.lit(None).cast("double").alias("latitude"),
-        F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("long").alias("timestamp"),
-        F.lit("failed to parse message").alias("decode_error"))
-    return good.unionByName(bad)
+    message that does not decode gives one error row and the rest goes on.
+
+    The message must be a JSON object, ``locations`` an array of objects, and
+    every field of its type (text, number, integral number); null and absent
+    fields are allowed and give null.  One pass: the message is parsed once and
+    good and bad ones leave the same generator."""
+    fields = [("skaterId", "string"), ("latitude", "double"), ("longitude", "double"), ("timestamp", "long")]
+
+    def element(e: Column) -> Column:
+        shape = F.schema_of_variant(e)
+        checks = [_typed(e, n, k) for n, k in fields]
+        fine = shape.startswith("OBJECT")
+        for ok, _ in checks:
+            fine = fine & ok
+        return F.struct((fine | (shape == "VOID")).alias("ok"), *[v.alias(n) for (n, _), (_, v) in zip(fields, checks)])
+
+    base = df.select(*keep, F.try_parse_json(F.col(col)).alias("_v"))
+    time_ok, time = _typed(F.col("_v"), "serverTime", "long")
+    listed = _vtype(F.col("_v"), "locations")
+    base = base.select(*keep, F.schema_of_variant("_v").alias("_shape"), time_ok.alias("_time_ok"), time.alias("_time"),
+                       (listed.isNull() | (listed == "VOID") | listed.startswith("ARRAY")).alias("_list_ok"),
+                       F.transform(F.try_variant_get(F.col("_v"), "$.locations", "array<variant>"), element).alias("_items"))
+    ok = F.coalesce(F.col("_shape").startswith("OBJECT") & F.col("_time_ok") & F.col("_list_ok")
+                    & ~F.coalesce(F.exists("_items", lambda e: ~e["ok"]), F.lit(False)), F.lit(False))
+    base = base.select(*keep, ok.alias("_ok"), "_time", "_items")
+    rows = base.select(*keep, F.when(F.col("_ok"), F.col("_time")).alias("serverTime"), "_ok",
+                       F.posexplode_outer(F.when(F.col("_ok"), F.col("_items"))).alias("pos", "_loc"))
+    return rows.select(*keep, "serverTime", "pos", *[F.col("_loc")[n].alias(n) for n, _ in fields],
+                       F.when(~F.col("_ok"), F.lit("failed to parse message")).alias("decode_error"))

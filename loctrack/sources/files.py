@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loctrack import schemas as S
 from loctrack.functions import join_ids, ms_text, rfc3339_text, split_ids
+from loctrack.operators.sequence import Running, sequence_features
 
 
 def _read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -69,23 +70,25 @@ def write_delivery_metrics(df: DataFrame, path: str, mode: str = "overwrite") ->
     _write_csv(delivery_metrics_text(df), path, mode)
 
 
-def read_heap_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Recording text files -> (recording, line_no, line).
+def _numbered_lines(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """(source, line_no, line) of text files, numbered from 0 within each file.
 
-    One file is one recording (a heap dump print of one run, megabytes), read
-    whole so its line order is exact; many recordings read in parallel."""
-    t = spark.read.text(path, wholetext=True).withColumn("recording", F.input_file_name())
-    return t.select("recording", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")) \
-        .withColumn("line_no", F.col("line_no").cast("long"))
+    Files are read in splits; a line's place is its split's first byte and its
+    order in the split.  Lines are counted per split, and the counts of a file's
+    earlier splits are added (one row per split), so no task holds a file."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias(source), F.col("_metadata.file_block_start").alias("_at"),
+                                     F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    n = sequence_features(t, [source], ["_at", "_row"], F.col("_at"), max_chunk_rows=None,
+                          running={"line_no": Running(F.lit(1).cast("long"), "sum", inclusive=False)})
+    return n.select(source, F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-def read_app_logs(spark: SparkSession, path: str) -> DataFrame:
-    """A10: service log files -> (source_file, line_no, line), then parsed.
+def read_heap_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """Recording text files -> (recording, line_no, line); a file is a recording."""
+    return _numbered_lines(spark, path, "recording")
 
-    Lines are read as splittable text; ``line_no`` increases with the position
-    in the file (file splits keep their offset order)."""
+
+def read_app_logs(spark: SparkSession, path: str) -> DataFrame:
+    """A10: service log files -> (source_file, line_no, line), then parsed."""
     from loctrack.operators.logs import parse_log_lines
-    t = spark.read.text(path).select(F.input_file_name().alias("source_file"),
-                                     F.monotonically_increasing_id().alias("line_no"),
-                                     F.col("value").alias("line"))
-    return parse_log_lines(t)
+    return parse_log_lines(_numbered_lines(spark, path, "source_file"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,8 @@ def ingest_stream(raw: DataFrame, accepted_path: str, rejected_path: str, checkp
         v = V.validate_updates(batch, strict_json).persist()
         try:
             acc, rej = V.split_valid(v)
-            acc.write.mode("overwrite").partitionBy("event_id").parquet(f"{accepted_path}/batch_id={batch_id}")
+            # one event's rows to few tasks, a hot event's to more: AQE splits and merges them
+            acc.hint("rebalance", "event_id").write.mode("overwrite").partitionBy("event_id").parquet(f"{accepted_path}/batch_id={batch_id}")
             V.error_payload(rej).drop("details").write.mode("overwrite") \
                 .parquet(f"{rejected_path}/batch_id={batch_id}")
         finally:
@@ -64,43 +66,51 @@ def latest_state_stream(updates: DataFrame, ttl_ms: int, watermark_ms: int = 100
                         emit_removals: bool = False) -> DataFrame:
     """K2: keyed latest position with event-time expiry.
 
-    Per (event, entity) the state holds the newest row (by ts, seq).  A batch
-    first reduces its own rows of a key to the newest one, then compares with
-    the state; a newer row is stored and emitted as an upsert.  The key times
-    out when the watermark passes ts + ttl (whole seconds) and is removed;
-    ``emit_removals`` also emits a removal row (the service itself sends none).
+    Per (event, entity) the state holds the newest row (by ts, seq).  Rows behind
+    the watermark are dropped.  The other rows of a key in a batch are reduced to
+    the newest one, which is stored and emitted as an upsert if it is newer than
+    the state.  The key times out when the watermark passes ts + ttl (whole
+    seconds) and is removed; ``emit_removals`` also emits a removal row (the
+    service itself sends none).
     """
     ttl = (ttl_ms // 1000) * 1000
     src = with_event_time(updates).withWatermark("event_time", f"{watermark_ms} milliseconds")
 
+    def row(key, values, change: str) -> pd.DataFrame:
+        lon, lat, ts, seq = values
+        return pd.DataFrame([{"event_id": key[0], "entity_id": key[1], "longitude": lon, "latitude": lat,
+                              "ts_ms": ts, "seq": seq, "change": change}])
+
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ev, ent = key
         if state.hasTimedOut:
-            lon, lat, ts, seq = state.get
+            last = state.get
             state.remove()
             if emit_removals:
-                yield pd.DataFrame([{"event_id": ev, "entity_id": ent, "longitude": lon, "latitude": lat,
-                                     "ts_ms": ts, "seq": seq, "change": "remove"}])
+                yield row(key, last, "remove")
             return
-        best = None
+        now = state.getCurrentWatermarkMs()
+        last = tuple(state.get) if state.exists else None
+        best = last
         for pdf in pdfs:
-            if len(pdf) == 0:
-                continue
-            top = pdf.sort_values(["ts_ms", "seq"]).iloc[-1]
-            cand = (int(top["ts_ms"]), int(top["seq"]), float(top["longitude"]), float(top["latitude"]))
-            if best is None or cand[:2] > best[:2]:
-                best = cand
+            ts, seq = pdf["ts_ms"].to_numpy(), pdf["seq"].to_numpy()
+            top = np.flatnonzero((ts >= now) & (ts == ts.max(initial=now)))
+            if len(top):
+                i = top[seq[top].argmax()]
+                if best is None or (ts[i], seq[i]) > (best[2], best[3]):
+                    best = (float(pdf["longitude"].iat[i]), float(pdf["latitude"].iat[i]), int(ts[i]), int(seq[i]))
         if best is None:
             return
-        if state.exists:
-            lon, lat, ts, seq = state.get
-            if (ts, seq) >= best[:2]:
-                return
-        ts, seq, lon, lat = best
-        state.update((lon, lat, ts, seq))
-        state.setTimeoutTimestamp(ts + ttl)
-        yield pd.DataFrame([{"event_id": ev, "entity_id": ent, "longitude": lon, "latitude": lat,
-                             "ts_ms": ts, "seq": seq, "change": "upsert"}])
+        expired = best[2] + ttl < now
+        if best is not last:
+            yield row(key, best, "upsert")
+        if expired:  # only a stored row can be this old: the batch held late rows alone
+            state.remove()
+            if emit_removals:
+                yield row(key, best, "remove")
+            return
+        state.update(best)
+        # a time-out must not lie behind the watermark
+        state.setTimeoutTimestamp(max(best[2] + ttl, now + 1))
 
     return src.groupBy("event_id", "entity_id").applyInPandasWithState(
         step, LATEST_OUT, LATEST_STATE, "update", GroupStateTimeout.EventTimeTimeout)
@@ -108,54 +118,65 @@ def latest_state_stream(updates: DataFrame, ttl_ms: int, watermark_ms: int = 100
 
 # ----------------------------------------------------------------------------- K3
 GROUP_OUT = "key string, group_no long, group_open_ms long, n_rows long, first_msg long, last_msg long"
-GROUP_STATE = "group_no long, open_ms long, msgs array<long>, times array<long>"
+GROUP_STATE = "group_no long, open_ms long, n_rows long, first_msg long, last_msg long"
+# A key that is silent for this long after its last group starts again at group 0.
+KEEP_NUMBERS_MS = 7 * 86_400_000
 
 
 def group_within_stream(rows: DataFrame, key: str, size: int, interval_ms: int, ts: str = "ts_ms",
-                        order: str = "msg_no", watermark_ms: int = 1000) -> DataFrame:
+                        order: str = "msg_no", watermark_ms: int = 1000,
+                        keep_ms: int = KEEP_NUMBERS_MS) -> DataFrame:
     """K3: live "group within (size, interval)" per key, the streaming twin of E2.
 
-    The state buffers the open group (its row ids and times).  A group is
-    emitted as soon as it holds ``size`` rows, when a row arrives ``interval``
-    or later after it opened, or when the watermark passes open + interval.
-    Empty groups are never emitted."""
+    The state holds the open group (number, open time, rows, first and last row
+    id).  A group is emitted as soon as it holds ``size`` rows, when a row
+    arrives ``interval`` or later after it opened, or when the watermark passes
+    open + interval.  Empty groups are never emitted; rows behind the watermark
+    are dropped.  The number of a key's last group is kept until ``keep_ms`` after
+    the group's time is over, so numbers go on over a pause; then the state is
+    freed, and a later group of the key has number 0."""
     src = rows.withColumn("event_time", F.timestamp_millis(F.col(ts))) \
         .withWatermark("event_time", f"{watermark_ms} milliseconds") \
         .withColumn("_key", F.col(key).cast("string"))
 
-    def emit(k, g_no, open_ms, msgs):
-        return {"key": k, "group_no": g_no, "group_open_ms": open_ms, "n_rows": len(msgs),
-                "first_msg": msgs[0], "last_msg": msgs[-1]}
-
     def step(keyt, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        k = keyt[0]
-        g_no, open_ms, msgs, times = (state.get if state.exists else (-1, None, [], []))
-        msgs, times = list(msgs or []), list(times or [])
+        now = state.getCurrentWatermarkMs()
+        g_no, open_ms, n, first, last = state.get if state.exists else (-1, now, 0, 0, 0)
         out = []
+
+        def close() -> None:
+            out.append((keyt[0], g_no, open_ms, n, first, last))
+
         if state.hasTimedOut:
-            if msgs:
-                out.append(emit(k, g_no, open_ms, msgs))
-            state.remove()
-            if out:
-                yield pd.DataFrame(out)
+            if not n:
+                state.remove()
+                return
+            close()
+            n = 0
+        else:
+            batch = pd.concat(list(pdfs))
+            batch = batch[batch[ts] >= now].sort_values([order])
+            for m, t in zip(batch[order].tolist(), batch[ts].tolist()):
+                if n and t - open_ms >= interval_ms:
+                    close()
+                    n = 0
+                if not n:
+                    # after a long silence the numbers start again, whether the state is still there or not
+                    g_no = 0 if g_no >= 0 and t - open_ms > interval_ms + keep_ms else g_no + 1
+                    open_ms, first = t, m
+                n, last = n + 1, m
+                if n >= size:
+                    close()
+                    n = 0
+            if n and open_ms + interval_ms < now:
+                close()
+                n = 0
+        if g_no < 0:  # late rows alone
             return
-        batch = pd.concat(list(pdfs)).sort_values([order])
-        for m, t in zip(batch[order].tolist(), batch[ts].tolist()):
-            if msgs and t - open_ms >= interval_ms:
-                out.append(emit(k, g_no, open_ms, msgs))
-                msgs, times = [], []
-            if not msgs:
-                g_no, open_ms = g_no + 1, t
-            msgs.append(int(m))
-            times.append(int(t))
-            if len(msgs) >= size:
-                out.append(emit(k, g_no, open_ms, msgs))
-                msgs, times = [], []
-        state.update((g_no, open_ms, msgs, times))
-        if msgs:
-            state.setTimeoutTimestamp(open_ms + interval_ms)
+        state.update((g_no, open_ms, n, first, last))
+        state.setTimeoutTimestamp(max(open_ms + interval_ms + (0 if n else keep_ms), now + 1))
         if out:
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in GROUP_OUT.split(", ")])
 
     return src.groupBy("_key").applyInPandasWithState(
         step, GROUP_OUT, GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -163,8 +184,7 @@ def group_within_stream(rows: DataFrame, key: str, size: int, interval_ms: int,
 
 # ----------------------------------------------------------------------------- K4
 def fan_out_stream(updates: DataFrame, viewers: DataFrame) -> DataFrame:
-    """K4: live fan-out: stream-static join with the viewer table (the viewer
-    side is size-checked before it is broadcast, as in D1)."""
+    """K4: live fan-out: stream-static join with the viewer table."""
     from loctrack.operators.joins import fan_out
     return fan_out(updates, viewers)
 
@@ -185,13 +205,24 @@ def channel_sessions_stream(accesses: DataFrame, ttl_ms: int, watermark_ms: int
 # ----------------------------------------------------------------------------- K6
 def newest_n_stream(rows: DataFrame, n: int, kept_path: str, dropped_path: str, checkpoint: str,
                     key: str = "event_id", trigger: dict | None = None) -> StreamingQuery:
-    """K6: drop-head per trigger: each micro-batch keeps its newest ``n`` rows
-    per key and records how many it dropped."""
+    """K6: a buffer of the newest ``n`` rows per key that outlives the triggers.
+
+    Each micro-batch adds its rows to the buffer that the batch before left
+    under ``kept_path``, keeps the newest ``n`` per key, and records how many
+    rows it pushed out.  ``kept_path/batch_id=<last>`` is the buffer now; only
+    the newest two are needed."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        E.newest_n(batch, n, key).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(f"{kept_path}/batch_id={batch_id}")
-        E.dropped_count(batch, n, key).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(f"{dropped_path}/batch_id={batch_id}")
+        rows_now = batch
+        if batch_id:
+            before = batch.sparkSession.read.schema(batch.schema).parquet(f"{kept_path}/batch_id={batch_id - 1}")
+            rows_now = batch.unionByName(before)
+        rows_now = rows_now.persist()
+        try:
+            E.newest_n(rows_now, n, key).write.mode("overwrite").parquet(f"{kept_path}/batch_id={batch_id}")
+            E.dropped_count(rows_now, n, key).withColumn("batch_id", F.lit(batch_id)) \
+                .write.mode("overwrite").parquet(f"{dropped_path}/batch_id={batch_id}")
+        finally:
+            rows_now.unpersist()
 
     w = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -153,3 +153,15 @@ def test_batch_grid_position_equals_sorted_path(spark):
     b = E.batch_grid(s, "viewer_id", "deliver_ms", 3, 6 * 3_600_000, ST.ORIGIN_MS, order, position="msg_no")
     cols = ["viewer_id", "msg_no", "window_ms", "batch_no"]
     assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
+
+
+def test_a_cell_of_one_time_is_cut(spark):
+    """All rows of a key share one time: the other order columns cut the cell."""
+    from loctrack.operators.sequence import split_hot_chunks
+
+    n, bound = 20_000, 1_000
+    df = spark.range(n).select(F.lit("k").alias("k"), F.lit(5).cast("long").alias("ts_ms"), F.col("id").alias("seq"))
+    cells = split_hot_chunks(df, ["k"], ["ts_ms", "seq"], F.lit(0), bound).groupBy("k", "_chunk").count().collect()
+    assert len(cells) > n // bound and max(r["count"] for r in cells) <= bound
+    got = sequence_features(df, ["k"], ["ts_ms", "seq"], F.lit(0), prev=["seq"], running={"n": Running(F.lit(1), "sum")}, max_chunk_rows=bound)
+    assert got.filter((F.col("n") != F.col("seq") + 1) | ~F.col("prev_seq").eqNullSafe(F.when(F.col("seq") > 0, F.col("seq") - 1))).count() == 0

@@ -127,3 +127,40 @@ def test_explode_batches_with_bad_message(spark):
     b = spark.createDataFrame([([("a", 1.0, 2.0, 5)], 9)],
                               "locations array<struct<skaterId:string,latitude:double,longitude:double,timestamp:bigint>>, serverTime bigint")
     assert b.select(A.batches_to_json(b)).first()[0] == good
+
+
+def test_explode_batches_rejects_mistyped_messages(spark):
+    from loctrack import sources as A
+
+    bad = ["[1,2]", '{"locations":[{"skaterId":"a","latitude":"x"}],"serverTime":1}', '{"locations":"no"}',
+           '{"locations":[{"skaterId":7}]}', '{"locations":[],"serverTime":"t"}', "null", "7", None, "",
+           '{"locations":[7]}', '{"serverTime":1.5}', '{"locations":[{"skaterId":"a"},{"timestamp":true}]}']
+    good = ['{"locations":[{"skaterId":"a","latitude":1,"longitude":2.5,"timestamp":3},null],"serverTime":9}', '{"locations":[],"serverTime":1}', "{}"]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(bad + good)], "i int, m string")
+    rows = A.explode_batches(df, "m", keep=["i"]).collect()
+    assert sorted(r.i for r in rows if r.decode_error) == list(range(len(bad)))
+    n = len(bad)
+    fine = sorted((r.i, r.serverTime, r.pos, r.skaterId, r.latitude, r.longitude, r.timestamp) for r in rows if not r.decode_error and r.i == n)
+    assert fine == [(n, 9, 0, "a", 1.0, 2.5, 3), (n, 9, 1, None, None, None, None)]
+    assert [(r.serverTime, r.pos) for r in rows if r.i in (n + 1, n + 2)] == [(1, None), (None, None)]
+
+
+def test_lines_are_numbered_per_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loctrack import sources as A
+    from loctrack.operators import logs as I
+
+    for k in range(3):
+        (tmp_path / f"{k}.log").write_text("".join(f"{k} line {i}\n" for i in range(500 * (k + 1))))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        logs = A.read_app_logs(spark, str(tmp_path)).collect()
+        tail = I.crash_scan(A.read_app_logs(spark, str(tmp_path)).withColumn("text", F.concat("text", F.lit(" OutOfMemoryError"))), tail=2).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(logs) == 3000
+    for r in logs:
+        assert r.text.endswith(f" line {r.line_no}")
+    assert sorted(r.text.split(" OutOf")[0] for r in tail) == sorted(f"{k} line {500 * (k + 1) - j}" for k in range(3) for j in (1, 2))

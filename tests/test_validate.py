@@ -83,3 +83,18 @@ def test_for_events_and_summary(spark):
     assert [r.event_id for r in V.for_events(df, ids).collect()] == ["b"]
     t = V.for_events_text(df, F.lit("c, a"))
     assert sorted(r.event_id for r in t.collect()) == ["a", "c"]
+
+
+def test_text_behind_the_body_is_rejected(spark):
+    from pyspark.sql import functions as F
+
+    from loctrack.operators import validate as V
+
+    ok, c = '{"coordinates":[1.0,2.0]}', "550e8400-e29b-41d4-a716-446655440000"
+    bodies = [ok + " junk", ok + "]", ok + "} {}", ok + "] {}", ok + "," + ok, ok + "],[{}", ok + "},{\"b\":1", ok + "  \n", ok, "", "not json"]
+    df = spark.createDataFrame([(i, c, c, b, 0) for i, b in enumerate(bodies)], "seq long, event_id string, entity_id string, body string, received_ms long")
+    got = {r.seq: r.n for r in df.select("seq", F.size(V.coordinates_from_body("body")).alias("n")).collect()}
+    assert [i for i, n in got.items() if n == 2] == [7, 8]
+    strict = {r.seq: r.error_code for r in V.validate_updates(df, strict_json=True).collect()}
+    assert [i for i, e in sorted(strict.items()) if e is None] == [7, 8]
+    assert {strict[i] for i in (0, 1, 2, 3, 4, 10)} == {"INVALID_JSON"}
