@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loctrack.functions import floor_div, split_ids
 from loctrack.operators import state as C
 from loctrack.operators.sequence import Running, sequence_features
+from loctrack.session import cut
 
 _UPD = ["event_id", "entity_id", "longitude", "latitude", "ts_ms", "seq"]
 
@@ -85,6 +86,7 @@ def viewer_stream(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms:
                     .alias("deliver_ms"))
     if not number:
         return both
+    both = cut(both, "viewer_stream")
     order = ["deliver_ms", "phase", "ts_ms", "seq", "entity_id"]
     return sequence_features(both, ["viewer_id"], order, floor_div("deliver_ms", chunk_ms),
                              running={"msg_no": Running(F.lit(1).cast("long"), "sum")})

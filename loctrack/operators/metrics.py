@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loctrack import schemas as S
 from loctrack.functions import ceil_div, floor_div, grid_ceil, grid_floor, split_ids
 from loctrack.operators.sequence import Running, sequence_features
+from loctrack.session import cut
 
 DEFAULT_PS = (0.5, 0.95, 0.99)
 
@@ -102,7 +103,7 @@ def value_summary(df: DataFrame, keys: list[str], value: str, exact: bool = True
     by = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
     src = src.select(*([F.col(k).alias(b) for k, b in zip(keys, by)] or [F.lit(0).alias("_k0")]), v.cast("double").alias("_x"))
     x, c = F.col("_x"), F.col("_c")
-    vc = src.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    vc = cut(src.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")), "value_counts")
     finite = F.when(~F.isnan(x) & (F.abs(x) < 1e300), x)
     stats = vc.groupBy(*by).agg(
         F.sum("_c").alias("n"), F.min("_x").alias("min"), (F.sum(x * c) / F.sum("_c")).alias("mean"), F.max("_x").alias("max"),

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loctrack.functions import ceil_div, floor_div, grid_floor
 from loctrack.operators.sequence import Running, running_flag_count, sequence_features, split_hot_chunks
+from loctrack.session import cut
 
 KEY = ["event_id", "entity_id"]
 ORDER = ["ts_ms", "seq"]
@@ -172,7 +173,7 @@ def event_presence(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: in
     An event appears with its first write and disappears at the sweep that
     leaves it empty.  Each update lives from its ts to its replacement or its
     removal; an event's presence is the union of these intervals."""
-    v = versions(updates, ttl_ms, sweep_ms, origin_ms, chunk_ms)
+    v = cut(versions(updates, ttl_ms, sweep_ms, origin_ms, chunk_ms), "versions")
     isl = _islands(v, "event_id", "ts_ms", "end_ms", ["ts_ms", "entity_id", "seq"], chunk_ms)
     return isl.groupBy("event_id", "island_no").agg(
         F.min("ts_ms").alias("present_from_ms"),

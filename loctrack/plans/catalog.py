@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loctrack.plans import standins as ST
+from loctrack.session import cut
 from loctrack.plans.standins import DAY_MS, HOUR_MS, ORIGIN_MS, SNAPSHOT_AT_MS, with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -366,7 +367,7 @@ _GRID_ORDER = ["phase", "ts_ms", "seq", "entity_id"]
 
 def _grid(spark, d):
     # msg_no is the viewer's consecutive position in (deliver_ms, *_GRID_ORDER)
-    return E.batch_grid(_stream(spark, d), "viewer_id", "deliver_ms", BATCH_SIZE, BATCH_INTERVAL_MS,
+    return E.batch_grid(cut(_stream(spark, d), "stream"), "viewer_id", "deliver_ms", BATCH_SIZE, BATCH_INTERVAL_MS,
                         ORIGIN_MS, _GRID_ORDER, position="msg_no")
 
 
@@ -374,7 +375,7 @@ def _grid(spark, d):
 SELECT viewer_id, ts_ms, seq, entity_id, window_ms, batch_no FROM grid""")
 def q_batch_grid_windows(spark, d):
     """The same grid without the shortcut of known positions."""
-    return E.batch_grid(_stream(spark, d, number=False), "viewer_id", "deliver_ms", BATCH_SIZE, BATCH_INTERVAL_MS,
+    return E.batch_grid(cut(_stream(spark, d, number=False), "stream"), "viewer_id", "deliver_ms", BATCH_SIZE, BATCH_INTERVAL_MS,
                         ORIGIN_MS, _GRID_ORDER).select("viewer_id", "ts_ms", "seq", "entity_id", "window_ms", "batch_no")
 
 
@@ -419,7 +420,7 @@ SELECT n.viewer_id, n.i, n.open_ms, n.nxt, o.group_no + 1 FROM opens o JOIN next
 SELECT s.viewer_id, s.msg_no, s.deliver_ms, o.group_no, o.open_ms AS group_open_ms
 FROM stream s JOIN opens o ON s.viewer_id = o.viewer_id AND s.msg_no >= o.i AND s.msg_no < o.nxt""")
 def q_group_within(spark, d):
-    s = _stream(spark, d).select("viewer_id", "msg_no", "deliver_ms")
+    s = cut(_stream(spark, d).select("viewer_id", "msg_no", "deliver_ms"), "stream")
     return E.group_within(s, "viewer_id", BATCH_SIZE, BATCH_INTERVAL_MS, ts="deliver_ms", order=["msg_no"],
                           position="msg_no")
 
@@ -606,7 +607,7 @@ FROM (SELECT t_ms, sum(de) AS de, sum(dn) AS dn, sum(dv) AS dv FROM deltas GROUP
   HAVING sum(de) <> 0 OR sum(dn) <> 0 OR sum(dv) <> 0)""")
 def q_active_gauges(spark, d):
     u = _updates(spark, d)
-    points = C.lifetime_points(u, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+    points = cut(C.lifetime_points(u, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS), "points")
     return G.active_gauges(C.presence_points(points), points, ST.viewers(spark, d), LOC_SWEEP_MS, ORIGIN_MS)
 
 

@@ -7,8 +7,9 @@ is pinned to UTC before any date text is produced or parsed.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00"}
 
@@ -62,3 +63,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="loctrack-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the checkpoint folder and read it back.
+
+    Lineage ends there: what follows may use the table several times without
+    computing it again, its plan stays small, and a lost executor costs only
+    tasks of what follows.  The folder is the caller's to clean, like
+    checkpoints are."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
