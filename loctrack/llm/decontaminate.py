@@ -35,9 +35,9 @@ WINDOW = 10
 #: Words off its place at most, in a proximity match.
 SLOP = 2
 #: Words of an index segment at most, but for a longer single document.
-SEGMENT_WORDS = 1 << 18
+SEGMENT_WORDS = 1 << 16
 #: Candidate starts that are intersected at a time.
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 18
 #: Bytes of benchmark text that are sent to the tasks at a time.
 BLOCK_BYTES = 8 << 20
 
