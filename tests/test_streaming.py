@@ -16,6 +16,15 @@ from loctrack.plans import standins as ST
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_state_stores(spark):
+    """Each micro-batch commits a state store for every shuffle partition."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def _five_files(df, ts_col, out):
     lo, hi = df.agg(F.min(ts_col), F.max(ts_col)).first()
     step = (hi - lo) // 5 + 1
