@@ -147,4 +147,30 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_a
 FROM documents LEFT JOIN per USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op8_warc_zip": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_secrets": OP10_SQL}
+#: Bytes in hexadecimal, side by side with their followers; counts of each
+#: three of them, by bucket, for the two multinomials and for each text.
+OP4_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS trusted FROM documents),
+b AS (SELECT r, trusted, regexp_extract_all(hex(encode(' ' || text || ' ')), '..') AS h FROM d WHERE text <> ''),
+g AS (SELECT r, trusted, x || y || z AS gram, count(*) AS n
+  FROM (SELECT r, trusted, unnest(h[: len(h) - 2]) AS x, unnest(h[2 : len(h) - 1]) AS y, unnest(h[3 :]) AS z FROM b) GROUP BY ALL),
+k AS (SELECT gram, (((((('0x' || gram[1:2])::BIGINT * 257 + ('0x' || gram[3:4])::BIGINT) * 257 + ('0x' || gram[5:6])::BIGINT) % 4294967296) * 2654435761::HUGEINT) % 4294967296
+  // {1 << (33 - quality_rules.BUCKETS.bit_length())})::BIGINT AS bucket FROM (SELECT DISTINCT gram FROM g)),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (trusted), 0)::DOUBLE AS t, sum(n)::DOUBLE AS raw FROM g JOIN k USING (gram) GROUP BY bucket),
+total AS (SELECT coalesce(sum(t), 0) AS t, coalesce(sum(raw), 0) + {quality_rules.BUCKETS} AS raw, 1 + {quality_rules.SMOOTHING} * coalesce(sum(t), 0) AS weight FROM c),
+l AS (SELECT bucket, CASE WHEN total.t = 0 THEN 0 ELSE ln((c.t + weight * ((c.raw + 1) / total.raw)) / (total.t + weight) / ((c.raw + 1) / total.raw)) END AS ratio FROM c, total),
+m AS (SELECT r, sum(n * ratio) / sum(n) AS ratio FROM g JOIN k USING (gram) JOIN l USING (bucket) GROUP BY r),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+s AS (SELECT *, count(*) OVER (PARTITION BY r, x, y, z) AS n
+  FROM (SELECT r, unnest(range(0, len(w) - 2)) AS pos, unnest(w[: len(w) - 2]) AS x, unnest(w[2 : len(w) - 1]) AS y, unnest(w[3 :]) AS z FROM w WHERE len(w) > 2)),
+p AS (SELECT r, count(DISTINCT i) AS n_repeat_words FROM (SELECT r, unnest([pos, pos + 1, pos + 2]) AS i FROM s WHERE n > 1) GROUP BY r),
+o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(ratio, 0) AS ratio
+  FROM w LEFT JOIN p USING (r) LEFT JOIN m USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words) AND ratio >= {quality_rules.THRESHOLD} AS kept, round(ratio, 9) AS ratio FROM o
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_warc_zip": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_secrets": OP10_SQL}
