@@ -53,23 +53,38 @@ def next_open(t: np.ndarray, n_own: int, size: int, interval_ms: int) -> np.ndar
     return nxt
 
 
+def _jumps(nxt: np.ndarray, size: int) -> np.ndarray:
+    """``next`` over the own rows and the ``size`` places behind them, which stay
+    where they are."""
+    return np.concatenate([nxt, len(nxt) + np.arange(size, dtype=np.int64)])
+
+
 def chunk_function(t: np.ndarray, n_own: int, size: int, interval_ms: int):
-    """(exit, groups opened, last open time) for each entry ``0 .. size-1``."""
-    nxt = next_open(t, n_own, size, interval_ms)
-    ex = np.empty(n_own, dtype=np.int64)
-    cn = np.empty(n_own, dtype=np.int64)
-    lo = np.empty(n_own, dtype=np.int64)
-    for s in range(n_own - 1, -1, -1):       # backwards: each row reuses its successor
-        n = nxt[s]
-        if n < n_own:
-            ex[s], cn[s], lo[s] = ex[n], cn[n] + 1, lo[n]
-        else:
-            ex[s], cn[s], lo[s] = n - n_own, 1, t[s]
+    """(exit, groups opened, last open time) for each entry ``0 .. size-1``.
+
+    All chains of groups advance together by pointer doubling: after k rounds a
+    place stands ``2^k`` groups further."""
+    to = _jumps(next_open(t, n_own, size, interval_ms), size)
+    own = np.arange(n_own + size, dtype=np.int64) < n_own
+    opened, last = own.astype(np.int64), np.where(own, np.arange(n_own + size), -1)
+    while (to < n_own).any():
+        opened, last, to = opened + opened[to], np.maximum(last, last[to]), to[to]
     e = np.arange(size, dtype=np.int64)
-    inside = e < n_own
-    idx = np.minimum(e, max(n_own - 1, 0))
-    return (np.where(inside, ex[idx], e - n_own), np.where(inside, cn[idx], 0),
-            np.where(inside, lo[idx], NONE))
+    at = last[e]
+    return to[e] - n_own, opened[e], np.where(at >= 0, t[np.maximum(at, 0)], NONE)
+
+
+def opening_rows(nxt: np.ndarray, entry: int, size: int) -> np.ndarray:
+    """Whether each own row opens a group, given the first one that does: the
+    places reached from ``entry``, by doubled jumps from the longest down."""
+    jumps = [_jumps(nxt, size)]
+    while (jumps[-1] < len(nxt)).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    start = np.zeros(len(nxt) + size, dtype=bool)
+    start[entry] = True
+    for jump in reversed(jumps):
+        start[jump[np.flatnonzero(start)]] = True
+    return start[:len(nxt)]
 
 
 def compose(funcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int):
@@ -195,11 +210,7 @@ def group_within(rows: DataFrame, key, size: int, interval_ms: int, ts: str = "t
         s0 = st.iloc[0]
         e, before, carry = int(s0["_e"]), int(s0["_before"]), int(s0["_carry"])
         nxt = next_open(t, n_own, size, interval_ms)
-        start = np.zeros(n_own, dtype=bool)
-        s = e
-        while s < n_own:
-            start[s] = True
-            s = nxt[s]
+        start = opening_rows(nxt, e, size)
         ordinal = np.cumsum(start)
         last_start = np.maximum.accumulate(np.where(start, np.arange(n_own), -1))
         res = pdf.iloc[:n_own][cols].copy()

@@ -1,10 +1,11 @@
 """Fan-out to viewers, as-of snapshots per viewer, viewer streams,
 stale rows in a viewer's table, isolation between events.
 
-Every join keeps the equality on ``event_id`` so Spark plans a hash join with a
-range post-filter, never a nested loop.  No side is hinted: Spark broadcasts the
-viewers only when their measured bytes are under its threshold; otherwise both
-sides shuffle on the event and AQE splits a hot event's partition.
+Every join is an equality on the event and a time bucket, with the exact times as
+post-filter, so an update meets only the viewers of its own bucket and an event's
+rows spread over as many keys as it has buckets.  No side is hinted: Spark
+broadcasts the viewers only when their measured bytes are under its threshold;
+otherwise both sides shuffle on (event, bucket) and AQE splits a hot one.
 """
 
 from __future__ import annotations
@@ -18,15 +19,37 @@ from loctrack.operators.sequence import Running, sequence_features
 from loctrack.session import cut
 
 _UPD = ["event_id", "entity_id", "longitude", "latitude", "ts_ms", "seq"]
+# Width of the time buckets in the join keys.
+BUCKET_MS = 3_600_000
 
 
-def fan_out(updates: DataFrame, viewers: DataFrame) -> DataFrame:
+def _viewers(viewers: DataFrame) -> DataFrame:
+    return viewers.select("viewer_id", F.col("event_id").alias("_ev"), "subscribed_ms", "left_ms")
+
+
+def _seats(updates: DataFrame, viewers: DataFrame, bucket_ms: int) -> DataFrame:
+    """The viewers once for each bucket in which they are subscribed and their
+    event has updates; an open end costs no more than the event's buckets."""
+    cells = updates.select(F.col("event_id").alias("_cell_ev"), floor_div("ts_ms", bucket_ms).alias("_bucket")).distinct()
+    b = F.col("_bucket")
+    return _viewers(viewers).join(cells, (F.col("_ev") == F.col("_cell_ev")) & (b >= floor_div("subscribed_ms", bucket_ms))
+                                  & (F.col("left_ms").isNull() | (b <= floor_div("left_ms", bucket_ms)))).drop("_cell_ev")
+
+
+def fan_out(updates: DataFrame, viewers: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Every update to every viewer of its event subscribed at that time
-    (``subscribed_ms < ts <= left_ms``, open end when ``left_ms`` is null)."""
-    v = viewers.select("viewer_id", F.col("event_id").alias("_ev"), "subscribed_ms", "left_ms")
-    cond = ((updates["event_id"] == v["_ev"]) & (updates["ts_ms"] > v["subscribed_ms"])
-            & (v["left_ms"].isNull() | (updates["ts_ms"] <= v["left_ms"])))
-    return updates.join(v, cond, "inner").select("viewer_id", *_UPD, "subscribed_ms")
+    (``subscribed_ms < ts <= left_ms``, open end when ``left_ms`` is null).
+
+    On a stream the buckets of later updates are not known, and the join is on
+    the event alone; there a micro-batch bounds the updates."""
+    u, cond = updates.select(*_UPD), F.col("event_id") == F.col("_ev")
+    if updates.isStreaming:
+        v = _viewers(viewers)
+    else:
+        u, v = u.withColumn("_at", floor_div("ts_ms", bucket_ms)), _seats(updates, viewers, bucket_ms)
+        cond = cond & (F.col("_at") == F.col("_bucket"))
+    cond = cond & (F.col("ts_ms") > F.col("subscribed_ms")) & (F.col("left_ms").isNull() | (F.col("ts_ms") <= F.col("left_ms")))
+    return u.join(v, cond, "inner").select("viewer_id", *_UPD, "subscribed_ms")
 
 
 def _versions(updates: DataFrame, chunk_ms: int) -> DataFrame:
@@ -44,43 +67,65 @@ def _visible_at(t, ttl_ms: int, sweep_ms: int, origin_ms: int, read_ttl: bool):
     return (k < 1) | (F.col("ts_ms") > last - F.lit(ttl))
 
 
+def _snapshot_bucket(t, ttl_ms: int, sweep_ms: int, origin_ms: int, bucket_ms: int):
+    """Bucket of a subscription time.  All times before the first sweep, when
+    rows of any age are visible, are one bucket."""
+    return F.greatest(floor_div(t - F.lit(origin_ms + sweep_ms), max(bucket_ms, ttl_ms + sweep_ms)), F.lit(-1).cast("long"))
+
+
+def _visible_buckets(ttl_ms: int, sweep_ms: int, origin_ms: int, bucket_ms: int):
+    """The buckets of the times at which a version can be visible: until the next
+    version, and at most ttl + sweep after its own time or to the first sweep.  A
+    bucket is no narrower than that, so there are three at most."""
+    end = F.greatest(F.col("ts_ms") + F.lit(ttl_ms + sweep_ms), F.lit(origin_ms + sweep_ms).cast("long"))
+    args = (ttl_ms, sweep_ms, origin_ms, bucket_ms)
+    return F.sequence(_snapshot_bucket(F.col("ts_ms"), *args), _snapshot_bucket(F.least(end, F.col("next_ts_ms")), *args))
+
+
 def snapshot_for_viewers(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms: int,
                          origin_ms: int = 0, read_ttl: bool = False,
-                         chunk_ms: int = 86_400_000) -> DataFrame:
+                         chunk_ms: int = 86_400_000, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """The snapshot each viewer receives when it subscribes (as-of join).
 
     Each update is turned into a version valid from its ts until the next update
-    of its key; a viewer at time T meets exactly the versions with
-    ``ts <= T < next_ts`` -- one row per visible entity, no per-viewer history
+    of its key; a viewer at time T meets, among the versions of its bucket, those
+    with ``ts <= T < next_ts`` -- one row per visible entity, no per-viewer history
     blow-up -- and the sweep-grid visibility of C5 is applied to T."""
-    ver = _versions(updates, chunk_ms)
-    v = viewers.select("viewer_id", F.col("event_id").alias("_ev"), "subscribed_ms")
-    t = F.col("subscribed_ms")
-    cond = ((ver["event_id"] == v["_ev"]) & (ver["ts_ms"] <= v["subscribed_ms"])
-            & (ver["next_ts_ms"].isNull() | (ver["next_ts_ms"] > v["subscribed_ms"])))
+    args = (ttl_ms, sweep_ms, origin_ms, bucket_ms)
+    ver = _versions(updates, chunk_ms).withColumn("_at", F.explode(_visible_buckets(*args)))
+    t, ts = F.col("subscribed_ms"), F.col("ts_ms")
+    v = _viewers(viewers).withColumn("_bucket", _snapshot_bucket(t, *args))
+    cond = ((F.col("event_id") == F.col("_ev")) & (F.col("_at") == F.col("_bucket")) & (ts <= t)
+            & (F.col("next_ts_ms").isNull() | (F.col("next_ts_ms") > t)))
     j = ver.join(v, cond, "inner")
     return j.filter(_visible_at(t, ttl_ms, sweep_ms, origin_ms, read_ttl)) \
         .select("viewer_id", *_UPD, "subscribed_ms")
 
 
 def viewer_stream(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms: int,
-                  origin_ms: int = 0, chunk_ms: int = 86_400_000, number: bool = True) -> DataFrame:
+                  origin_ms: int = 0, chunk_ms: int = 86_400_000, number: bool = True,
+                  bucket_ms: int = BUCKET_MS) -> DataFrame:
     """D3: what each viewer receives, in order: its snapshot (phase 0, delivered
     at subscription) and then the live updates (phase 1), numbered per viewer
     by (phase, ts, seq) unless ``number`` is False.  Rows are cut exactly once at ``subscribed_ms``.
 
-    One pass: every update version meets the viewers of its event once; it is
-    in a viewer's snapshot when it is the visible version at subscription
-    (D2), and live when it arrives while the viewer is subscribed (D1)."""
-    ver = _versions(updates, chunk_ms)
-    v = viewers.select("viewer_id", F.col("event_id").alias("_ev"), "subscribed_ms", "left_ms")
-    t, ts = v["subscribed_ms"], ver["ts_ms"]
-    snap = (ts <= t) & (ver["next_ts_ms"].isNull() | (ver["next_ts_ms"] > t))
-    live = (ts > t) & (v["left_ms"].isNull() | (ts <= v["left_ms"]))
-    j = ver.join(v, (ver["event_id"] == v["_ev"]) & (snap | live), "inner")
-    phase = F.when(F.col("ts_ms") <= F.col("subscribed_ms"), F.lit(0)).otherwise(F.lit(1))
-    j = j.withColumn("phase", phase).filter(
-        (F.col("phase") == 1) | _visible_at(F.col("subscribed_ms"), ttl_ms, sweep_ms, origin_ms, False))
+    One join: an update version stands in the buckets in which it can be part of a
+    snapshot (D2, phase 0) and in the bucket of its time, in which it can be live
+    (D1, phase 1); a viewer in the bucket of its subscription and in those of its
+    seats."""
+    args = (ttl_ms, sweep_ms, origin_ms, bucket_ms)
+    t, ts = F.col("subscribed_ms"), F.col("ts_ms")
+    place = lambda phase, bucket: F.struct(F.lit(phase).alias("phase"), bucket.alias("bucket"))
+    places = F.concat(F.transform(_visible_buckets(*args), lambda b: place(0, b)), F.array(place(1, floor_div("ts_ms", bucket_ms))))
+    ver = _versions(updates, chunk_ms).withColumn("_place", F.explode(places)) \
+        .select("*", F.col("_place.phase").alias("phase"), F.col("_place.bucket").alias("_at")).drop("_place")
+    v = _viewers(viewers).withColumn("_bucket", _snapshot_bucket(t, *args)).withColumn("_phase", F.lit(0)) \
+        .unionByName(_seats(updates, viewers, bucket_ms).withColumn("_phase", F.lit(1)))
+    snap = (ts <= t) & (F.col("next_ts_ms").isNull() | (F.col("next_ts_ms") > t))
+    live = (ts > t) & (F.col("left_ms").isNull() | (ts <= F.col("left_ms")))
+    j = ver.join(v, (F.col("event_id") == F.col("_ev")) & (F.col("phase") == F.col("_phase")) & (F.col("_at") == F.col("_bucket"))
+                 & F.when(F.col("phase") == 0, snap).otherwise(live), "inner")
+    j = j.filter((F.col("phase") == 1) | _visible_at(F.col("subscribed_ms"), ttl_ms, sweep_ms, origin_ms, False))
     both = j.select("viewer_id", *_UPD, "subscribed_ms", "phase",
                     F.when(F.col("phase") == 0, F.col("subscribed_ms")).otherwise(F.col("ts_ms"))
                     .alias("deliver_ms"))

@@ -1,5 +1,8 @@
 """Fan-out, snapshot-then-live streams, batching and buffers."""
 
+import random
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +168,47 @@ def test_a_cell_of_one_time_is_cut(spark):
     assert len(cells) > n // bound and max(r["count"] for r in cells) <= bound
     got = sequence_features(df, ["k"], ["ts_ms", "seq"], F.lit(0), prev=["seq"], running={"n": Running(F.lit(1), "sum")}, max_chunk_rows=bound)
     assert got.filter((F.col("n") != F.col("seq") + 1) | ~F.col("prev_seq").eqNullSafe(F.when(F.col("seq") > 0, F.col("seq") - 1))).count() == 0
+
+
+@pytest.mark.parametrize("ttl,sweep,origin,bucket", [(3000, 700, 0, 500), (3000, 700, 20_000, 1000), (2000, 5000, 8000, 100), (90_000, 10_000, 0, 3_600_000)])
+def test_buckets_lose_no_pair(spark, ttl, sweep, origin, bucket):
+    """Fan-out, snapshots and streams against all pairs, with buckets of every width."""
+    rnd = random.Random(ttl + bucket)
+    ups = [(f"e{rnd.randint(0, 2)}", f"k{rnd.randint(0, 5)}", 1.0, 2.0, rnd.randint(0, 30_000), i) for i in range(200)]
+    ups += [("e0", "k0", 1.0, 2.0, 7_000_000, 900), (None, "k0", 1.0, 2.0, 5, 901)]
+    vs = [(i, rnd.choice(["e0", "e1", "e2", "none", None]), s, rnd.choice([None, s - 5, s, s + rnd.randint(0, 20_000)]))
+          for i, s in enumerate([0, 1, *(rnd.randint(0, 40_000) for _ in range(40))])]
+    u = spark.createDataFrame(ups, "event_id string, entity_id string, longitude double, latitude double, ts_ms long, seq long")
+    v = spark.createDataFrame(vs, "viewer_id long, event_id string, subscribed_ms long, left_ms long")
+    live = sorted((i, r[5]) for i, ev, s, left in vs for r in ups
+                  if r[0] is not None and r[0] == ev and r[4] > s and (left is None or r[4] <= left))
+    seen = []
+    for i, ev, s, _ in vs:
+        newest = {}
+        for r in sorted((r for r in ups if r[0] is not None and r[0] == ev and r[4] <= s), key=lambda r: (r[4], r[5])):
+            newest[r[1]] = r
+        k = (s - origin) // sweep
+        seen += [(i, r[5]) for r in newest.values() if k < 1 or r[4] > origin + k * sweep - ttl // 1000 * 1000]
+    ids = lambda df: sorted((r.viewer_id, r.seq) for r in df.collect())
+    assert ids(D.fan_out(u, v, bucket)) == live
+    assert ids(D.snapshot_for_viewers(u, v, ttl, sweep, origin, chunk_ms=9000, bucket_ms=bucket)) == sorted(seen)
+    stream = D.viewer_stream(u, v, ttl, sweep, origin, 9000, bucket_ms=bucket)
+    assert sorted((r.viewer_id, r.phase, r.seq) for r in stream.collect()) == sorted([(i, 0, q) for i, q in seen] + [(i, 1, q) for i, q in live])
+    assert live and seen
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chunk_functions_against_a_walk(seed):
+    from loctrack.operators import grouping as G
+    rnd = random.Random(seed)
+    size, interval, n_own = rnd.randint(1, 6), rnd.randint(1, 40), rnd.choice([1, 3, 50, 300])
+    t = np.cumsum([rnd.choice([0, 0, 1, 5, 60]) for _ in range(n_own + rnd.randint(0, size - 1))])
+    nxt = G.next_open(t, n_own, size, interval)
+    got = G.chunk_function(t, n_own, size, interval)
+    for e in range(size):
+        s, opened = e, []
+        while s < n_own:
+            opened.append(s)
+            s = int(nxt[s])
+        assert [int(x[e]) for x in got] == [s - n_own, len(opened), int(t[opened[-1]]) if opened else G.NONE]
+        assert np.flatnonzero(G.opening_rows(nxt, e, size)).tolist() == opened
