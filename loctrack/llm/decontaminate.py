@@ -232,7 +232,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ).drop("segment", "ordinal")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a window of an item."""
-    found = contamination(docs, items, id_col, text_col, slop=None).where("n_hit > 0").select(F.col("doc_id").alias("_hit_id")).distinct()
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int | None = SLOP) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item, as an exact
+    phrase or, unless ``slop`` is None, as a proximity match."""
+    found = contamination(docs, items, id_col, text_col, slop=slop).where("n_hit > 0 or size(near_items) > 0").select(F.col("doc_id").alias("_hit_id")).distinct()
     return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_hit_id")), "left_anti")

@@ -26,6 +26,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest_of(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op1_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_decontaminate, and the items with proximity matches."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest_of(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"), digest_of(F.col("near_items")).alias("near_sha256"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -67,7 +73,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, range(3)), F.sha2("base_text", 256).alias("base_sha256"), "spans", "n_live", "n_example")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_byte_bpe, op4_quality_rules, op5_conv_quality, op6_main_text, op7_token_counts, op8_warc_zip, op9_line_dedup, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op1_near_items, op2_simhash, op3_byte_bpe, op4_quality_rules, op5_conv_quality, op6_main_text, op7_token_counts, op8_warc_zip, op9_line_dedup, op10_secrets)}
 
 #: Windows of three lines with their place; then as the operator does it.
 OP9_SQL = r"""

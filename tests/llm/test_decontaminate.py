@@ -74,3 +74,21 @@ def test_query_digest(spark):
 
     got = spark.createDataFrame([([10, 9, 2],), ([],)], "i array<long>").select(digest_of(F.col("i"))).collect()
     assert [r[0] for r in got] == [hashlib.sha256(x).hexdigest() for x in (b"10,2,9", b"")]
+
+
+def test_proximity_in_query_and_stage(spark, tmp_path):
+    from loctrack.llm import queries as Q
+
+    w = [f"w{i}" for i in range(30)]
+    inserted = [x for i, x in enumerate(w) for x in ([x, "new"] if i % 9 == 8 else [x])]
+    swapped = [w[i ^ 1] for i in range(30)]
+    texts = [" ".join(w), " ".join(inserted), " ".join(swapped), "w0 clean w1 text"]
+    docs, items = documents(spark, texts), spark.createDataFrame([(7, " ".join(w))], ITEMS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in Q.op1_near_items(spark, str(tmp_path)).collect()}
+    assert [got[i].n_items for i in range(4)] == [1, 0, 0, 0]
+    assert [got[i].n_near_items for i in range(4)] == [1, 1, 1, 0]
+    assert got[1].near_sha256 == hashlib.sha256(b"7").hexdigest() and not got[1].contaminated
+    assert by_id(D.drop_contaminated(docs, items), "doc_id") == [(3,), (None,)]
+    assert by_id(D.drop_contaminated(docs, items, slop=None), "doc_id") == [(1,), (2,), (3,), (None,)]
