@@ -44,43 +44,44 @@ BLOCK_BYTES = 8 << 20
 #: Upper-case ASCII letters become lower-case; what is not in a word, a space.
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
-INDEX_SCHEMA = "ids array<bigint>, starts binary, terms binary, counts binary, positions binary"
+INDEX_SCHEMA = "ids array<bigint>, hashes array<bigint>, starts binary, terms binary, counts binary, positions binary"
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def _segment(ids: list, starts: list[int], vocab: dict[bytes, int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+def _segment(ids: list, hashes: list, starts: list[int], vocab: dict[bytes, int], tokens: list[np.ndarray]) -> pa.RecordBatch:
     of = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
     order = np.argsort(of, kind="stable").astype(np.int32)
     counts = np.bincount(of, minlength=len(vocab)).astype(np.int32)
-    columns = [[ids], [np.array([*starts, len(of)], np.int64).tobytes()], [b" ".join(vocab)], [counts.tobytes()], [order.tobytes()]]
-    kinds = [pa.list_(pa.int64()), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ids", "starts", "terms", "counts", "positions"])
+    columns = [[ids], [hashes], [np.array([*starts, len(of)], np.int64).tobytes()], [b" ".join(vocab)], [counts.tobytes()], [order.tobytes()]]
+    kinds = [*[pa.list_(pa.int64())] * 2, *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ids", "hashes", "starts", "terms", "counts", "positions"])
 
 
 def _index_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, starts, vocab, tokens, n = [], [], {}, [], 0
+    ids, hashes, starts, vocab, tokens, n = [], [], [], {}, [], 0
     for batch in slices(batches):
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for key, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found = words(text)
             if ids and n + len(found) > SEGMENT_WORDS:
-                yield _segment(ids, starts, vocab, tokens)
-                ids, starts, vocab, tokens, n = [], [], {}, [], 0
+                yield _segment(ids, hashes, starts, vocab, tokens)
+                ids, hashes, starts, vocab, tokens, n = [], [], [], {}, [], 0
             ids.append(key)
+            hashes.append(text_hash)
             starts.append(n)
             add = vocab.setdefault
             tokens.append(np.fromiter((add(w, len(vocab)) for w in found), np.int32, len(found)))
             n += len(found)
     if ids:
-        yield _segment(ids, starts, vocab, tokens)
+        yield _segment(ids, hashes, starts, vocab, tokens)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: a row for each segment, with the documents' ids and
-    first positions, the terms, and the terms' counts and position lists."""
-    rows = keyed(docs, id_col, text_col).select(F.col("id").cast("long"), "text")
+    """The stored index: a row for each segment, with the documents' ids,
+    text hashes and first positions, the terms, and the terms' counts and position lists."""
+    rows = keyed(docs, id_col, text_col).select(F.col("id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     return written(rows.mapInArrow(_index_tasks, INDEX_SCHEMA).select(F.monotonically_increasing_id().alias("segment"), "*"), "index")
 
 
@@ -157,7 +158,7 @@ class Segment:
         return start.clip(self.starts[doc], self.starts[doc + 1] - 1), part[row]
 
 
-MATCH_SCHEMA = "segment bigint, ordinal int, doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<bigint>, near array<bigint>"
+MATCH_SCHEMA = "segment bigint, ordinal int, doc_id bigint, text_hash bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<bigint>, near array<bigint>"
 
 
 def _by_document(seg: Segment, starts: np.ndarray, q: Queries, of: np.ndarray) -> list[list[int]]:
@@ -207,9 +208,9 @@ def find_matches(index: DataFrame, items: DataFrame, item_col: str = "item_id",
                 exact = seg.matches(q, 0)
                 near = seg.matches(q, slop) if slop is not None else (exact[0][:0], exact[1][:0])
                 n = len(seg.starts) - 1
-                columns = [[r["segment"]] * n, range(n), r["ids"], np.diff(seg.starts), _spans(seg, exact[0], q, exact[1]), _by_document(seg, exact[0], q, exact[1]), _by_document(seg, near[0], q, near[1])]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["segment", "ordinal", "doc_id", "n_words", "spans", "items", "near"])
+                columns = [[r["segment"]] * n, range(n), r["ids"], r["hashes"], np.diff(seg.starts), _spans(seg, exact[0], q, exact[1]), _by_document(seg, exact[0], q, exact[1]), _by_document(seg, near[0], q, near[1])]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["segment", "ordinal", "doc_id", "text_hash", "n_words", "spans", "items", "near"])
 
         part = index.mapInArrow(tasks, MATCH_SCHEMA)
         found = part if found is None else found.unionByName(part)
@@ -217,7 +218,7 @@ def find_matches(index: DataFrame, items: DataFrame, item_col: str = "item_id",
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = SLOP) -> DataFrame:
-    """A row for each document: words, words inside exact phrases, the items
+    """A row for each document: its id and the hash of its text, words, words inside exact phrases, the items
     with such phrases and those with proximity matches."""
     found = find_matches(build_index(docs, id_col, text_col), items, item_col, item_text_col, window, slop)
     covered = F.aggregate(
@@ -227,13 +228,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         lambda a: a["n"],
     )
     return found.groupBy("segment", "ordinal").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), covered.alias("n_hit"),
+        F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), covered.alias("n_hit"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near_items"),
     ).drop("segment", "ordinal")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int | None = SLOP) -> DataFrame:
     """``docs`` without the documents that hold a window of an item, as an exact
-    phrase or, unless ``slop`` is None, as a proximity match."""
-    found = contamination(docs, items, id_col, text_col, slop=slop).where("n_hit > 0 or size(near_items) > 0").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_hit_id")), "left_anti")
+    phrase or, unless ``slop`` is None, as a proximity match.  Rows are told by id
+    and text, so others that share an id, or have none, stay."""
+    found = contamination(docs, items, id_col, text_col, slop=slop).where("n_hit > 0 or size(near_items) > 0").select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
+    return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_hit_hash")), "left_anti")

@@ -67,14 +67,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row; fp holds the 64 bits as a signed number."""
+    """(doc_id, text_hash, fp) for every row; fp holds the 64 bits as a signed number."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(tasks, "doc_id bigint, fp bigint")
+    return keyed(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tasks, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _half(fp: np.ndarray, half: int) -> np.ndarray:
@@ -199,21 +199,24 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``; component_id is the
-    least doc_id among the rows that a chain of links reaches."""
+    """(doc_id, text_hash, fp, root, component_id) for every row of ``docs``;
+    component_id is the least doc_id among the rows that a chain of links reaches,
+    and root a fingerprint that tells components without ids apart."""
     prints = written(fingerprints(docs, id_col, text_col, size), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(near_links(distinct, bits))
     joined = distinct.join(roots, distinct.fp == roots.node)
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = joined.join(least, "root").select("fp", "component_id")
-    of = distinct.join(roots, distinct.fp == roots.node, "left_anti").select("fp", F.col("least").alias("component_id")).unionByName(linked)
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    linked = joined.join(least, "root").select("fp", "root", "component_id")
+    of = distinct.join(roots, distinct.fp == roots.node, "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id")).unionByName(linked)
+    return prints.join(of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component, the one of the least id."""
+    """``docs`` with one row of each component, the one of the least id (null
+    last), then of the least text hash."""
     found = near_duplicates(docs, id_col, text_col, size, bits)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_hash").alias("_kept_hash"))
+    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_kept_hash")), "left_semi")
     return rows.dropDuplicates([id_col, text_col])  # rows that repeat an id and a text

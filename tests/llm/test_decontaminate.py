@@ -92,3 +92,9 @@ def test_proximity_in_query_and_stage(spark, tmp_path):
     assert got[1].near_sha256 == hashlib.sha256(b"7").hexdigest() and not got[1].contaminated
     assert by_id(D.drop_contaminated(docs, items), "doc_id") == [(3,), (None,)]
     assert by_id(D.drop_contaminated(docs, items, slop=None), "doc_id") == [(1,), (2,), (3,), (None,)]
+
+
+def test_rows_that_share_an_id_are_dropped_alone(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "clean one"), (None, "clean two"), (None, None), (4, "x a b y"), (4, "clean three"), (4, "clean three"), (5, "a b"), (5, "a b")], "doc_id long, text string")
+    got = D.drop_contaminated(docs, spark.createDataFrame([(1, "a b")], ITEMS))
+    assert by_id(got, "doc_id", "text") == sorted([(None, "clean one"), (None, "clean two"), (None, None), (4, "clean three"), (4, "clean three")], key=repr)

@@ -100,3 +100,16 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_row_of_each_component_by_row(spark):
+    """Rows without ids and rows that share an id, of which some are near copies."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(400)) for k in "abcd")
+    near = lambda t: t + " " + t.split()[-1]
+    prints = [brute_print(t) for t in (a, b, c, d, near(a), near(b), near(c))]
+    assert len(set(brute_components(prints))) == 4
+    docs = spark.createDataFrame([(None, a), (None, near(a)), (None, b), (1, near(b)), (7, c), (7, near(c)), (7, d), (7, d), (None, "short")], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in S.keep_one_of_each(docs).collect()]
+    assert len(kept) == 5
+    assert (1, near(b)) in kept and (7, d) in kept and (None, "short") in kept
+    assert len({(None, a), (None, near(a))} & set(kept)) == 1 and len({(7, c), (7, near(c))} & set(kept)) == 1
