@@ -3,9 +3,11 @@
 Base spans come from three fixed patterns.  The method adds candidates that no
 base pattern names: long runs that mix letters and digits.  All candidates are
 hashed, and the corpus says by how many distinct owners and repositories each
-hash is held.  A candidate of at most ``MAX_OWNERS`` owners looks like a live
-credential of its owner and, if no base span holds it, adds a span of kind
-``owned``; one that more owners hold is a widely copied example.
+hash is held.  A candidate of at most ``MAX_OWNERS`` owners and ``MAX_REPOS``
+repositories looks like a live credential of its owner and, if no base span holds
+it, adds a span of kind ``owned``; one that more owners or repositories hold is a
+widely copied example.  A repository belongs to its owner: equal names under two
+owners are two repositories.
 
 DataFrame functions only; positions follow from the lengths of the pieces
 between the matches, in code points.  Texts are scanned once and never
@@ -27,6 +29,8 @@ from loctrack.llm.common import written
 
 #: Owners up to which a candidate looks like a live credential.
 MAX_OWNERS = 2
+#: Repositories up to which it does; a single owner may hold an example in more.
+MAX_REPOS = 3
 #: Kinds in the order of listing; pattern, group of the value, least length of it.
 KINDS = ("assign", "access", "hex", "owned")
 PATTERNS = (
@@ -81,17 +85,19 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(doc_id, base, base_text, spans, n_live, n_example) for every row: base
-    spans as an array and as text, all spans as text, and how many of all
-    candidates look live or are widely copied."""
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """(doc_id, base, base_text, spans, n_live, n_example, candidates) for every
+    row: base spans as an array and as text, all spans as text, how many of all
+    candidates look live or are widely copied, and all candidates with their
+    numbers of owners and repositories."""
     found = scan(docs, id_col, text_col, owner_cols, repo_cols)
     each = found.select("row", F.explode(F.concat("base", "more")).alias("s")).select("row", "s.*")
-    told = each.join(ownership(found), "hash").select("row", "start", "kind", "end", (F.col("n_owners") <= max_owners).alias("live"))
+    told = each.join(ownership(found), "hash").select("row", "start", "kind", "end", "n_owners", "n_repos", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live"))
     shown = F.col("live") | (F.col("kind") < len(KINDS) - 1)
     by_row = told.groupBy("row").agg(
         F.array_sort(F.collect_list(F.when(shown, F.struct("start", "kind", "end")))).alias("all"),
         F.count(F.when(F.col("live"), 1)).alias("n_live"), F.count(F.when(~F.col("live"), 1)).alias("n_example"),
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repos"))).alias("candidates"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return found.join(by_row, "row", "left").select("doc_id", "base", _text(F.col("base")).alias("base_text"), F.coalesce(_text(F.col("all")), F.lit("")).alias("spans"), zero("n_live"), zero("n_example"))
+    return found.join(by_row, "row", "left").select("doc_id", "base", _text(F.col("base")).alias("base_text"), F.coalesce(_text(F.col("all")), F.lit("")).alias("spans"), zero("n_live"), zero("n_example"), "candidates")

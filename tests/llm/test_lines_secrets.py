@@ -86,3 +86,14 @@ def test_queries_over_whole_tables(spark):
     assert sum(r.n_hex for r in got) and sum(r.n_assign for r in got)
     want = brute_lines(sorted(texts.items()))
     assert {r.doc_id: r.text for r in Q.op9_line_dedup(spark, sf).collect()} == want
+
+
+def test_secrets_by_repository(spark):
+    """One owner holds a value in many repositories, another in three."""
+    wide, live = "Aq8372hdKs82jdPq01aa", "Zk93hd82HDk29dkQ0sl2"
+    rows = [(i, f"key {wide} end", f"l{i % 5}", "one") for i in range(10)] + [(10 + i, f"key {live} end", f"l{i % 3}", "one") for i in range(6)]
+    got = {r.doc_id: r for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {(r.spans, r.n_live, r.n_example) for i, r in got.items() if i < 10} == {("", 0, 1)}
+    assert {(r.spans, r.n_live, r.n_example) for i, r in got.items() if i >= 10} == {("owned:4:24", 1, 0)}
+    assert [tuple(c) for c in got[0].candidates] == [(4, 3, 24, 1, 5)]
+    assert [tuple(c) for c in got[10].candidates] == [(4, 3, 24, 1, 3)]
