@@ -4,14 +4,17 @@ Every three consecutive lines of a text are hashed (MD5 of the lines).  Windows
 found more than once anywhere in the corpus are repeats; the first in order of
 (doc_id, position) stays, and the lines that later ones cover are removed.
 Covered positions of overlapping windows merge, so a repeated passage of n
-lines goes as a whole.  Windows of nothing but white space don't count.
+lines goes as a whole.  Windows of nothing but white space don't count.  With
+``edges``, a mark stands before the first and behind the last line, so that the
+two lines at an edge, and texts of one or two lines, are windows as well; one or
+two repeated lines between different neighbours are still not found.
 
 DataFrame functions only.  Windows are counted with partial aggregation, so a
 window in a third of all texts is a few rows; the join back to the windows and
 the join to the texts can be split by AQE.  Texts are shuffled once.
 
 Defined cases: a null text stays null, with 0 lines; texts of fewer than three
-lines stay as they are; rows that repeat a doc_id with the same text count as
+lines stay as they are without ``edges``; rows that repeat a doc_id with the same text count as
 one document, so they are changed alike and don't remove each other's lines;
 a null doc_id orders first; an empty table gives an empty result; other columns
 are kept as they are.
@@ -24,16 +27,20 @@ from pyspark.sql import functions as F
 
 #: Lines of a window.
 WINDOW = 3
+#: Stands for the lines outside a text; no line holds it.
+EDGE = "\n"
 
 
-def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, pos, hash) of every window with a word in it."""
+def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edges: bool = False) -> DataFrame:
+    """(doc_id, text_hash, pos, hash) of every window with a word in it; with
+    ``edges``, the first pos is -1."""
     text = F.col(f"`{text_col}`")
-    lines = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines")).where(F.size("lines") >= WINDOW)
+    split, edge = F.split(text, "\n"), F.array(F.lit(EDGE))
+    lines = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), (F.concat(edge, split, edge) if edges else split).alias("lines")).where(F.size("lines") >= WINDOW)
     # shifted copies side by side: linear in the length of a text
     n = F.size("lines") - WINDOW + 1
     shifted = F.arrays_zip(*(F.slice("lines", k + 1, n).alias(f"l{k}") for k in range(WINDOW)))
-    each = lines.select("doc_id", "text_hash", F.posexplode(shifted).alias("pos", "at"))
+    each = lines.select("doc_id", "text_hash", F.posexplode(shifted).alias("pos", "at")).withColumn("pos", F.col("pos") - int(edges))
     window = F.concat_ws("\n", *(F.col("at").getField(f"l{k}") for k in range(WINDOW)))
     return each.select("doc_id", "text_hash", "pos", window.alias("window")).where(F.col("window").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text_hash", "pos", F.unhex(F.md5("window")).alias("hash"))
 
@@ -54,10 +61,10 @@ def _uncovered(lines: Column, starts: Column) -> Column:
     return F.flatten(F.zip_with(low, high, lambda a, b: F.slice(lines, a + 1, F.greatest(F.lit(0), b - a))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edges: bool = False) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text, and the columns
     ``lines_before`` and ``lines_removed`` added."""
-    found = repeats(line_windows(docs, id_col, text_col)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
+    found = repeats(line_windows(docs, id_col, text_col, edges)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
     text, others = F.col(f"`{text_col}`"), [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     split = docs.select(*others, F.xxhash64(text).alias("_text_hash"), F.split(text, "\n").alias("_lines"))
     both = split.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")

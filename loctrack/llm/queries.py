@@ -67,13 +67,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("lines_before").cast("long").alias("lines_before"), F.col("lines_removed").cast("long").alias("lines_removed"))
 
 
+def op9_edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_line_dedup with windows over the edges of the texts."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), edges=True)
+    return found.select("doc_id", "text", F.col("lines_before").cast("long").alias("lines_before"), F.col("lines_removed").cast("long").alias("lines_removed"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
     return found.select("doc_id", *map(count, range(3)), F.sha2("base_text", 256).alias("base_sha256"), "spans", "n_live", "n_example")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op1_near_items, op2_simhash, op3_byte_bpe, op4_quality_rules, op5_conv_quality, op6_main_text, op7_token_counts, op8_warc_zip, op9_line_dedup, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op1_near_items, op2_simhash, op3_byte_bpe, op4_quality_rules, op5_conv_quality, op6_main_text, op7_token_counts, op8_warc_zip, op9_line_dedup, op9_edge_dedup, op10_secrets)}
 
 #: Windows of three lines with their place; then as the operator does it.
 OP9_SQL = r"""

@@ -97,3 +97,30 @@ def test_secrets_by_repository(spark):
     assert {(r.spans, r.n_live, r.n_example) for i, r in got.items() if i >= 10} == {("owned:4:24", 1, 0)}
     assert [tuple(c) for c in got[0].candidates] == [(4, 3, 24, 1, 5)]
     assert [tuple(c) for c in got[10].candidates] == [(4, 3, 24, 1, 3)]
+
+
+def brute_edges(rows):
+    """As brute_lines, with a mark before and behind the lines of a text."""
+    first, gone = {}, {}
+    for doc, text in rows:
+        lines = [None, *text.split("\n"), None] if text is not None else []
+        for k in range(len(lines) - 2):
+            win = tuple(lines[k : k + 3])
+            if re.search(r"[^\x20\x09-\x0D]", "".join(x or "" for x in win)) and first.setdefault(win, (doc, k)) != (doc, k):
+                gone.setdefault(doc, set()).update((k - 1, k, k + 1))
+    return {doc: None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone.get(doc, ())) for doc, text in rows}
+
+
+def test_line_dedup_at_the_edges(spark):
+    a, b, c, d, e = (f"line {k}" for k in "abcde")
+    texts = ["\n".join(x) for x in ([a], [a], [a, b], [a, b], [a, b, c], [d, b, c], [d, a, e], [a, e], [b, a], ["", a], ["", "", ""], ["", ""], ["", a], [a, ""], [a, b, c, a, b, c], [a, a, a, a])]
+    docs = documents(spark, [*texts, *ODD, *ODD], repeat=[0, 2])
+    rows = sorted({(r.doc_id, r.text) for r in docs.collect()}, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = brute_edges(rows)
+    found = L.dedup_lines(docs, edges=True).collect()
+    assert len(found) == docs.count()
+    for r in found:
+        assert r.text == want[r.doc_id], r
+    of = {r.doc_id: r for r in found}
+    assert (of[0].text, of[1].text, of[1].lines_removed, of[3].text, of[3].lines_removed) == (a, "", 1, "", 2)
+    assert of[5].text == d and of[7].text == ""
