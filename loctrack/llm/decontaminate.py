@@ -10,10 +10,11 @@ which each word lies at most s words from its place in a window put somewhere.
 
 The index is sharded by document, so no term, however frequent, gathers in one
 task, and nothing but small rows for each document is shuffled.  The benchmark
-is the stated query set; it is read in blocks of bounded size.
+is the stated query set; it is read in blocks of bounded size, and where there
+are several, each one's matches are written before the next is read.
 
 Defined cases: a null or empty text has no words and no matches; an item with
-no words has no window; rows that repeat a doc_id are told apart and each gets
+no words has no window; a null item_id is an item of its own; rows that repeat a doc_id are told apart and each gets
 its own row; a null doc_id is kept; an empty table gives an empty result; other
 columns are not read, whatever their names.
 """
@@ -87,25 +88,29 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 @dataclass
 class Queries:
-    """The windows of a block of items: words by number, -1 behind the end."""
+    """The windows of a block of items: words by number, -1 behind the end; items
+    by their place in ids."""
 
     vocab: list[bytes]
     windows: np.ndarray
     lengths: np.ndarray
     items: np.ndarray
+    ids: list
 
 
-def windows_of(items: list[tuple[int, str | None]], size: int = WINDOW) -> Queries:
+def windows_of(items: list[tuple[int | None, str | None]], size: int = WINDOW) -> Queries:
     vocab: dict[bytes, int] = {}
     seen: dict[tuple, None] = {}
-    for item, text in items:
+    places: dict[int | None, int] = {}
+    for key, text in items:
+        item = places.setdefault(key, len(places))
         of = [vocab.setdefault(w, len(vocab)) for w in words(text)]
         for at in range(max(1, len(of) - size + 1) if of else 0):
             seen[item, tuple(of[at : at + size])] = None
-    filled = np.full((len(seen), size), -1, np.int64)
+    filled = np.full((len(seen), size), -1, np.int32)
     for i, (_, w) in enumerate(seen):
         filled[i, : len(w)] = w
-    return Queries(list(vocab), filled, (filled >= 0).sum(1), np.array([i for i, _ in seen], np.int64))
+    return Queries(list(vocab), filled, (filled >= 0).sum(1), np.array([i for i, _ in seen], np.int64), list(places))
 
 
 class Segment:
@@ -164,9 +169,9 @@ MATCH_SCHEMA = "segment bigint, ordinal int, doc_id bigint, text_hash bigint, n_
 def _by_document(seg: Segment, starts: np.ndarray, q: Queries, of: np.ndarray) -> list[list[int]]:
     """The items of the matches of each document, once each."""
     doc = np.searchsorted(seg.starts, starts, "right") - 1
-    out: list[list[int]] = [[] for _ in range(len(seg.starts) - 1)]
+    out: list[list[int | None]] = [[] for _ in range(len(seg.starts) - 1)]
     for d, w in np.unique(np.stack([doc, q.items[of]], 1), axis=0).tolist() if len(doc) else []:
-        out[d].append(w)
+        out[d].append(q.ids[w])
     return out
 
 
@@ -213,6 +218,8 @@ def find_matches(index: DataFrame, items: DataFrame, item_col: str = "item_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["segment", "ordinal", "doc_id", "text_hash", "n_words", "spans", "items", "near"])
 
         part = index.mapInArrow(tasks, MATCH_SCHEMA)
+        if blocks > 1:
+            part = written(part, "matches")
         found = part if found is None else found.unionByName(part)
     return found
 

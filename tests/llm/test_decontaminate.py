@@ -98,3 +98,16 @@ def test_rows_that_share_an_id_are_dropped_alone(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "clean one"), (None, "clean two"), (None, None), (4, "x a b y"), (4, "clean three"), (4, "clean three"), (5, "a b"), (5, "a b")], "doc_id long, text string")
     got = D.drop_contaminated(docs, spark.createDataFrame([(1, "a b")], ITEMS))
     assert by_id(got, "doc_id", "text") == sorted([(None, "clean one"), (None, "clean two"), (None, None), (4, "clean three"), (4, "clean three")], key=repr)
+
+
+def test_null_item_id_and_written_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(None, "a b"), (2, "c d"), (3, "e f")], ITEMS)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "e f"), (3, "x")], "doc_id long, text string")
+    want = [(1, 4, [2, None]), (2, 2, [3]), (3, 0, [])]
+    get = lambda: sorted((r.doc_id, r.n_hit, sorted(r["items"], key=lambda i: (i is None, i))) for r in D.contamination(docs, items).collect())
+    assert get() == want
+    names, old = [], D.written
+    monkeypatch.setattr(D, "written", lambda df, what: names.append(what) or old(df, what))
+    monkeypatch.setattr(D, "BLOCK_BYTES", 4)
+    assert get() == want
+    assert names == ["index", "matches", "matches", "matches"]
