@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loctrack.llm import bytebpe, conv_quality, decontaminate, line_dedup, main_text, quality_rules, secrets, simhash, token_counts, warc_zip
+from loctrack.llm import bytebpe, conv_quality, decontaminate, importance, line_dedup, main_text, prefix_trie, quality_rules, secrets, simhash, token_counts, warc_zip, winnowing
 from loctrack.llm.common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -79,7 +79,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, range(3)), F.sha2("base_text", 256).alias("base_sha256"), "spans", "n_live", "n_example")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op1_near_items, op2_simhash, op3_byte_bpe, op4_quality_rules, op5_conv_quality, op6_main_text, op7_token_counts, op8_warc_zip, op9_line_dedup, op9_edge_dedup, op10_secrets)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).withColumnRenamed("saved", "saved_tokens")
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.edited_likeness(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowing.as_text(F.col("fp")).alias("fingerprint"), winnowing.as_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op1_near_items, op2_simhash, op3_byte_bpe, op4_quality_rules, op5_conv_quality, op6_main_text, op7_token_counts, op8_warc_zip, op9_line_dedup, op9_edge_dedup, op10_secrets, op11_prefix_trie, op12_winnowing, op13_importance)}
 
 #: Windows of three lines with their place; then as the operator does it.
 OP9_SQL = r"""
