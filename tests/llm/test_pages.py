@@ -32,6 +32,47 @@ def test_main_text(tag, end):
     assert M.main_text(html) == TEXT
 
 
+PROSE = "The first sentence of the story is long enough to be read. And here is the second one, with a clause."
+
+
+@pytest.mark.parametrize("html", [
+    f"<html><head><title>T</title><meta charset=x><body><article><p>{PROSE}</p></article>",
+    f"<html><head><title>T</title><link rel=x href=y><div class=post><p>{PROSE}</p></div>",
+    f"<html><head><title>T</title>{PROSE}",
+    f"<head><script>var a = 1;</script><noscript><style>p{{}}</style></noscript><article>{PROSE}</article>",
+    f"<body><form id=aspnetForm><article><p>{PROSE}</p></article></form>",
+    f"<body><form id=aspnetForm><div class=content><p>{PROSE}</p></div><label>Name</label><input></form>",
+    f"<body class='has-header'><div class='no-sidebar'><article><p>{PROSE}</p></article></div>",
+    f"<div class='with-sidebar has-header'><main><p>{PROSE}</p></main></div>",
+    f"<div class='widget modal'><article><p>{PROSE}</p></article></div>",
+    f"<article><form><input><button>Go</button></form><p>{PROSE}</p><div class=comments><article><p>I, a reader, think otherwise. This is why.</p></article></div></article>",
+    f"<aside><article><p>Read this other story, it is really good. You will like it.</p></article></aside><main><p>{PROSE}</p></main>",
+])
+def test_legal_pages(html):
+    assert M.main_text(html) == PROSE
+
+
+def test_headline_in_a_named_header():
+    for html in (f"<article><header class='entry-header'><h1>Headline</h1></header><p>{PROSE}</p></article>", f"<article><div class='post-header'><h1>Headline</h1></div><p>{PROSE}</p></article>"):
+        assert M.main_text(html) == f"Headline {PROSE}"
+    assert M.main_text(f"<div class='page-header'><a href=/>Site</a></div><article><p>{PROSE}</p></article>") == PROSE
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    def seconds(n):
+        t0 = time.perf_counter()
+        M.parsed("".join(f"<div>word {k} " for k in range(n)) + "</section>" * n)
+        return time.perf_counter() - t0
+
+    seconds(500)
+    assert seconds(16_000) < 3
+    t0 = time.perf_counter()
+    M.main_text("<div>x " * 8000)
+    assert time.perf_counter() - t0 < 10
+
+
 def test_text_without_marks():
     long = "This is a long paragraph of plain prose, which goes on for a while and has several clauses. It even has a second sentence."
     html = f"<div><a href=1>Home</a> <a href=2>About</a></div><div><p>{long}</p><p>Short one.</p><p>{long}</p></div><div><a href=3>Privacy</a></div>"
