@@ -165,9 +165,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             for text in batch.column(1).to_pylist():
                 whole = chunks(text)
                 out.append(whole[np.unique(np.linspace(0, len(whole) - 1, SAMPLE_CHUNKS).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "text_hash", "chunks"])
 
-    rows = keyed(docs, id_col, text_col).select(F.col("id").cast("long"), "text").where(F.col("id").isin(wanted)).mapInArrow(tasks, "doc_id bigint, chunks binary")
+    rows = keyed(docs, id_col, text_col).select(F.col("id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).where(F.col("id").isin(wanted)).mapInArrow(tasks, "doc_id bigint, text_hash bigint, chunks binary")
+    # of rows that repeat an id, the one of the least text hash: at most one for each id
+    rows = rows.groupBy("doc_id").agg(F.min_by("chunks", F.struct("text_hash", "chunks")).alias("chunks"))
     found = {r.doc_id: r.chunks for r in rows.collect()} if wanted else {}
     order = [i for i in wanted if i in found]
     return [np.frombuffer(found[i], np.uint8).reshape(-1, CHUNK) for i in order], np.array([int(i in ids[1]) for i in order])

@@ -91,3 +91,38 @@ def test_pair_tables_equal_the_filters():
     net, x = C.Net(), np.random.default_rng(0).integers(0, 256, (5, C.CHUNK), dtype=np.uint8)
     want = np.tanh(np.max([sum(net.filters[k][x[:, p + k]] for k in range(C.WIDTH)) for p in range(0, C.CHUNK - C.WIDTH + 1, 2)], axis=0))
     assert np.allclose(C.Scorer(net).pooled(x), want, atol=1e-5)
+
+
+def test_training_sends_one_row_for_an_id(spark):
+    """Rows that repeat an id are reduced before they are fetched, to the least text hash."""
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id % 30) AS text")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3)], LABELS)
+    texts, marks = C.training_rows(docs, labels, "doc_id", "text")
+    kept = spark.range(30).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text", "xxhash64(concat('text ', id)) AS h").collect()
+    want = {}
+    for r in sorted(kept, key=lambda r: r.h):
+        want.setdefault(r.doc_id, r.text)
+    want = {i: t for i, t in want.items() if crc32(str(i).encode()) % 4 != 2}
+    assert [bytes(t[0]).rstrip(b"\0").decode() for t in texts] == [want[i] for i in sorted(want)]
+    assert marks.tolist() == [i % 2 for i in sorted(want)]
+
+
+def test_score_of_a_text_by_hand(spark):
+    """Chunks, filters, pooling and the dense layers, one byte at a time."""
+    net, rnd = C.Net(seed=3), np.random.default_rng(1)
+    text = bytes(rnd.integers(32, 127, 1300).tolist()).decode()
+    for t in (text, "short", ""):
+        raw, rows, at = t.encode(), [], 0
+        while True:
+            chunk = raw[at : at + C.CHUNK].ljust(C.CHUNK, b"\0")
+            best = np.full(C.FILTERS, -np.inf)
+            for k in range(0, C.CHUNK - C.WIDTH + 1, 2):
+                best = np.maximum(best, sum(net.filters[j][chunk[k + j]] for j in range(C.WIDTH)))
+            rows.append(np.tanh(best))
+            if at + C.CHUNK >= len(raw):
+                break
+            at += C.STRIDE
+        features = np.concatenate([np.max(rows, 0), np.mean(rows, 0)])
+        hidden = np.tanh(features @ net.w1 + net.b1)
+        want = 1 / (1 + np.exp(-(hidden @ net.w2 + net.b2[0])))
+        assert C.Scorer(net).score([t, text])[0] == pytest.approx(want, abs=1e-5)
