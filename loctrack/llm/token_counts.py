@@ -12,8 +12,10 @@ the merges make of the two together.
 A long text is cut into chunks.  White space leads every state to the start
 state, so the state map of a chunk is constant behind its first white space, and
 maps compose associatively; a tree of compositions (the reduction of a parallel
-prefix scan) gives the count of the text.  A table of states that outgrows its
-bound is dropped and compiled anew, so memory is bounded.
+prefix scan) gives the count of the text.  A table of states that reaches its
+bound is dropped, also in the middle of a text, and compiled anew from the state
+that the text is in; so there are never more states than the bound and those
+that the chunks of one text end in.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; special strings in
 a text count as one token each, which is the library's default; rows that repeat
@@ -157,12 +159,18 @@ class Transducer:
         return cls._loaded[path]
 
     def reset(self) -> None:
+        """Drop all states; what still holds one reads on from it, and nothing
+        that it led to stays."""
+        for state in getattr(self, "states", {}).values():
+            state.clear()
         self.states: dict[tuple, State] = {}
         self.start = self.state("start", WORD_START, 0)
 
     def state(self, kind: str, word: tuple, end: int) -> State:
         key = (kind, word, end)
         if key not in self.states:
+            if len(self.states) >= STATES:  # also in the middle of a text
+                self.reset()
             self.states[key] = State(self, *key)
         return self.states[key]
 
@@ -231,8 +239,6 @@ class Transducer:
     def count(self, text: str | None, chunk: int = CHUNK) -> int:
         if not text:
             return 0
-        if len(self.states) > STATES:
-            self.reset()
         if self.special and "<" in text:
             parts = self.special.split(text)
             return len(parts) - 1 + sum(self._plain(p, chunk) for p in parts)

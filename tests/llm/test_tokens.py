@@ -62,3 +62,28 @@ def test_counts_match_the_library(spark, monkeypatch, chunk):
 def test_empty_tables(spark):
     docs = documents(spark, []).limit(0)
     assert B.digests(docs, P.path(BYTE_BPE), P.PATTERN).count() == C.token_counts(docs, P.path(WORD_BPE)).count() == 0
+
+
+def test_states_stay_bounded_inside_a_text(monkeypatch):
+    import random
+
+    from loctrack.llm import token_counts
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "STATES", 500)
+    t, most = token_counts.Transducer(P.path("word_bpe_49k.json")), 0
+    state = t.state
+
+    def counted(*key):
+        nonlocal most
+        out = state(*key)
+        most = max(most, len(t.states))
+        return out
+
+    monkeypatch.setattr(t, "state", counted)
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rnd = random.Random(3)
+    for text in ("".join(rnd.choice("abcdefgh") for _ in range(5000)), "".join(rnd.choice("abc1 \n'é") for _ in range(5000)), "word " * 500):
+        for chunk in (64, 1 << 14):
+            assert t.count(text, chunk) == len(lib.encode(text, add_special_tokens=False).ids)
+    assert 400 < most <= 501
