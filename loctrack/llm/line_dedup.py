@@ -2,9 +2,10 @@
 
 Every three consecutive lines of a text are hashed (MD5 of the lines).  Windows
 found more than once anywhere in the corpus are repeats; the first in order of
-(doc_id, position) stays, and the lines that later ones cover are removed.
-Covered positions of overlapping windows merge, so a repeated passage of n
-lines goes as a whole.  Windows of nothing but white space don't count.  With
+(doc_id, position) stays as a whole, and the lines that later ones cover are
+removed, unless the first of a repeat covers them in the same text.  Covered
+positions of overlapping windows merge, so a repeated passage of n lines goes as
+a whole, and one copy of every repeated window stays in the corpus.  Windows of nothing but white space don't count.  With
 ``edges``, a mark stands before the first and behind the last line, so that the
 two lines at an edge, and texts of one or two lines, are windows as well; one or
 two repeated lines between different neighbours are still not found.
@@ -17,7 +18,8 @@ Defined cases: a null text stays null, with 0 lines; texts of fewer than three
 lines stay as they are without ``edges``; rows that repeat a doc_id with the same text count as
 one document, so they are changed alike and don't remove each other's lines;
 a null doc_id orders first; an empty table gives an empty result; other columns
-are kept as they are.
+are kept as they are.  Work and memory for a very long text are in proportion to
+its lines.
 """
 
 from __future__ import annotations
@@ -46,30 +48,38 @@ def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def repeats(windows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, starts): positions of the windows that an earlier
-    one of the corpus equals, in order."""
+    """(doc_id, text_hash, later, firsts): positions of the windows that an
+    earlier one of the corpus equals, and of the windows that later ones equal, in
+    the documents that hold later ones."""
     place = F.struct("doc_id", "text_hash", "pos")
     first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
-    later = windows.join(first, "hash").where(place != F.col("first"))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    later = windows.join(first, "hash").where(place != F.col("first")).select("doc_id", "text_hash", "pos", F.lit(True).alias("again"))
+    both = later.unionByName(first.select("first.*", F.lit(False).alias("again")))
+    return both.groupBy("doc_id", "text_hash").agg(*(F.collect_set(F.when(F.col("again") == again, F.col("pos"))).alias(name) for name, again in (("later", True), ("firsts", False)))).where(F.size("later") > 0)
 
 
-def _uncovered(lines: Column, starts: Column) -> Column:
-    """The lines between the covered spans, which start at ``starts``."""
-    low = F.concat(F.array(F.lit(0)), F.transform(starts, lambda s: s + WINDOW))
-    high = F.concat(starts, F.array(F.size(lines)))
+def _covered(starts: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (WINDOW - 1)))))
+
+
+def _without(lines: Column, places: Column) -> Column:
+    """The lines but those at ``places``, which are in order."""
+    low = F.concat(F.array(F.lit(0)), F.transform(places, lambda p: p + 1))
+    high = F.concat(places, F.array(F.size(lines)))
     return F.flatten(F.zip_with(low, high, lambda a, b: F.slice(lines, a + 1, F.greatest(F.lit(0), b - a))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edges: bool = False) -> DataFrame:
-    """``docs`` with the repeated lines taken out of the text, and the columns
-    ``lines_before`` and ``lines_removed`` added."""
-    found = repeats(line_windows(docs, id_col, text_col, edges)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
-    text, others = F.col(f"`{text_col}`"), [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    split = docs.select(*others, F.xxhash64(text).alias("_text_hash"), F.split(text, "\n").alias("_lines"))
-    both = split.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    kept = F.when(F.col("_starts").isNull(), F.col("_lines")).otherwise(_uncovered(F.col("_lines"), F.col("_starts")))
-    rest = both.select(*others, F.col("_lines"), kept.alias("_kept"))
-    n = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines"))
-    out = rest.select(*others, F.array_join("_kept", "\n").alias(text_col), n.alias("lines_before"), F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).alias("lines_removed"))
-    return out.select(*(f"`{c}`" for c in docs.columns), "lines_before", "lines_removed")
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edges: bool = False, counts: bool = True) -> DataFrame:
+    """``docs`` with the repeated lines taken out of the text and, with
+    ``counts``, the columns ``lines_before`` and ``lines_removed``, which replace
+    columns of these names.  Rows travel packed, so others may have any names."""
+    found = repeats(line_windows(docs, id_col, text_col, edges)).withColumnsRenamed({"doc_id": "in_id", "text_hash": "in_hash"})
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("doc") if len(docs.columns) > 1 else F.struct(F.lit(0)).alias("doc"), F.col(f"`{id_col}`").alias("key"), F.xxhash64(text).alias("key_hash"), F.split(text, "\n").alias("lines"))
+    both = rows.join(found, rows.key.eqNullSafe(found.in_id) & (rows.key_hash == found.in_hash), "left")
+    gone = F.filter(F.array_sort(F.array_except(_covered(F.col("later")), _covered(F.col("firsts")))), lambda p: (p >= 0) & (p < F.size("lines")))
+    rest = both.withColumn("gone", gone).withColumn("kept", F.when(F.coalesce(F.size("gone"), F.lit(0)) <= 0, F.col("lines")).otherwise(_without(F.col("lines"), F.col("gone"))))
+    n = F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines"))
+    added = {"lines_before": n, "lines_removed": F.when(F.col("lines").isNull(), F.lit(0)).otherwise(n - F.size("kept"))} if counts else {}
+    whole = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in added]
+    return rest.select(*whole, *(c.alias(k) for k, c in added.items()))

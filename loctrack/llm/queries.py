@@ -100,10 +100,11 @@ OP9_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 w AS (SELECT doc_id, pos, array_to_string(lines[pos + 1 : pos + 3], chr(10)) AS body
   FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM d WHERE len(lines) >= 3)),
-o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS k FROM w WHERE regexp_matches(body, '[^\x20\x09-\x0D]')),
-gone AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS places FROM o WHERE k > 1 GROUP BY doc_id),
-r AS (SELECT doc_id, lines, coalesce(places, []) AS places FROM d LEFT JOIN gone USING (doc_id)),
-k AS (SELECT doc_id, lines, list_filter(range(0, len(lines)), lambda i: NOT list_contains(places, i)) AS keep FROM r)
+o AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS k, count(*) OVER (PARTITION BY body) AS n FROM w WHERE regexp_matches(body, '[^\x20\x09-\x0D]')),
+gone AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]) FILTER (k > 1))) AS places,
+    list_distinct(flatten(coalesce(list([pos, pos + 1, pos + 2]) FILTER (k = 1), []))) AS safe FROM o WHERE n > 1 GROUP BY doc_id HAVING count(*) FILTER (k > 1) > 0),
+r AS (SELECT doc_id, lines, coalesce(places, []) AS places, coalesce(safe, []) AS safe FROM d LEFT JOIN gone USING (doc_id)),
+k AS (SELECT doc_id, lines, list_filter(range(0, len(lines)), lambda i: NOT list_contains(places, i) OR list_contains(safe, i)) AS keep FROM r)
 SELECT doc_id, CASE WHEN lines IS NOT NULL THEN coalesce(array_to_string(list_transform(keep, lambda i: lines[i + 1]), chr(10)), '') END AS text,
   coalesce(len(lines), 0)::BIGINT AS lines_before, coalesce(len(lines) - len(keep), 0)::BIGINT AS lines_removed FROM k
 """
@@ -162,7 +163,7 @@ UNION ALL {_kind_sql(2, "hex", "[0-9a-f]{24,}", 0, "true")}),
 runs AS ({_kind_sql(3, "owned", _RUN, 0, "regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Za-z]')")}),
 cand AS (SELECT * FROM base UNION ALL
   SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND r.s < b.e)),
-freq AS (SELECT hash, count(DISTINCT source) <= 2 AS live FROM cand GROUP BY hash),
+freq AS (SELECT hash, count(DISTINCT row(source)) <= 2 AND count(DISTINCT row(source, lang)) <= 3 AS live FROM cand GROUP BY hash),
 per AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h,
     string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
     string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3 OR live) AS spans,

@@ -15,13 +15,16 @@ BASE = [
 
 def brute_lines(rows):
     """rows: distinct (doc_id, text), in order."""
-    first, gone = {}, {}
+    first, gone, safe = {}, {}, {}
     for doc, text in rows:
         lines = (text or "").split("\n")
         for k in range(len(lines) - 2):
             win = tuple(lines[k : k + 3])
             if re.search(r"[^\x20\x09-\x0D]", "\n".join(win)) and first.setdefault(win, (doc, k)) != (doc, k):
                 gone.setdefault(doc, set()).update((k, k + 1, k + 2))
+                kept, at = first[win]
+                safe.setdefault(kept, set()).update((at, at + 1, at + 2))
+    gone = {doc: places - safe.get(doc, set()) for doc, places in gone.items()}
     return {doc: None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone.get(doc, ())) for doc, text in rows}
 
 
@@ -101,13 +104,16 @@ def test_secrets_by_repository(spark):
 
 def brute_edges(rows):
     """As brute_lines, with a mark before and behind the lines of a text."""
-    first, gone = {}, {}
+    first, gone, safe = {}, {}, {}
     for doc, text in rows:
         lines = [None, *text.split("\n"), None] if text is not None else []
         for k in range(len(lines) - 2):
             win = tuple(lines[k : k + 3])
             if re.search(r"[^\x20\x09-\x0D]", "".join(x or "" for x in win)) and first.setdefault(win, (doc, k)) != (doc, k):
                 gone.setdefault(doc, set()).update((k - 1, k, k + 1))
+                kept, at = first[win]
+                safe.setdefault(kept, set()).update((at - 1, at, at + 1))
+    gone = {doc: places - safe.get(doc, set()) for doc, places in gone.items()}
     return {doc: None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone.get(doc, ())) for doc, text in rows}
 
 
@@ -124,3 +130,35 @@ def test_line_dedup_at_the_edges(spark):
     of = {r.doc_id: r for r in found}
     assert (of[0].text, of[1].text, of[1].lines_removed, of[3].text, of[3].lines_removed) == (a, "", 1, "", 2)
     assert of[5].text == d and of[7].text == ""
+
+
+def test_first_occurrences_stay_whole(spark):
+    texts = ["\n".join(t) for t in ("aaaa", "xaaay", "pqr", "pqrt", "qrt", "mnmnmnmn")]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.text.replace("\n", "") for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "aaa", 1: "xy", 2: "pqr", 3: "qrt", 4: "", 5: "mnmn"}
+
+
+def test_clashing_columns(spark):
+    """Every name that the operators use inside, as a column of the input."""
+    names = ["lines_before", "lines_removed", "_id", "_hash", "_starts", "_lines", "_kept", "doc", "key", "key_hash", "lines", "later", "firsts", "in_id", "in_hash", "gone", "kept", "pos", "hash", "row", "owner", "repo", "pieces", "kind", "start", "end", "base", "`odd` name"]
+    rows = [(i, "a\nb\nc" if i % 2 else f"key Zk93hd82HDk29dkQ0s{i} end", "s", "l", *range(len(names))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, " + ", ".join("`%s` int" % n.replace("`", "``") for n in names))
+    docs = docs.withColumnRenamed("`odd` name", "odd name")
+    found = L.dedup_lines(docs)
+    assert sorted(found.columns) == sorted(docs.columns)
+    assert {r.doc_id: (r.lines_before, r.lines_removed, r["_kept"]) for r in found.collect()}[3] == (3, 3, names.index("_kept"))
+    plain = L.dedup_lines(docs, counts=False)
+    assert plain.columns == docs.columns and {(r.lines_before, r["_id"], r.pieces) for r in plain.collect()} == {tuple(names.index(n) for n in ("lines_before", "_id", "pieces"))}
+    assert S.find_secrets(docs).count() == 6
+
+
+def test_a_text_of_very_many_spans(spark):
+    import time
+
+    text = " ".join(f"{i:024x} secret=a{i:06d}" for i in range(50_000))
+    docs = spark.createDataFrame([(0, text, "s", "l")], "doc_id long, text string, source string, lang string")
+    t0 = time.perf_counter()
+    (got,) = S.find_secrets(docs).select("base_text", "n_live").collect()
+    assert got.base_text == ",".join(spans(text)) and got.n_live == 100_000
+    assert time.perf_counter() - t0 < 60
