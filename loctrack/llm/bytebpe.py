@@ -166,15 +166,18 @@ class ByteBpe:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) for every row: the token ids of the whole text."""
+    """(doc_id, ids, decoded_sha256) for every row: the token ids of the whole
+    text, and the digest of the bytes that they decode to."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.load(path, pattern)
         for batch in slices(batches, 200):
-            ids = [memoryview(b"".join(bpe.encode(t))).cast("I").tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            packed = [b"".join(bpe.encode(t)) for t in batch.column(1).to_pylist()]
+            ids = [memoryview(p).cast("I").tolist() for p in packed]
+            decoded = [hashlib.sha256(bpe.decode(p)).hexdigest() for p in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded_sha256"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(tasks, "doc_id bigint, ids array<int>")
+    return keyed(docs, id_col, text_col).mapInArrow(tasks, "doc_id bigint, ids array<int>, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -243,6 +243,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int | None = SLOP) -> DataFrame:
     """``docs`` without the documents that hold a window of an item, as an exact
     phrase or, unless ``slop`` is None, as a proximity match.  Rows are told by id
-    and text, so others that share an id, or have none, stay."""
-    found = contamination(docs, items, id_col, text_col, slop=slop).where("n_hit > 0 or size(near_items) > 0").select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_hit_hash")), "left_anti")
+    and text, so others that share an id, or have none, stay.  Rows travel packed,
+    so other columns may have any names."""
+    found = contamination(docs, items, id_col, text_col, slop=slop).where("n_hit > 0 or size(near_items) > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("key_hash"))
+    return rows.join(found, rows.key.eqNullSafe(found.hit_id) & (rows.key_hash == found.hit_hash), "left_anti").select("doc.*")

@@ -214,9 +214,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component, the one of the least id (null
-    last), then of the least text hash."""
+    last), then of the least text hash.  Of rows that repeat this id and text, the
+    one stays whose columns have the least hash.  Rows travel packed, so other
+    columns may have any names."""
     found = near_duplicates(docs, id_col, text_col, size, bits)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_hash").alias("_kept_hash"))
-    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("_kept_hash")), "left_semi")
-    return rows.dropDuplicates([id_col, text_col])  # rows that repeat an id and a text
+    kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("key_hash"))
+    rows = rows.join(kept, rows.key.eqNullSafe(kept.kept_id) & (rows.key_hash == kept.kept_hash), "left_semi")
+    return rows.groupBy("key", "key_hash").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")

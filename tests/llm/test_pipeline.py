@@ -1,13 +1,17 @@
 """Each stage against brute force on what the stage before kept."""
 
+import hashlib
+
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 from test_decontaminate import brute as phrases
 from test_lines_secrets import brute_lines
 from test_simhash import brute_components, brute_print
 
 import corpus_pipeline
 from loctrack.llm import bytebpe, quality_rules
+from loctrack.llm.common import written
 from loctrack.llm.queries import BYTE_BPE
 
 SF = "/root/testdata/sf0.001"
@@ -49,7 +53,30 @@ def test_stages(spark):
     want = [(d, lib.encode_ordinary(t)) for d, t in rows(four)]
     assert sorted((r.doc_id, list(r.ids)) for r in tokens(spark, four, SF).collect()) == want
     got = corpus_pipeline.run(spark, SF)
-    assert sorted((r.doc_id, r.n_tokens, list(r.ids)) for r in got.collect()) == [(d, len(i), i) for d, i in want]
+    assert sorted((r.doc_id, r.n_tokens, list(r.ids), r.decoded_sha256) for r in got.collect()) == [(d, len(i), i, hashlib.sha256(t.encode()).hexdigest()) for (d, i), (_, t) in zip(want, rows(four), strict=True)]
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null and repeated rows, a text of one very long word, and the names that
+    the operators use inside, through all stages."""
+    names = ["lines_before", "_id", "_kept_id", "_hit_id", "_text_hash", "doc", "key", "key_hash", "kept", "hit_id", "id", "fp", "root", "component_id", "ratio", "base_failed", "text_hash", "segment"]
+    given = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    docs = given.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    odd = docs.limit(1).drop("doc_id", "text").crossJoin(spark.createDataFrame([(None, None), (None, ""), (None, "x" * 200_000), (5, None)], "doc_id long, text string")).select(docs.columns)
+    docs = docs.unionByName(odd).unionByName(docs.where("doc_id < 5")).unionByName(odd)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = written(stage(spark, now, str(tmp_path)), "test")
+        assert now.columns == docs.columns
+        assert {tuple(r[n] for n in names) for r in now.collect()} == {tuple(range(len(names)))}
+    want = spark.read.parquet(f"{tmp_path}/documents.parquet").select(given.columns)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        want = written(stage(spark, want, str(tmp_path)), "test")
+    assert rows(now) == rows(want) and len(rows(want)) > 30
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [d for d, _ in rows(want)]
 
 
 def test_empty_documents(spark, tmp_path):
