@@ -36,6 +36,8 @@ GRAM = 4
 WINDOW = 8
 #: Documents that look for their next one in one group.
 BLOCK = 64
+#: What tells documents apart, without nulls.
+KEY = ["no_id", "id_text", "hash"]
 #: Copies of a document that are returned by one task.
 COPIES = 1000
 
@@ -87,16 +89,16 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _order(rows: DataFrame) -> DataFrame:
-    """(key_id, key_hash, copies, place) of the distinct documents."""
-    keys = rows.groupBy(F.col("id").alias("key_id"), F.col("hash").alias("key_hash")).agg(F.count("*").alias("copies"))
-    return ranked(keys, [F.col("key_id").desc_nulls_last(), F.col("key_hash").asc()], "place")
+    """(no_id, id_text, hash, copies, place) of the distinct documents."""
+    keys = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("id").alias("id"))
+    return ranked(keys, [F.col("id").desc_nulls_last(), F.col("hash").asc()], "place").drop("id")
 
 
 def _with_next(rows: DataFrame, order: DataFrame, n_docs: int, gram: int, window: int, piece: int, block: int, only: DataFrame | None = None) -> DataFrame:
     """(id, text, copies, place, fp, next_text, next_fp) of every distinct
     document, or of the blocks of ``only`` (block)."""
-    whole = rows.groupBy("id", "hash").agg(F.first("text").alias("text"))
-    placed = whole.join(order, whole.id.eqNullSafe(order.key_id) & (whole.hash == order.key_hash))
+    whole = rows.groupBy(*KEY).agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    placed = whole.join(order, KEY)  # grouped by the same columns: texts are not shuffled again
     # a block ends with a copy of the document that follows its last
     own = F.struct(F.floor(F.col("place") / block).alias("block"), F.col("place").alias("place"), F.lit(True).alias("own"))
     after = F.when(F.col("place") == 0, F.lit(n_docs)).when(F.col("place") % block == 0, F.col("place"))
@@ -114,6 +116,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the next document is by descending id, that of the last is the first, and the
     edited text ends with the next one's beginning instead of its own half."""
     rows = keyed(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    rows = rows.withColumn("no_id", F.col("id").isNull()).withColumn("id_text", F.coalesce(F.col("id").cast("string"), F.lit("")))
     order = _order(rows)
     n_docs = order.count()
 
