@@ -21,33 +21,70 @@ from loctrack.session import cut
 _UPD = ["event_id", "entity_id", "longitude", "latitude", "ts_ms", "seq"]
 # Width of the time buckets in the join keys.
 BUCKET_MS = 3_600_000
+# Updates, and pairs of update and viewer, of an (event, bucket) cell that one task joins.
+CELL_ROWS, CELL_PAIRS = 1_000_000, 50_000_000
 
 
 def _viewers(viewers: DataFrame) -> DataFrame:
     return viewers.select("viewer_id", F.col("event_id").alias("_ev"), "subscribed_ms", "left_ms")
 
 
-def _seats(updates: DataFrame, viewers: DataFrame, bucket_ms: int) -> DataFrame:
+def _cells(updates: DataFrame, bucket_ms: int) -> DataFrame:
+    """(event, bucket, n) of the updates: one partial aggregation."""
+    return updates.groupBy(F.col("event_id").alias("_cell_ev"), floor_div("ts_ms", bucket_ms).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _seats(cells: DataFrame, viewers: DataFrame, bucket_ms: int) -> DataFrame:
     """The viewers once for each bucket in which they are subscribed and their
     event has updates; an open end costs no more than the event's buckets."""
-    cells = updates.select(F.col("event_id").alias("_cell_ev"), floor_div("ts_ms", bucket_ms).alias("_bucket")).distinct()
     b = F.col("_bucket")
     return _viewers(viewers).join(cells, (F.col("_ev") == F.col("_cell_ev")) & (b >= floor_div("subscribed_ms", bucket_ms))
-                                  & (F.col("left_ms").isNull() | (b <= floor_div("left_ms", bucket_ms)))).drop("_cell_ev")
+                                  & (F.col("left_ms").isNull() | (b <= floor_div("left_ms", bucket_ms)))).drop("_cell_ev", "_n")
+
+
+def hot_cells(cells: DataFrame, viewers: DataFrame, cell_rows: int = CELL_ROWS, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """(event, bucket, salts) of the cells that one task should not join: more
+    than ``cell_rows`` updates, or more than ``cell_pairs`` pairs with the event's
+    viewers.  Salts come from the measured numbers, so that a salted block holds
+    no more than either bound (but one update at least); there are at most
+    updates / ``cell_rows`` + pairs / ``cell_pairs`` such cells."""
+    per = viewers.groupBy(F.col("event_id").alias("_ev")).agg(F.count(F.lit(1)).alias("_v"))
+    rows = cells.join(per, F.col("_cell_ev") == F.col("_ev")).select(F.col("_cell_ev").alias("_hot_ev"), F.col("_bucket").alias("_hot_bucket"), "_n",
+                                                                    F.greatest(F.col("_n") / cell_rows, F.col("_n") * F.col("_v") / cell_pairs).alias("_share"))
+    return rows.filter("_share > 1").select("_hot_ev", "_hot_bucket", F.least(F.ceil("_share"), F.col("_n")).cast("int").alias("_salts"))
+
 
+def _salted(df: DataFrame, hot: DataFrame, event: str, bucket: str, spread: list[str] | None) -> DataFrame:
+    """``df`` with ``_salt``: one of the cell's salts by a hash of ``spread``, or
+    each of them."""
+    j = df.join(hot, (F.col(event) == F.col("_hot_ev")) & (F.col(bucket) == F.col("_hot_bucket")), "left")
+    salts = F.coalesce("_salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*spread), salts).cast("int") if spread else F.explode(F.sequence(F.lit(0), salts - 1))
+    return j.withColumn("_salt", salt).drop("_hot_ev", "_hot_bucket", "_salts")
 
-def fan_out(updates: DataFrame, viewers: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+
+def fan_out(updates: DataFrame, viewers: DataFrame, bucket_ms: int = BUCKET_MS, cell_rows: int = CELL_ROWS, cell_pairs: int = CELL_PAIRS) -> DataFrame:
     """Every update to every viewer of its event subscribed at that time
     (``subscribed_ms < ts <= left_ms``, open end when ``left_ms`` is null).
 
+    The updates of each event and bucket are counted once (a small table); a hot
+    cell's updates are dealt over salted blocks and its viewers stand in each of
+    them, so one event with most updates and viewers is many even tasks.
+
     On a stream the buckets of later updates are not known, and the join is on
     the event alone; there a micro-batch bounds the updates."""
     u, cond = updates.select(*_UPD), F.col("event_id") == F.col("_ev")
     if updates.isStreaming:
         v = _viewers(viewers)
     else:
-        u, v = u.withColumn("_at", floor_div("ts_ms", bucket_ms)), _seats(updates, viewers, bucket_ms)
+        cells = cut(_cells(updates, bucket_ms), "cells")
+        u, v = u.withColumn("_at", floor_div("ts_ms", bucket_ms)), _seats(cells, viewers, bucket_ms)
         cond = cond & (F.col("_at") == F.col("_bucket"))
+        hot = cut(hot_cells(cells, viewers, cell_rows, cell_pairs), "hot_cells")
+        if not hot.isEmpty():
+            u = _salted(u, hot, "event_id", "_at", ["entity_id", "seq"])
+            v = _salted(v, hot, "_ev", "_bucket", None).withColumnRenamed("_salt", "_seat_salt")
+            cond = cond & (F.col("_salt") == F.col("_seat_salt"))
     cond = cond & (F.col("ts_ms") > F.col("subscribed_ms")) & (F.col("left_ms").isNull() | (F.col("ts_ms") <= F.col("left_ms")))
     return u.join(v, cond, "inner").select("viewer_id", *_UPD, "subscribed_ms")
 
@@ -120,7 +157,7 @@ def viewer_stream(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms:
     ver = _versions(updates, chunk_ms).withColumn("_place", F.explode(places)) \
         .select("*", F.col("_place.phase").alias("phase"), F.col("_place.bucket").alias("_at")).drop("_place")
     v = _viewers(viewers).withColumn("_bucket", _snapshot_bucket(t, *args)).withColumn("_phase", F.lit(0)) \
-        .unionByName(_seats(updates, viewers, bucket_ms).withColumn("_phase", F.lit(1)))
+        .unionByName(_seats(_cells(updates, bucket_ms), viewers, bucket_ms).withColumn("_phase", F.lit(1)))
     snap = (ts <= t) & (F.col("next_ts_ms").isNull() | (F.col("next_ts_ms") > t))
     live = (ts > t) & (F.col("left_ms").isNull() | (ts <= F.col("left_ms")))
     j = ver.join(v, (F.col("event_id") == F.col("_ev")) & (F.col("phase") == F.col("_phase")) & (F.col("_at") == F.col("_bucket"))
@@ -172,3 +209,25 @@ def shared_ids(deliveries: DataFrame, event_a: str, event_b: str) -> DataFrame:
     a = per.filter(F.col("event_id") == event_a).select("entity_id")
     b = per.filter(F.col("event_id") == event_b).select("entity_id")
     return a.intersect(b)
+
+
+def event_pairs(deliveries: DataFrame, block: int = 1000) -> DataFrame:
+    """D5 for all pairs: (event_a, event_b, n_ids) for every two events that share
+    an id, event_a < event_b.
+
+    Counted from the inverted lists, id to events.  Ids with the same set of
+    events are one list with a weight: sets are told by their size and two
+    exclusive ors of hashes, so that ids seen in all events, the usual way in
+    which isolation fails, cost one list in all.  A list of k events is cut into
+    blocks of ``block`` events by hash; two blocks meet in one cell, so no task
+    makes the pairs of a whole list, and pairs are summed before the shuffle."""
+    per = cut(delivered_ids(deliveries), "delivered_ids")
+    mark = [F.bit_xor(F.xxhash64("event_id")), F.bit_xor(F.xxhash64("event_id", F.lit(1)))]
+    sets = per.groupBy("entity_id").agg(F.count(F.lit(1)).alias("k"), *(m.alias(f"mark{i}") for i, m in enumerate(mark))).filter(F.col("k") > 1)
+    lists = cut(sets.groupBy("k", "mark0", "mark1").agg(F.count(F.lit(1)).alias("n_ids"), F.min("entity_id").alias("entity_id")).select("entity_id", "k", "n_ids"), "event_sets")
+    n = F.ceil(F.col("k") / block).cast("int")
+    rows = per.join(lists, "entity_id").select("entity_id", "event_id", "n_ids", n.alias("_n"), F.pmod(F.xxhash64("event_id", F.lit(2)), n).cast("int").alias("_own"))
+    first = rows.select("entity_id", F.col("event_id").alias("_a"), "n_ids", F.col("_own").alias("_i"), F.explode(F.sequence(F.col("_own"), F.col("_n") - 1)).alias("_j"))
+    second = rows.select("entity_id", F.col("event_id").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"))
+    met = first.join(second, ["entity_id", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("_a") < F.col("_b")))
+    return met.groupBy(F.least("_a", "_b").alias("event_a"), F.greatest("_a", "_b").alias("event_b")).agg(F.sum("n_ids").alias("n_ids"))

@@ -195,8 +195,8 @@ def publish_rate(updates: DataFrame, window_ms: int = 60_000, origin_ms: int = 0
 
 def active_gauges(presence: DataFrame, lifetimes: DataFrame, viewers: DataFrame,
                   grid_ms: int, origin_ms: int = 0) -> DataFrame:
-    """Per grid time point where anything changes: active events, live
-    entities, open viewers.
+    """Per grid time point at which anything enters or goes, also where the
+    changes cancel: active events, live entities, open viewers.
 
     ``presence`` and ``lifetimes`` are points (t_ms, delta), see C7; a point
     counts from the first grid point at or after it.  Points are summed per grid
@@ -212,7 +212,6 @@ def active_gauges(presence: DataFrame, lifetimes: DataFrame, viewers: DataFrame,
                  points(viewers.filter(F.col("left_ms").isNotNull()), "left_ms", F.lit(-1), names[2])):
         d = d.unionByName(more, allowMissingColumns=True)
     per = d.groupBy("t_ms").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names])
-    per = per.filter(F.greatest(*[F.abs(F.col(c)) for c in names]) > 0)
     per = per.withColumn("_k", F.lit(0).cast("long"))
     # at most one row per grid point: 30-day chunks hold a bounded number of
     # points (43,200 at a one-minute grid), so no hot-cell count is needed

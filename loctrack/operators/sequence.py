@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 MAX_CHUNK_ROWS = 2_000_000
 # Sampled places per bound of rows, of which every fourth becomes a border.
 _SAMPLES = 16
+# Borders of a group in the search for a row's sub-chunk.
+_GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,21 @@ def _combine(how: str, before: Column, local: Column) -> Column:
     return F.least(before, local)
 
 
+def _grouped(borders: Column) -> Column:
+    """Sorted borders in groups of ``_GROUP``."""
+    n = F.ceil(F.size(borders) / _GROUP).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(borders, i * _GROUP + 1, F.lit(_GROUP)))).otherwise(F.array(F.slice(borders, F.lit(1), F.lit(0))))
+
+
+def _borders_below(groups: str, place: Column) -> Column:
+    """How many borders lie before ``place``: the groups that begin before it are
+    counted, then the borders of the last one, so a row meets one border of each
+    group and ``_GROUP`` more, not all of them."""
+    full = F.size(F.filter(groups, lambda g: (F.size(g) > 0) & (F.get(g, F.lit(0)) < place)))
+    last = F.get(F.col(groups), full - 1)
+    return F.when(full == 0, F.lit(0)).otherwise((full - 1) * _GROUP + F.size(F.filter(last, lambda b: b < place)))
+
+
 def split_hot_chunks(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
                      max_rows: int | None = MAX_CHUNK_ROWS) -> DataFrame:
     """``df`` with ``_chunk``: ``chunk``, and for the few (key, chunk) cells
@@ -65,12 +82,12 @@ def split_hot_chunks(df: DataFrame, keys: list[str], order: list[str], chunk: Co
     hot = base.groupBy(*keys, "_chunk0").agg(F.count(F.lit(1)).alias("_n"), F.collect_list(sampled).alias("_s")) \
         .filter(F.col("_n") > F.lit(max_rows)) \
         .select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], F.col("_chunk0").alias("_hc"),
-                F.filter(F.array_sort("_s"), lambda _, i: i % 4 == 3).alias("_borders"))
+                _grouped(F.filter(F.array_sort("_s"), lambda _, i: i % 4 == 3)).alias("_borders"))
     cond = F.col("_chunk0") == F.col("_hc")
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_hk{i}"))
     j = base.join(F.broadcast(hot), cond, "left")
-    sub = F.when(F.col("_hc").isNull(), F.lit(0)).otherwise(F.size(F.filter("_borders", lambda b: b < place)))
+    sub = F.when(F.col("_hc").isNull(), F.lit(0)).otherwise(_borders_below("_borders", place))
     return j.withColumn("_chunk", F.struct(F.col("_chunk0").alias("c"), sub.alias("s"))) \
         .select(*df.columns, "_chunk")
 

@@ -595,16 +595,15 @@ def _gc(x: str) -> str:
 @query("active_gauges", W("updates", "viewers", extra=[VERSIONS, PRESENCE, ("deltas", f"""
 SELECT {_gc('present_from_ms')} AS t_ms, 1 AS de, 0 AS dn, 0 AS dv FROM presence
 UNION ALL SELECT {_gc('removed_at_ms')}, -1, 0, 0 FROM presence WHERE removed_at_ms IS NOT NULL
-UNION ALL SELECT {_gc('ts_ms')}, 0, 1, 0 FROM versions
-UNION ALL SELECT {_gc('end_ms')}, 0, -1, 0 FROM versions WHERE end_ms IS NOT NULL
+UNION ALL SELECT {_gc('ts_ms')}, 0, 1, 0 FROM (SELECT *, lag(rs) OVER (PARTITION BY event_id, entity_id ORDER BY ts_ms, seq) AS prs FROM versions) WHERE prs IS NULL OR ts_ms > prs
+UNION ALL SELECT {_gc('removed_at_ms')}, 0, -1, 0 FROM versions WHERE removed_at_ms IS NOT NULL
 UNION ALL SELECT {_gc('subscribed_ms')}, 0, 0, 1 FROM viewers
 UNION ALL SELECT {_gc('left_ms')}, 0, 0, -1 FROM viewers WHERE left_ms IS NOT NULL""")]) + """
 SELECT t_ms,
   CAST(sum(de) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS active_events,
   CAST(sum(dn) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS live_entities,
   CAST(sum(dv) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open_viewers
-FROM (SELECT t_ms, sum(de) AS de, sum(dn) AS dn, sum(dv) AS dv FROM deltas GROUP BY t_ms
-  HAVING sum(de) <> 0 OR sum(dn) <> 0 OR sum(dv) <> 0)""")
+FROM (SELECT t_ms, sum(de) AS de, sum(dn) AS dn, sum(dv) AS dv FROM deltas GROUP BY t_ms)""")
 def q_active_gauges(spark, d):
     u = _updates(spark, d)
     points = cut(C.lifetime_points(u, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS), "points")
@@ -1067,8 +1066,10 @@ def q_newest_n_stream(spark, d):
 
 
 def queries() -> dict[str, QueryFn]:
+    from loctrack.plans import live  # noqa: F401  registers more
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from loctrack.plans import live  # noqa: F401
     return dict(ORACLES)

@@ -11,6 +11,7 @@ Each rule exists twice: as a DataFrame (``build``) and as DuckDB SQL (``SQL``).
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ VIEWERS_FROM_MS = 1_704_153_600_000    # 2024-01-02 00:00:00 UTC
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
+def _uuid_of_type(event_type: str) -> str:
+    """The event id that the stand-ins derive from an event type."""
+    h = md5(event_type.encode()).hexdigest()
+    return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

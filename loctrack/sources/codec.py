@@ -72,7 +72,7 @@ def _decode(col: Column, fields: list[tuple[str, str]], now_ms: Column | None) -
             if now_ms is not None:
                 val = F.coalesce(val, now_ms)
         err = err.when(~ok, F.lit(f"invalid {name}"))
-        out.append(val.alias(name))
+        out.append(F.when(ok, val).alias(name))  # a field of another type is not converted
     return [*out, err.alias("decode_error")]
 
 
@@ -81,8 +81,8 @@ def parse_flat_updates(df: DataFrame, col: str, now_ms=None) -> DataFrame:
 
     Ids must be JSON strings, coordinates JSON numbers; an absent or null
     timestamp becomes ``now_ms`` (a column or number; default the current time),
-    a present one must be an integral number within 64 bits.  Rows that fail
-    keep null values and a ``decode_error``."""
+    a present one must be an integral number within 64 bits.  A field that
+    fails is null, and ``decode_error`` names the first one."""
     now = F.lit(now_ms) if isinstance(now_ms, int) else (now_ms if now_ms is not None
                                                           else F.unix_millis(F.current_timestamp()))
     fields = [("eventId", "string"), ("skaterId", "string"), ("longitude", "double"),

@@ -12,13 +12,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loctrack.functions import floor_div
 from loctrack.operators import validate as V
 from loctrack.operators import windows as E
 from loctrack.session import checkpoint_dir
@@ -59,60 +59,59 @@ def ingest_stream(raw: DataFrame, accepted_path: str, rejected_path: str, checkp
 # ----------------------------------------------------------------------------- K2
 LATEST_OUT = ("event_id string, entity_id string, longitude double, latitude double, ts_ms long, "
               "seq long, change string")
-LATEST_STATE = "longitude double, latitude double, ts_ms long, seq long"
+LATEST_STATE = "entity_id array<string>, longitude array<double>, latitude array<double>, ts_ms array<long>, seq array<long>"
+_HELD = ["entity_id", "longitude", "latitude", "ts_ms", "seq"]
 
 
 def latest_state_stream(updates: DataFrame, ttl_ms: int, watermark_ms: int = 1000,
-                        emit_removals: bool = False) -> DataFrame:
+                        emit_removals: bool = False, spread: int = 16) -> DataFrame:
     """K2: keyed latest position with event-time expiry.
 
     Per (event, entity) the state holds the newest row (by ts, seq).  Rows behind
     the watermark are dropped.  The other rows of a key in a batch are reduced to
     the newest one, which is stored and emitted as an upsert if it is newer than
-    the state.  The key times out when the watermark passes ts + ttl (whole
-    seconds) and is removed; ``emit_removals`` also emits a removal row (the
-    service itself sends none).
+    the state.  A key is removed when the watermark has passed ts + ttl (whole
+    seconds); ``emit_removals`` also emits a removal row (the service itself sends
+    none).
+
+    The entities of an event are held in ``spread`` groups by hash, so Python sees
+    a few large groups, each merged as arrays, instead of single keys; a group is
+    written anew when one of its entities changes, so it should hold some hundreds
+    to thousands of them: ``spread`` grows with the entities of the largest event.
+    A group times out with its oldest row.
     """
     ttl = (ttl_ms // 1000) * 1000
-    src = with_event_time(updates).withWatermark("event_time", f"{watermark_ms} milliseconds")
-
-    def row(key, values, change: str) -> pd.DataFrame:
-        lon, lat, ts, seq = values
-        return pd.DataFrame([{"event_id": key[0], "entity_id": key[1], "longitude": lon, "latitude": lat,
-                              "ts_ms": ts, "seq": seq, "change": change}])
+    src = with_event_time(updates).withWatermark("event_time", f"{watermark_ms} milliseconds") \
+        .withColumn("_group", F.pmod(F.xxhash64("entity_id"), F.lit(spread)))
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get
-            state.remove()
-            if emit_removals:
-                yield row(key, last, "remove")
-            return
         now = state.getCurrentWatermarkMs()
-        last = tuple(state.get) if state.exists else None
-        best = last
-        for pdf in pdfs:
-            ts, seq = pdf["ts_ms"].to_numpy(), pdf["seq"].to_numpy()
-            top = np.flatnonzero((ts >= now) & (ts == ts.max(initial=now)))
-            if len(top):
-                i = top[seq[top].argmax()]
-                if best is None or (ts[i], seq[i]) > (best[2], best[3]):
-                    best = (float(pdf["longitude"].iat[i]), float(pdf["latitude"].iat[i]), int(ts[i]), int(seq[i]))
-        if best is None:
+        parts = []
+        if state.exists:
+            parts.append(pd.DataFrame(dict(zip(_HELD, state.get))).assign(old=True))
+        if not state.hasTimedOut:
+            parts += [p.loc[p["ts_ms"] >= now, _HELD].assign(old=False) for p in pdfs]
+        # of equal rows the stored one is kept, and is no change
+        rows = pd.concat(parts).sort_values(["ts_ms", "seq", "old"]).drop_duplicates("entity_id", keep="last") if parts else pd.DataFrame()
+        if rows.empty:
             return
-        expired = best[2] + ttl < now
-        if best is not last:
-            yield row(key, best, "upsert")
-        if expired:  # only a stored row can be this old: the batch held late rows alone
+        gone = rows["ts_ms"] + ttl < now  # of this batch's rows none, unless it held late rows alone
+        out = [rows[~rows["old"]].assign(change="upsert")]
+        if emit_removals:
+            out.append(rows[gone].assign(change="remove"))
+        held = rows[~gone]
+        if held.empty:
             state.remove()
-            if emit_removals:
-                yield row(key, best, "remove")
-            return
-        state.update(best)
-        # a time-out must not lie behind the watermark
-        state.setTimeoutTimestamp(max(best[2] + ttl, now + 1))
-
-    return src.groupBy("event_id", "entity_id").applyInPandasWithState(
+        else:
+            state.update(tuple(held[c].tolist() for c in _HELD))
+            # a time-out must not lie behind the watermark
+            state.setTimeoutTimestamp(max(int(held["ts_ms"].min()) + ttl, now + 1))
+        found = pd.concat(out)
+        if len(found):
+            found.insert(0, "event_id", key[0])
+            yield found[[c.split()[0] for c in LATEST_OUT.split(", ")]]
+
+    return src.groupBy("event_id", "_group").applyInPandasWithState(
         step, LATEST_OUT, LATEST_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -189,6 +188,85 @@ def fan_out_stream(updates: DataFrame, viewers: DataFrame) -> DataFrame:
     return fan_out(updates, viewers)
 
 
+def _seats_stream(viewers: DataFrame, bucket_ms: int, open_ms: int, late_ms: int) -> DataFrame:
+    """A row for each bucket in which a viewer is subscribed; one without an end
+    is seated for ``open_ms``."""
+    end = F.coalesce("left_ms", F.col("subscribed_ms") + F.lit(open_ms))
+    seats = F.when(end >= F.col("subscribed_ms"), F.sequence(floor_div("subscribed_ms", bucket_ms), floor_div(end, bucket_ms)))
+    v = viewers.select("viewer_id", F.col("event_id").alias("_ev"), "subscribed_ms", end.alias("_end"), F.explode(seats).alias("_bucket"))
+    return v.withColumn("bucket_time", F.timestamp_millis(F.col("_bucket") * F.lit(bucket_ms))) \
+        .withWatermark("bucket_time", f"{late_ms + bucket_ms} milliseconds")
+
+
+def fan_out_streams(updates: DataFrame, viewers: DataFrame, late_ms: int, bucket_ms: int = 3_600_000,
+                    open_ms: int = 86_400_000) -> DataFrame:
+    """K4 with viewers that come and go while the stream runs: an interval join of
+    two streams, D1's pairs (``subscribed_ms < ts <= left_ms``).
+
+    Viewers stand in a seat for each bucket of their time, so the join is an
+    equality on event and bucket, and a hot event is one key for each bucket.
+    Both sides have a watermark: rows may come ``late_ms`` (and a bucket) behind
+    the newest row of the slower stream, so an update waits for viewers that are
+    announced late, and a viewer's seat for late updates.  The bounds on times let
+    Spark free a seat, and the updates of a bucket, once the watermark has passed
+    the bucket's end; a viewer who has left holds no state.  A viewer without an
+    end is seated for ``open_ms``, which bounds its state; announce it again to
+    stay longer."""
+    from loctrack.operators.joins import _UPD
+    u = with_event_time(updates.select(*_UPD)).withWatermark("event_time", f"{late_ms + bucket_ms} milliseconds") \
+        .withColumn("_at", floor_div("ts_ms", bucket_ms))
+    v = _seats_stream(viewers, bucket_ms, open_ms, late_ms)
+    in_bucket = (F.col("event_time") >= F.col("bucket_time")) & (F.col("event_time") < F.col("bucket_time") + F.expr(f"INTERVAL {bucket_ms} MILLISECOND"))
+    live = (F.col("ts_ms") > F.col("subscribed_ms")) & (F.col("ts_ms") <= F.col("_end"))
+    return u.join(v, (F.col("event_id") == F.col("_ev")) & (F.col("_at") == F.col("_bucket")) & in_bucket & live, "inner") \
+        .select("viewer_id", *_UPD, "subscribed_ms")
+
+
+# ----------------------------------------------------------------------------- K2 on the sweep grid
+def lifetimes_stream(updates: DataFrame, ttl_ms: int, sweep_ms: int, origin_ms: int = 0, watermark_ms: int = 1000) -> DataFrame:
+    """K2 with removals at sweep times: each stay of a participant in the store,
+    emitted when the watermark passes the sweep that removes it.
+
+    A row holds its participant until the first sweep at which it is older than
+    the ttl, a time that the row alone decides.  So a stay is a session whose gap
+    is the way to that sweep, its end is the sweep, and it goes on if the next
+    update comes by then: a session window with a gap for each row, which Spark
+    merges and times out in its own state store.  No timer is set, and rows that
+    arrive out of order are merged in.  Emits (event_id, entity_id, entered_ms,
+    removed_at_ms, n_updates and the last row)."""
+    from loctrack.operators.joins import _UPD
+    from loctrack.operators.state import removal_sweep
+    src = with_event_time(updates.select(*_UPD)).withWatermark("event_time", f"{watermark_ms} milliseconds")
+    hold = removal_sweep(F.col("ts_ms"), ttl_ms, sweep_ms, origin_ms) - F.col("ts_ms")
+    gap = F.concat(hold.cast("string"), F.lit(" milliseconds"))
+    last = F.max_by(F.struct("longitude", "latitude", "ts_ms", "seq"), F.struct("ts_ms", "seq"))
+    s = src.groupBy("event_id", "entity_id", F.session_window("event_time", gap).alias("w")) \
+        .agg(F.min("ts_ms").alias("entered_ms"), F.count(F.lit(1)).alias("n_updates"), last.alias("_v"))
+    return s.select("event_id", "entity_id", "entered_ms", F.unix_millis("w.end").alias("removed_at_ms"), "n_updates", "_v.*")
+
+
+# ----------------------------------------------------------------------------- K3 by windows
+def batch_grid_stream(rows: DataFrame, key: str, size: int, interval_ms: int, ts: str = "ts_ms",
+                      order: list[str] = ("msg_no",), watermark_ms: int = 1000, origin_ms: int = 0) -> DataFrame:
+    """K3 in its cheap form, E1 live: tumbling windows of ``interval_ms`` per key,
+    each cut in chunks of ``size`` by position, without Python or own state.
+
+    The window's rows are kept as (order..., ts) only and sorted when the watermark
+    closes the window; a key holds at most the rows of its open windows.  Emits a
+    row for each chunk: (key, window_ms, batch_no, n_rows, first, last)."""
+    src = rows.select(F.col(key).alias("_key"), *order, F.col(ts).alias("_t")).withColumn("event_time", F.timestamp_millis("_t")) \
+        .withWatermark("event_time", f"{watermark_ms} milliseconds")
+    start = f"{origin_ms % interval_ms} milliseconds"
+    w = F.window("event_time", f"{interval_ms} milliseconds", f"{interval_ms} milliseconds", start)
+    g = src.groupBy("_key", w.alias("w")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_rows"))
+    n = F.size("_rows")
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")))
+    each = g.select(F.col("_key").alias(key), F.unix_millis("w.start").alias("window_ms"), "_rows", chunk.alias("batch_no"))
+    part = each.withColumn("_part", F.slice("_rows", F.col("batch_no") * size + 1, F.lit(size)))
+    return part.select(key, "window_ms", F.col("batch_no").cast("long").alias("batch_no"), F.size("_part").cast("long").alias("n_rows"),
+                       F.element_at("_part", 1).alias("first"), F.element_at("_part", -1).alias("last"))
+
+
 # ----------------------------------------------------------------------------- K5
 def channel_sessions_stream(accesses: DataFrame, ttl_ms: int, watermark_ms: int = 1000) -> DataFrame:
     """K5: channel sessions closed after ``ttl`` idle (session window, append

@@ -187,3 +187,80 @@ def test_k3_late_rows_numbers_and_freed_state(spark, tmp_path):
     assert not [r for r in kept if r.key == "x"]
     freed = _run(spark, K.group_within_stream(read("b"), "k", 3, 5_000, keep_ms=60_000), "k3freed").collect()
     assert sorted((r.group_no, r.group_open_ms) for r in freed if r.key == "v") == [(0, 1_000), (0, 502_000), (1, 52_000), (2, 52_700)]
+
+
+def _two_streams(spark, left, left_t, right, right_t, out, slices=5):
+    """Both tables in the same time slices, one file of each per trigger."""
+    lo, hi = T0, max(left.agg(F.max(left_t)).first()[0], right.agg(F.max(right_t)).first()[0])
+    step = (hi - lo) // slices + 1
+    for name, df, t in (("l", left, left_t), ("r", right, right_t)):
+        for i in range(slices):
+            df.filter((F.col(t) >= lo + i * step) & (F.col(t) < lo + (i + 1) * step)).coalesce(1).write.mode("append").parquet(f"{out}/{name}")
+    return _stream(spark, left, f"{out}/l"), _stream(spark, right, f"{out}/r")
+
+
+# Streams begin with the watermark at 0, so rows of the first bucket of 1970 would be late.
+T0 = 70_000_000
+UPD = "event_id string, entity_id string, longitude double, latitude double, ts_ms long, seq long"
+VIEW = "viewer_id long, event_id string, subscribed_ms long, left_ms long, announced_ms long"
+
+
+def test_k4_viewers_come_and_go(spark, tmp_path):
+    """Viewers announced late, leaving early, open-ended, before and after all updates."""
+    import random
+    rnd = random.Random(3)
+    u = spark.createDataFrame([(f"e{rnd.randrange(3)}", f"p{rnd.randrange(9)}", 0.0, 0.0, T0 + rnd.randrange(100_000), i) for i in range(400)], UPD)
+    rows = []
+    for i in range(40):
+        at = T0 + rnd.randrange(90_000)
+        rows.append((i, f"e{rnd.randrange(4)}", at, rnd.choice([None, at, at + 1, at + 5_000, at + 50_000]), at + rnd.choice([0, 0, 9_000])))
+    v = spark.createDataFrame(rows, VIEW)
+    us, vs = _two_streams(spark, u, "ts_ms", v, "announced_ms", str(tmp_path))
+    out = _run(spark, K.fan_out_streams(us, vs.drop("announced_ms"), late_ms=9_000, bucket_ms=7_000, open_ms=200_000), "k4_streams")
+    want = D.fan_out(u, v)
+    key = lambda df: sorted((r.viewer_id, r.seq) for r in df.collect())
+    assert key(out) == key(want) and len(key(want)) > 500
+
+
+def test_k4_state_is_freed(spark, tmp_path):
+    """Seats and updates of passed buckets leave the state."""
+    u = spark.createDataFrame([("e", f"p{i % 5}", 0.0, 0.0, T0 + i * 100, i) for i in range(2000)], UPD)
+    v = spark.createDataFrame([(i, "e", T0 + i * 1000, T0 + i * 1000 + 3000, T0 + i * 1000) for i in range(200)], VIEW)
+    us, vs = _two_streams(spark, u, "ts_ms", v, "announced_ms", str(tmp_path), slices=10)
+    q = K.fan_out_streams(us, vs.drop("announced_ms"), late_ms=1000, bucket_ms=2000).writeStream.format("memory").queryName("k4_state") \
+        .option("checkpointLocation", K.stream_checkpoint(spark, "k4_state")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"]]
+    assert spark.table("k4_state").count() == D.fan_out(u, v).count()
+    assert max(held) < 1200 and held[-1] < 400  # all rows of both sides would be over 2,400
+
+
+def test_k2_stays_end_at_sweeps(spark, tmp_path):
+    """Rows out of order within the watermark; equal to C6 for closed sweeps."""
+    import random
+    rnd = random.Random(5)
+    ttl, sweep = 3_000, 2_000
+    rows = [("e", f"p{rnd.randrange(12)}", 0.0, 0.0, rnd.randrange(60_000), i) for i in range(250)] + [("e", "edge", 0.0, 0.0, t, 1000 + t) for t in (1_000, 4_000, 8_000, 12_001)]
+    u = spark.createDataFrame(rows, UPD).withColumn("arrives", F.col("ts_ms") + F.pmod(F.xxhash64("seq"), F.lit(4_000)))
+    lo, hi = 0, 64_000
+    for i in range(6):
+        u.filter((F.col("arrives") >= lo + i * hi // 6) & (F.col("arrives") < lo + (i + 1) * hi // 6)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = _stream(spark, u, f"{tmp_path}/in").drop("arrives")
+    out = _run(spark, K.lifetimes_stream(s, ttl, sweep, 0, watermark_ms=4_000), "k2_sweeps")
+    closed = u.agg(F.max("ts_ms")).first()[0] - 4_000
+    got = {r.removed_at_ms: r["count"] for r in out.groupBy("removed_at_ms").count().collect()}
+    want = {r.sweep_ms: r.n_removed for r in C.removal_log(u.drop("arrives"), ttl, sweep, 0).filter(F.col("sweep_ms") <= closed).collect()}
+    assert got == want and len(want) > 10
+    edge = sorted((r.entered_ms, r.removed_at_ms, r.n_updates) for r in out.filter("entity_id = 'edge'").collect())
+    assert edge == [(1_000, 12_000, 3), (12_001, 16_000, 1)]  # an update on the very sweep comes in time
+
+
+def test_k3_by_windows(spark, upd):
+    u, path = upd
+    keyed = u.select("event_id", "ts_ms", "seq")
+    out = _run(spark, K.batch_grid_stream(_stream(spark, u, path), "event_id", 3, 3_600_000, "ts_ms", ["ts_ms", "seq"]), "k3_grid")
+    g = E.batch_grid(keyed, "event_id", "ts_ms", 3, 3_600_000)
+    end = u.agg(F.max("ts_ms")).first()[0] - 1000
+    want = g.filter(F.col("window_ms") + 3_600_000 <= end).groupBy("event_id", "window_ms", "batch_no").agg(F.count("*").alias("n"), F.min(F.struct("ts_ms", "seq")).alias("a"), F.max(F.struct("ts_ms", "seq")).alias("b"))
+    got = sorted((r.event_id, r.window_ms, r.batch_no, r.n_rows, tuple(r.first), tuple(r.last)) for r in out.select("event_id", "window_ms", "batch_no", "n_rows", "first", "last").collect())
+    assert got == sorted((r.event_id, r.window_ms, r.batch_no, r.n, tuple(r.a), tuple(r.b)) for r in want.collect())
