@@ -200,4 +200,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words) AND ratio >= {quality_rules.THRESHOLD} AS kept, round(ratio, 9) AS ratio FROM o
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_warc_zip": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_secrets": OP10_SQL}
+#: CRC-32 of a text's UTF-8 bytes, byte by byte over a table of 256 numbers
+#: that SQL derives from the polynomial.
+_CRC_TABLE = """crc AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) AS x FROM range(256) AS r(i)))"""
+
+
+def _crc_sql(text: str, table: str = "t") -> str:
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)),
+  lambda a, b: xor(a >> 8, {table}[xor(a, b) & 255 + 1])), 4294967295)""".replace("xor(a, b) & 255 + 1", "(xor(a, b) & 255) + 1")
+
+
+#: Prefixes by themselves; totals over each node's representative path.
+OP11_SQL = f"""
+WITH {_CRC_TABLE},
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc_sql("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc),
+parts AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos >= h),
+whole AS (SELECT c.conv_id, coalesce(list([role, text] ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS seq FROM convs c LEFT JOIN parts USING (conv_id) GROUP BY c.conv_id),
+pre AS (SELECT conv_id, d, len(seq) = d AS ends, sha256(to_json(seq[:d])) AS k, CASE WHEN d > 0 THEN sha256(to_json(seq[:d - 1])) END AS up, CASE WHEN d > 0 THEN strlen(seq[d][2]) ELSE 0 END AS bytes
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM whole)),
+nodes AS (SELECT k, any_value(up) AS up, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM pre GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+marked AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+totals AS (SELECT pre.k, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS saved FROM marked m JOIN pre ON pre.conv_id = m.conv_id AND pre.d <= m.depth GROUP BY pre.k)
+SELECT m.conv_id, m.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM marked m JOIN totals USING (k) LEFT JOIN nodes p ON p.k = m.up
+"""
+
+
+def _features_sql(table: str, columns: str) -> str:
+    """Words and pairs of neighbouring words of whole texts."""
+    return f"""SELECT {columns}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f
+  FROM (SELECT {columns}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table})"""
+
+
+#: Buckets of the distinct features, then counts, gains, scores and a sort.
+OP13_SQL = f"""
+WITH {_CRC_TABLE},
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+d AS MATERIALIZED ({_features_sql("docs", "r")}),
+b AS MATERIALIZED ({_features_sql("benchmark", "item_id")}),
+bucket AS MATERIALIZED (SELECT f, {_crc_sql("f")} % {importance.BUCKETS} AS k FROM (SELECT DISTINCT f FROM (SELECT f FROM d UNION ALL SELECT f FROM b)), crc),
+s AS (SELECT k, count(*)::DOUBLE AS n FROM d JOIN bucket USING (f) GROUP BY k),
+t AS (SELECT k, count(*)::DOUBLE AS n FROM b JOIN bucket USING (f) GROUP BY k),
+size AS (SELECT (SELECT count(*) FROM d)::DOUBLE AS s, (SELECT count(*) FROM b)::DOUBLE AS t),
+gain AS (SELECT s.k, floor(1000e0 * ln((coalesce(t.n, 0) + 1) * (size.s + {importance.BUCKETS}) / ((s.n + 1) * (size.t + {importance.BUCKETS}))))::BIGINT AS g FROM s LEFT JOIN t USING (k), size),
+w AS (SELECT r, count(*) AS n, sum(g)::BIGINT AS g, count(*) FILTER (NOT contains(f, ' ')) AS n_words FROM d JOIN bucket USING (f) JOIN gain USING (k) GROUP BY r),
+o AS (SELECT docs.r, doc_id, coalesce(n, 0) AS n_features, coalesce(n_words, 0) AS n_words, CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END AS weight,
+    floor(-1000e0 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5e0) / 4294967296e0)))::BIGINT AS noise
+  FROM docs LEFT JOIN w USING (r)),
+able AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM o WHERE n_words >= {importance.MIN_WORDS})
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, (weight + noise)::BIGINT AS score, CASE WHEN rank <= {importance.PERCENT} * n // 100 THEN rank END AS rank
+FROM o LEFT JOIN able USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_warc_zip": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_secrets": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_importance": OP13_SQL}
