@@ -15,7 +15,9 @@ each task adds up its own rows first.
 Defined cases: a null or empty text has no words, fails the base rules and has
 ratio 0; rows that repeat a doc_id are each counted and returned; labels that
 repeat a doc_id trust its rows once; a null doc_id is never trusted; an empty
-table gives an empty result; without any trusted row all ratios are 0.
+table gives an empty result; without any trusted row all ratios are 0.  A very
+long text is held by one task as its words and n-grams, some thirty times its
+bytes.
 """
 
 from __future__ import annotations
