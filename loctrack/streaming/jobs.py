@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loctrack.functions import floor_div
 from loctrack.operators import validate as V
 from loctrack.operators import windows as E
+from loctrack.operators.grouping import next_open, opening_rows
 from loctrack.session import checkpoint_dir
 
 
@@ -117,6 +119,7 @@ def latest_state_stream(updates: DataFrame, ttl_ms: int, watermark_ms: int = 100
 
 # ----------------------------------------------------------------------------- K3
 GROUP_OUT = "key string, group_no long, group_open_ms long, n_rows long, first_msg long, last_msg long"
+GROUP_COLS = [c.split()[0] for c in GROUP_OUT.split(", ")]
 GROUP_STATE = "group_no long, open_ms long, n_rows long, first_msg long, last_msg long"
 # A key that is silent for this long after its last group starts again at group 0.
 KEEP_NUMBERS_MS = 7 * 86_400_000
@@ -144,7 +147,7 @@ def group_within_stream(rows: DataFrame, key: str, size: int, interval_ms: int,
         out = []
 
         def close() -> None:
-            out.append((keyt[0], g_no, open_ms, n, first, last))
+            out.append(([g_no], [open_ms], [n], [first], [last]))
 
         if state.hasTimedOut:
             if not n:
@@ -155,18 +158,30 @@ def group_within_stream(rows: DataFrame, key: str, size: int, interval_ms: int,
         else:
             batch = pd.concat(list(pdfs))
             batch = batch[batch[ts] >= now].sort_values([order])
-            for m, t in zip(batch[order].tolist(), batch[ts].tolist()):
-                if n and t - open_ms >= interval_ms:
-                    close()
-                    n = 0
-                if not n:
-                    # after a long silence the numbers start again, whether the state is still there or not
-                    g_no = 0 if g_no >= 0 and t - open_ms > interval_ms + keep_ms else g_no + 1
-                    open_ms, first = t, m
-                n, last = n + 1, m
-                if n >= size:
+            m, t = batch[order].to_numpy(np.int64), batch[ts].to_numpy(np.int64)
+            if n and len(t):  # rows of the group that is open
+                over = np.flatnonzero(t - open_ms >= interval_ms)
+                own = min(size - n, int(over[0]) if len(over) else len(t), len(t))
+                if own:
+                    n, last = n + own, int(m[own - 1])
+                if n >= size or own < len(t):
                     close()
                     n = 0
+                m, t = m[own:], t[own:]
+            if len(t):  # groups that open in this batch, found as in E2
+                starts = np.flatnonzero(opening_rows(next_open(t, len(t), size, interval_ms), 0, size))
+                opens, ends = t[starts], np.append(starts[1:], len(t))
+                # after a long silence the numbers start again, whether the state is still there or not
+                again = np.diff(opens, prepend=open_ms) > interval_ms + keep_ms
+                again[0] |= g_no < 0
+                k = np.arange(len(starts))
+                begun = np.maximum.accumulate(np.where(again, k, -1))
+                numbers = np.where(begun >= 0, k - begun, g_no + 1 + k)
+                whole = len(starts) - (ends[-1] - starts[-1] < size)
+                if whole:
+                    out.append(tuple(x[:whole].tolist() for x in (numbers, opens, ends - starts, m[starts], m[ends - 1])))
+                g_no, open_ms, first, last = int(numbers[-1]), int(opens[-1]), int(m[starts[-1]]), int(m[-1])
+                n = 0 if whole == len(starts) else int(ends[-1] - starts[-1])
             if n and open_ms + interval_ms < now:
                 close()
                 n = 0
@@ -174,8 +189,8 @@ def group_within_stream(rows: DataFrame, key: str, size: int, interval_ms: int,
             return
         state.update((g_no, open_ms, n, first, last))
         state.setTimeoutTimestamp(max(open_ms + interval_ms + (0 if n else keep_ms), now + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in GROUP_OUT.split(", ")])
+        for rows_out in out:
+            yield pd.DataFrame(dict(zip(GROUP_COLS, ([keyt[0]] * len(rows_out[0]), *rows_out))))
 
     return src.groupBy("_key").applyInPandasWithState(
         step, GROUP_OUT, GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
