@@ -111,3 +111,52 @@ def test_null_item_id_and_written_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_BYTES", 4)
     assert get() == want
     assert names == ["index", "matches", "matches", "matches"]
+
+
+def brute_near(text, items, size, slop):
+    doc, found = words(text), set()
+    for item, body in items:
+        w = words(body)
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            win = w[k : k + size]
+            for s in range(-size - slop, len(doc) + slop):
+                if all(x in doc[max(0, s + i - slop) : max(0, s + i + slop + 1)] for i, x in enumerate(win)):
+                    found.add(item)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+@pytest.mark.parametrize("segment", [30, 1 << 16])
+def test_proximity_against_brute_force(spark, monkeypatch, slop, segment):
+    import random
+
+    monkeypatch.setattr(D, "SEGMENT_WORDS", segment)
+    rnd = random.Random(slop)
+    text = lambda n, v: " ".join(rnd.choice("abcdefghijkl"[:v]) for _ in range(n))
+    items = [(i, text(rnd.randint(1, 9), 12)) for i in range(25)] + [(40, "a a a"), (41, "nowhere at all"), (42, None)]
+    texts = [text(rnd.randint(0, 40), 12) for _ in range(40)] + [text(30, 3), "a", "a a"]
+    docs = documents(spark, texts)
+    got = {r.doc_id: (sorted(r["items"]), sorted(r.near_items)) for r in D.contamination(docs, spark.createDataFrame(items, ITEMS), window=4, slop=slop).collect() if r.doc_id is not None}
+    for i, t in enumerate(texts):
+        assert got[i] == (brute(t, items, 4)[2], brute_near(t, items, 4, slop)), (t, i)
+    assert sum(len(n) > len(e) for e, n in got.values()) > 5 or not slop
+
+
+def test_work_for_a_segment_does_not_grow_with_the_benchmark():
+    """Windows that share no word with a segment cost it next to nothing."""
+    import time
+
+    def seconds(n):
+        q = D.windows_of([(i, " ".join(f"q{i}x{k % 40}" for k in range(50))) for i in range(n)])
+        text = " ".join(f"w{k % 9000}" for k in range(60_000))
+        vocab = {}
+        of = [vocab.setdefault(w, len(vocab)) for w in D.words(text)]
+        row = D._segment([1], [1], [0], vocab, [D.np.array(of, D.np.int32)]).to_pydict()
+        seg = D.Segment(*(row[c][0] for c in ("starts", "terms", "counts", "positions")))
+        t0 = time.perf_counter()
+        for _ in range(20):
+            assert not len(seg.matches(q, 2)[0])
+        return len(q.windows), time.perf_counter() - t0
+
+    (few, a), (many, b) = seconds(100), seconds(8000)
+    assert many > 50 * few and b < 10 * a + 0.5

@@ -65,7 +65,7 @@ def test_every_cutoff(spark):
     rnd = random.Random(4)
     for values in ([7] * 50, [rnd.randint(0, 5) for _ in range(60)], list(range(80)), [rnd.randint(-(10**12), 10**12) for _ in range(70)], [None, *"ba" * 20][1:]):
         rows = spark.createDataFrame([(v,) for v in values], "v string" if isinstance(values[0], str) else "v long").repartition(4)
-        for k in {1, len(values) // 3, len(values)}:
+        for k in (len(values) // 3, len(values)):
             v, below, same = importance.nth_least(rows, "v", k)
             assert (v, below, same) == (sorted(values)[k - 1], sum(x < v for x in values), values.count(v))
     with pytest.raises(ValueError):

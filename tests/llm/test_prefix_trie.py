@@ -56,7 +56,6 @@ def conversations(seed, n, longest=12, texts=3):
 
 
 def test_small_shards_and_blocks(spark):
-    check(spark, conversations(1, 60))
     check(spark, conversations(2, 60), block=3, shard_rows=20)
     check(spark, conversations(3, 40, texts=1), block=2, shard_rows=10)
 
