@@ -80,8 +80,9 @@ def fan_out(updates: DataFrame, viewers: DataFrame, bucket_ms: int = BUCKET_MS,
         cells = cut(_cells(updates, bucket_ms), "cells")
         u, v = u.withColumn("_at", floor_div("ts_ms", bucket_ms)), _seats(cells, viewers, bucket_ms)
         cond = cond & (F.col("_at") == F.col("_bucket"))
-        hot = cut(hot_cells(cells, viewers, cell_rows, cell_pairs), "hot_cells")
+        hot = hot_cells(cells, viewers, cell_rows, cell_pairs)
         if not hot.isEmpty():
+            hot = cut(hot, "hot_cells")
             u = _salted(u, hot, "event_id", "_at", ["entity_id", "seq"])
             v = _salted(v, hot, "_ev", "_bucket", None).withColumnRenamed("_salt", "_seat_salt")
             cond = cond & (F.col("_salt") == F.col("_seat_salt"))
@@ -141,7 +142,7 @@ def snapshot_for_viewers(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sw
 
 def viewer_stream(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms: int,
                   origin_ms: int = 0, chunk_ms: int = 86_400_000, number: bool = True,
-                  bucket_ms: int = BUCKET_MS) -> DataFrame:
+                  bucket_ms: int = BUCKET_MS, cell_rows: int = CELL_ROWS, cell_pairs: int = CELL_PAIRS) -> DataFrame:
     """D3: what each viewer receives, in order: its snapshot (phase 0, delivered
     at subscription) and then the live updates (phase 1), numbered per viewer
     by (phase, ts, seq) unless ``number`` is False.  Rows are cut exactly once at ``subscribed_ms``.
@@ -149,18 +150,26 @@ def viewer_stream(updates: DataFrame, viewers: DataFrame, ttl_ms: int, sweep_ms:
     One join: an update version stands in the buckets in which it can be part of a
     snapshot (D2, phase 0) and in the bucket of its time, in which it can be live
     (D1, phase 1); a viewer in the bucket of its subscription and in those of its
-    seats."""
+    seats.  Hot cells of the live part are salted as in D1."""
     args = (ttl_ms, sweep_ms, origin_ms, bucket_ms)
     t, ts = F.col("subscribed_ms"), F.col("ts_ms")
     place = lambda phase, bucket: F.struct(F.lit(phase).alias("phase"), bucket.alias("bucket"))
     places = F.concat(F.transform(_visible_buckets(*args), lambda b: place(0, b)), F.array(place(1, floor_div("ts_ms", bucket_ms))))
     ver = _versions(updates, chunk_ms).withColumn("_place", F.explode(places)) \
         .select("*", F.col("_place.phase").alias("phase"), F.col("_place.bucket").alias("_at")).drop("_place")
+    cells = cut(_cells(updates, bucket_ms), "cells")
     v = _viewers(viewers).withColumn("_bucket", _snapshot_bucket(t, *args)).withColumn("_phase", F.lit(0)) \
-        .unionByName(_seats(_cells(updates, bucket_ms), viewers, bucket_ms).withColumn("_phase", F.lit(1)))
+        .unionByName(_seats(cells, viewers, bucket_ms).withColumn("_phase", F.lit(1)))
+    block = F.lit(True)
+    hot = hot_cells(cells, viewers, cell_rows, cell_pairs)
+    if not hot.isEmpty():
+        hot = cut(hot, "hot_cells")
+        ver = _salted(ver.withColumn("_live_ev", F.when(F.col("phase") == 1, F.col("event_id"))), hot, "_live_ev", "_at", ["entity_id", "seq"])
+        v = _salted(v.withColumn("_seat_ev", F.when(F.col("_phase") == 1, F.col("_ev"))), hot, "_seat_ev", "_bucket", None).withColumnRenamed("_salt", "_seat_salt")
+        block = F.col("_salt") == F.col("_seat_salt")
     snap = (ts <= t) & (F.col("next_ts_ms").isNull() | (F.col("next_ts_ms") > t))
     live = (ts > t) & (F.col("left_ms").isNull() | (ts <= F.col("left_ms")))
-    j = ver.join(v, (F.col("event_id") == F.col("_ev")) & (F.col("phase") == F.col("_phase")) & (F.col("_at") == F.col("_bucket"))
+    j = ver.join(v, (F.col("event_id") == F.col("_ev")) & (F.col("phase") == F.col("_phase")) & (F.col("_at") == F.col("_bucket")) & block
                  & F.when(F.col("phase") == 0, snap).otherwise(live), "inner")
     j = j.filter((F.col("phase") == 1) | _visible_at(F.col("subscribed_ms"), ttl_ms, sweep_ms, origin_ms, False))
     both = j.select("viewer_id", *_UPD, "subscribed_ms", "phase",

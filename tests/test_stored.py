@@ -145,6 +145,8 @@ def test_fan_out_of_a_hot_event(spark):
     plain = D.fan_out(u, v, bucket_ms=1000)
     salted = D.fan_out(u, v, bucket_ms=1000, cell_rows=200, cell_pairs=4000)
     assert _sorted(salted, "viewer_id", "seq", "subscribed_ms") == _sorted(plain, "viewer_id", "seq", "subscribed_ms")
+    stream = [_sorted(D.viewer_stream(u, v, 3000, 1000, bucket_ms=1000, number=False, cell_rows=n, cell_pairs=m), "viewer_id", "phase", "seq", "deliver_ms") for n, m in ((10**6, 10**8), (200, 4000))]
+    assert stream[0] == stream[1] and {r[1] for r in stream[0]} == {0, 1}
     cells = D._cells(u, 1000)
     hot = D.hot_cells(cells, v, 200, 4000)
     by_event = {(r._hot_ev, r._hot_bucket): r._salts for r in hot.collect()}
