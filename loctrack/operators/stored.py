@@ -111,7 +111,8 @@ class StoredSnapshot:
         now = C.upsert(old, rows) if old is not None else rows
         folder = f"data/{uuid.uuid4().hex}"
         cell = self._cell()
-        now.withColumn("_cell", cell).repartition("_cell").sortWithinPartitions("_cell", "event_id", "entity_id").write.partitionBy("_cell").parquet(f"{self.path}/{folder}")
+        # a cell's rows to few tasks, a very full cell's to more: AQE splits and merges them
+        now.withColumn("_cell", cell).hint("rebalance", "_cell").sortWithinPartitions("_cell", "event_id", "entity_id").write.partitionBy("_cell").parquet(f"{self.path}/{folder}")
         self._commit({"number": manifest["number"] + 1, "batch": batch_id, "schema": schema.json(),
                       "cells": manifest["cells"] | {str(c): f"{folder}/_cell={c}" for c in touched}})
         return len(touched)
