@@ -18,8 +18,8 @@ empty and another are not (0).  Rows that repeat an id and a text are one
 document for the order, and each of them is returned; documents that share an id
 follow each other by the hash of the text; a null id comes last.  The next of
 the only document is itself.  An empty table gives an empty result; other columns
-are not read.  A very long text costs memory in proportion to its length, about
-ten times its bytes, and time in proportion.
+are not read.  A very long text costs time and memory in proportion to its length:
+its grams and their numbers, some forty times its bytes.
 """
 
 from __future__ import annotations
