@@ -2,8 +2,9 @@
 
 ``build_index`` cuts the training rows into segments of bounded token counts and
 stores, for each segment, its terms and their position lists.  ``find_matches``
-asks the stored index for every window of the benchmark items: in each segment
-it starts from the window's rarest term, shifts the position lists by the
+asks the stored index for every window of the benchmark items: a segment's terms
+call up the windows whose two rarest words they are; for each it starts from the
+window's rarest term in the segment, shifts the position lists by the
 offsets of the terms, and intersects list after list, rarest first.  With a
 slop of 0 a match is an exact phrase; with slop s it is a proximity match, in
 which each word lies at most s words from its place in a window put somewhere.
@@ -89,14 +90,33 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 @dataclass
 class Queries:
     """The windows of a block of items: words by number, -1 behind the end; items
-    by their place in ids."""
+    by their place in ids.  Windows are found from their two rarest words among
+    all windows: ``of_word`` lists them by the rarest, from ``first`` on, and
+    ``second`` is the other."""
 
-    vocab: list[bytes]
+    number: dict[bytes, int]
     windows: np.ndarray
     lengths: np.ndarray
     items: np.ndarray
     ids: list
 
+    def __post_init__(self) -> None:
+        n, there = len(self.number), self.windows >= 0
+        often = np.append(np.bincount(self.windows[there], minlength=n), np.iinfo(np.int64).max)
+        rare = np.argsort(often[self.windows], axis=1, kind="stable")[:, :2]
+        key, self.second = (np.take_along_axis(self.windows, rare[:, k : k + 1], 1)[:, 0] for k in (0, min(1, rare.shape[1] - 1)))
+        self.second = np.where(self.second < 0, key, self.second)
+        self.of_word = np.argsort(key, kind="stable")
+        self.first = np.searchsorted(key[self.of_word], np.arange(n + 1))
+
+    def candidates(self, there: np.ndarray, present: np.ndarray) -> np.ndarray:
+        """The windows whose two rarest words a segment holds: ``there`` says it
+        for every word, ``present`` lists those held."""
+        low, high = self.first[present], self.first[present + 1]
+        n = high - low
+        rows = self.of_word[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        return np.sort(rows[there[self.second[rows]]])
+
 
 def windows_of(items: list[tuple[int | None, str | None]], size: int = WINDOW) -> Queries:
     vocab: dict[bytes, int] = {}
@@ -110,7 +130,7 @@ def windows_of(items: list[tuple[int | None, str | None]], size: int = WINDOW) -
     filled = np.full((len(seen), size), -1, np.int32)
     for i, (_, w) in enumerate(seen):
         filled[i, : len(w)] = w
-    return Queries(list(vocab), filled, (filled >= 0).sum(1), np.array([i for i, _ in seen], np.int64), list(places))
+    return Queries(vocab, filled, (filled >= 0).sum(1), np.array([i for i, _ in seen], np.int64), list(places))
 
 
 class Segment:
@@ -127,19 +147,30 @@ class Segment:
         self.keys = np.repeat(np.arange(len(self.counts)), self.counts) * self.size + self.positions
 
     def matches(self, q: Queries, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start positions and window numbers of all matches."""
-        local = np.array([self.terms.get(t, -1) for t in q.vocab], np.int64)
-        term = np.where(q.windows >= 0, local[q.windows], -2)
-        alive = np.flatnonzero(~(term == -1).any(1))
-        count = np.where(term >= 0, self.counts[term.clip(0)] if len(self.counts) else 0, np.iinfo(np.int64).max)
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        anchors = count[alive].min(1) if len(alive) else np.empty(0, np.int64)
+        """Start positions and window numbers of all matches.  The segment's words
+        are looked up among the windows', not the other way round, so the work
+        grows with the segment and the windows that its words call for."""
+        held = [(n, i) for t, i in self.terms.items() if (n := q.number.get(t)) is not None]
+        none = (np.empty(0, np.int64), np.empty(0, np.int64))
+        if not held:
+            return none
+        local = np.full(len(q.number), -1, np.int64)
+        present, own = np.array(held, np.int64).T
+        local[present] = own
+        rows = q.candidates(local >= 0, present)
+        term = np.where(q.windows[rows] >= 0, local[q.windows[rows]], -2)
+        whole = ~(term == -1).any(1)
+        rows, term = rows[whole], term[whole]
+        count = np.where(term >= 0, self.counts[term.clip(0)], np.iinfo(np.int64).max)
+        found = [none]
+        anchors = count.min(1) if len(rows) else np.empty(0, np.int64)
         cuts = np.flatnonzero(np.diff(np.cumsum(anchors) // CANDIDATES)) + 1
-        for part in np.split(alive, cuts):
-            found.append(self._intersect(q, part, term, count, slop))
+        for part in np.split(np.arange(len(rows)), cuts):
+            start, of = self._intersect(part, term, count, slop)
+            found.append((start, rows[of]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _intersect(self, q: Queries, part: np.ndarray, term: np.ndarray, count: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    def _intersect(self, part: np.ndarray, term: np.ndarray, count: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(part):
             return np.empty(0, np.int64), part
         order = np.argsort(count[part], axis=1, kind="stable")
@@ -150,7 +181,7 @@ class Segment:
         doc = np.searchsorted(self.starts, anchor, "right") - 1
         start, shift = anchor - order[row, 0], np.arange(-slop, slop + 1)
         row, doc, start = np.repeat(row, len(shift)), np.repeat(doc, len(shift)), (start[:, None] + shift).ravel()
-        for k in range(1, q.windows.shape[1]):
+        for k in range(1, term.shape[1]):
             if not len(row):
                 break
             offset = order[row, k]
