@@ -109,6 +109,14 @@ SELECT doc_id, CASE WHEN lines IS NOT NULL THEN coalesce(array_to_string(list_tr
   coalesce(len(lines), 0)::BIGINT AS lines_before, coalesce(len(lines) - len(keep), 0)::BIGINT AS lines_removed FROM k
 """
 
+#: The same with a mark before the first and behind the last line, which no line is.
+OP9_EDGE_SQL = OP9_SQL.replace(
+    "array_to_string(lines[pos + 1 : pos + 3], chr(10))", "array_to_string(marked[pos + 2 : pos + 4], chr(10))"
+).replace(
+    "(SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM d WHERE len(lines) >= 3)",
+    "(SELECT doc_id, list_concat([chr(10)], lines, [chr(10)]) AS marked, unnest(range(-1, len(lines) - 1)) AS pos FROM d WHERE lines IS NOT NULL)",
+)
+
 #: Equal payloads by the payload itself; SHA-1 in base32 by groups of five bits.
 OP8_SQL = r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
@@ -258,4 +266,4 @@ SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, (weig
 FROM o LEFT JOIN able USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_warc_zip": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_secrets": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_importance": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_warc_zip": OP8_SQL, "op9_line_dedup": OP9_SQL, "op9_edge_dedup": OP9_EDGE_SQL, "op10_secrets": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_importance": OP13_SQL}
