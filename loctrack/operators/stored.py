@@ -9,6 +9,7 @@ by the driver but one small manifest.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,9 +50,10 @@ class StoredSnapshot:
             return -1
         return max((int(f.getPath().getName()) for f in self._fs.listStatus(folder) if f.getPath().getName().isdigit()), default=-1)
 
-    def manifest(self) -> dict:
-        """{"cells": {cell: folder}, "batches": last ids, "schema": DDL or null}"""
-        n = self._last()
+    def manifest(self, number: int | None = None) -> dict:
+        """{"number", "cells": {cell: folder}, "batch": its id, "schema": JSON or null},
+        the last one or that of a number."""
+        n = self._last() if number is None else number
         if n < 0:
             return {"number": -1, "cells": {}, "batch": None, "schema": None}
         stream = self._fs.open(self._hadoop(f"{self.path}/manifest/{n:012d}"))
@@ -117,6 +119,23 @@ class StoredSnapshot:
                       "cells": manifest["cells"] | {str(c): f"{folder}/_cell={c}" for c in touched}})
         return len(touched)
 
+    def clean(self, keep: int = 2, older_ms: int = 3_600_000) -> int:
+        """Delete cells that none of the last ``keep`` manifests names, and of failed
+        batches; the number deleted.  Folders written within ``older_ms`` stay, as a
+        batch may be on its way and a reader may still hold the manifest before."""
+        last = self._last()
+        named = {f for n in range(max(0, last - keep + 1), last + 1) for f in self.manifest(n)["cells"].values()}
+        now, gone = time.time() * 1000, 0
+        data = self._hadoop(f"{self.path}/data")
+        for batch in self._fs.listStatus(data) if self._fs.exists(data) else ():
+            if now - batch.getModificationTime() < older_ms:
+                continue
+            cells = [c for c in self._fs.listStatus(batch.getPath()) if c.isDirectory()]
+            kept = [c for c in cells if f"data/{batch.getPath().getName()}/{c.getPath().getName()}" in named]
+            for c in [c.getPath() for c in cells if c not in kept] if kept else [batch.getPath()]:
+                gone += bool(self._fs.delete(c, True))
+        return gone
+
 
 # ------------------------------------------------------------------------- bucketed tables
 def write_bucketed(df: DataFrame, name: str, buckets: int, by: str = "event_id", sort: list[str] = (), path: str | None = None) -> DataFrame:

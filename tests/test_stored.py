@@ -79,6 +79,17 @@ def test_a_failed_batch_leaves_the_snapshot(spark, store, monkeypatch):
     assert _sorted(store.read()) == want
 
 
+def test_old_cells_are_cleaned(spark, store):
+    for k in range(3):
+        store.upsert(spark.createDataFrame(_rows(20 + k, 60, events=3), UPD), k)
+    want = _sorted(store.read())
+    assert store.clean() == 0  # written just now
+    assert store.clean(keep=1, older_ms=0) > 0 and _sorted(store.read()) == want
+    assert store.clean(keep=1, older_ms=0) == 0
+    store.upsert(spark.createDataFrame([("e1", "p1", 0.0, 0.0, 10**9, 10**6)], UPD), 3)
+    assert store.clean(keep=2, older_ms=0) == 0 and store.clean(keep=1, older_ms=0) == 1
+
+
 def test_empty_batches(spark, store):
     assert store.read() is None
     assert store.upsert(spark.createDataFrame([], UPD), 0) == 0
