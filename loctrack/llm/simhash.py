@@ -10,7 +10,7 @@ one of the two trees finds every pair, and there only about a quarter of the
 balls cross a border.  Inside a shard, a local tree goes on in the same way, and
 the leaves compare all 64 bits exactly.
 
-The upper tree is fitted on at most ``TREE_SAMPLE`` fingerprints; every
+The upper tree is fitted on a bounded sample that grows with the shards; every
 fingerprint is indexed and asked.  Shards that hold more than ``CELL_ROWS``
 (dense groups of near copies) are cut into cells of stored and asking parts, so
 no task gathers a group.  A cell returns spanning links, never all pairs; equal
@@ -19,7 +19,8 @@ texts share a fingerprint and meet as one row.
 Defined cases: a null or empty text has fingerprint zero and is linked like any
 other; rows that repeat a doc_id are each returned; a null doc_id takes part
 and never names a component unless all its members are null; an empty table
-gives an empty result; other columns are not read.
+gives an empty result; other columns are not read.  A very long text is held by
+one task as its words; shingles are hashed in blocks.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ from loctrack.llm.components import components
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
-#: Fingerprints on which the upper tree is fitted, at most.
-TREE_SAMPLE = 4096
+#: Fingerprints on which the upper tree is fitted: 8 for each leaf that it aims
+#: at, from the first to the second number (8 MB; enough for 4e9 fingerprints).
+TREE_SAMPLE, TREE_SAMPLE_MOST = 4096, 1 << 20
 #: Stored fingerprints of a shard that the depth of the upper tree aims at.
 SHARD_ROWS = 1 << 15
 #: Rows of a side of a cell that meet in one task.
@@ -169,7 +171,8 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Spanning links (u, v) among the distinct fingerprints of ``fps`` (fp)."""
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD_ROWS))))
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()], np.int64)
+    size = max(TREE_SAMPLE, min(TREE_SAMPLE_MOST, 8 << depth))  # some of them for each leaf
+    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64)
     trees = [VantageTree(_half(sample, h), depth) for h in (0, 1)]
     radius = bits // 2
 
