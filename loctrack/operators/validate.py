@@ -29,8 +29,10 @@ def coordinates_from_body(body) -> Column:
     body = F.col(body) if isinstance(body, str) else body
     one = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<struct<{COORDS_FIELD}>>", _JSON_OPTS)
     two = F.from_json(F.concat(F.lit('{"b":'), body, F.lit("}")), f"b struct<{COORDS_FIELD}>", _JSON_OPTS)["b"]
-    arr = F.when((F.size(one) == 1) & two.isNotNull(), F.get(one, 0)["coordinates"])
-    return F.when(F.exists(arr, lambda x: x.isNull()), F.lit(None)).otherwise(arr)
+    # lambdas name what was read, so that each parser runs once for a body
+    read = F.transform(F.array(F.struct(one.alias("one"), two.alias("two"))), lambda p: F.when(
+        (F.size(p["one"]) == 1) & p["two"].isNotNull(), F.get(p["one"], F.lit(0))["coordinates"]))
+    return F.get(F.filter(read, lambda arr: ~F.coalesce(F.exists(arr, lambda x: x.isNull()), F.lit(False))), F.lit(0))
 
 
 def body_is_json(body) -> Column:
@@ -73,17 +75,31 @@ def validate_updates(df: DataFrame, strict_json: bool = False) -> DataFrame:
                                                    F.col("coordinates"), json_ok))
 
 
+def _only(df: DataFrame, keep: Column, cols: list[str], made: dict[str, Column]) -> DataFrame:
+    """The rows of ``df`` for which ``keep`` holds, with ``cols`` and the columns ``made``.
+
+    A filter on a computed column is pushed below the projections that compute it,
+    with their expressions copied in for each mention, so a body would be parsed
+    many times.  Here the made columns leave a generator of one row or none: they
+    are computed once, and a filter on ``cols`` still passes down to the scan."""
+    one = F.array(F.struct(*(c.alias(n) for n, c in made.items())))
+    return df.select(*cols, F.inline(F.when(keep, one)))
+
+
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected).  Accepted rows become updates with longitude,
     latitude and ``ts_ms`` (arrival time); rejected rows keep their payload and
-    get status 400.  Both are filters over the same lazy plan, so a writer that
-    needs both should cache or write the validated frame once."""
+    get status 400.  Both read the same lazy plan, so a writer that needs both
+    should write the validated frame once."""
     ts = "ts_ms" if "ts_ms" in validated.columns else "received_ms"
-    accepted = validated.filter(F.col("error_code").isNull()).select(
-        "event_id", "entity_id",
-        F.get("coordinates", 0).alias("longitude"), F.get("coordinates", 1).alias("latitude"),
-        F.col(ts).alias("ts_ms"), *(["seq"] if "seq" in validated.columns else []))
-    rejected = validated.filter(F.col("error_code").isNotNull()).withColumn("status", F.lit(400))
+    seq = ["seq"] if "seq" in validated.columns else []
+    code = F.col("error_code")
+    point = {"longitude": F.get("coordinates", 0), "latitude": F.get("coordinates", 1)}
+    accepted = _only(validated, code.isNull(), ["event_id", "entity_id", ts, *seq], point).select(
+        "event_id", "entity_id", "longitude", "latitude", F.col(ts).alias("ts_ms"), *seq)
+    rest = [c for c in validated.columns if c != "error_code"]
+    rejected = _only(validated, code.isNotNull(), rest, {"error_code": code, "status": F.lit(400)}) \
+        .select(*validated.columns, "status")
     return accepted, rejected
 
 
@@ -131,5 +147,6 @@ def for_events_text(df: DataFrame, ids_text: Column, col: str = "event_id") -> D
 def rejection_summary(validated: DataFrame, by_event: bool = False) -> DataFrame:
     """Rejected count per error code (and event).  Partial aggregation."""
     keys = ["error_code"] + (["event_id"] if by_event else [])
-    return validated.filter(F.col("error_code").isNotNull()).groupBy(*keys) \
+    code = F.col("error_code")
+    return _only(validated, code.isNotNull(), keys[1:], {"error_code": code}).groupBy(*keys) \
         .agg(F.count(F.lit(1)).alias("n"))

@@ -15,7 +15,7 @@ VALID = ["550e8400-e29b-41d4-a716-446655440000", "6ba7b810-9dad-11d1-80b4-00c04f
          "00000000-0000-0000-0000-000000000000", "550E8400-E29B-41D4-A716-446655440000",
          "1-1-1-1-1", "+1-2-3-4-5", "0000000000000000000001-0-0-0-0", "7fffffffffffffff-0-0-0-0"]
 INVALID = ["invalid-uuid", "550e8400-e29b-41d4-a716", "550e8400-e29b-41d4-a716-446655440000-extra",
-           "550e8400e29b41d4a716446655440000", "", "not-a-uuid-at-all", " " + E, E + " ",
+           "550e8400e29b41d4a716446655440000", "", "not-a-uuid-at-all", " " + E, E + " ", E + "\n",
            "8000000000000000-0-0-0-0", "1-1-1--1", "g-1-1-1-1", None]
 
 
