@@ -66,7 +66,8 @@ def split_hot_chunks(df: DataFrame, keys: list[str], order: list[str], chunk: Co
     holding more than ``max_rows`` rows, a sub-chunk between quantile borders of
     the whole ``order`` tuple (about 4 sub-chunks per ``max_rows`` rows).
 
-    One pass with partial aggregation counts the rows of each cell and samples
+    One pass counts the rows of each cell (a partial hash aggregation of numbers
+    alone, nothing is sorted); where there are hot cells, a second one samples their
     places by a hash of the order tuple, so the borders are the same whenever
     they are computed.  Rows that share a time are cut by the other order
     columns; only rows equal in all of them stay together.  Hot cells are at
@@ -78,9 +79,14 @@ def split_hot_chunks(df: DataFrame, keys: list[str], order: list[str], chunk: Co
     if not max_rows:
         return base.withColumnRenamed("_chunk0", "_chunk")
     place = F.struct(*[F.col(c) for c in order])
-    sampled = F.when(F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(max(1, max_rows // _SAMPLES))) == 0, place)
-    hot = base.groupBy(*keys, "_chunk0").agg(F.count(F.lit(1)).alias("_n"), F.collect_list(sampled).alias("_s")) \
-        .filter(F.col("_n") > F.lit(max_rows)) \
+    full = base.groupBy(*keys, "_chunk0").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > F.lit(max_rows)) \
+        .select(*[F.col(k).alias(f"_fk{i}") for i, k in enumerate(keys)], F.col("_chunk0").alias("_fc"))
+    in_full = F.col("_chunk0") == F.col("_fc")
+    for i, k in enumerate(keys):
+        in_full = in_full & F.col(k).eqNullSafe(F.col(f"_fk{i}"))
+    sampled = base.filter(F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(max(1, max_rows // _SAMPLES))) == 0) \
+        .join(F.broadcast(full), in_full)
+    hot = sampled.groupBy(*keys, "_chunk0").agg(F.collect_list(place).alias("_s")) \
         .select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], F.col("_chunk0").alias("_hc"),
                 _grouped(F.filter(F.array_sort("_s"), lambda _, i: i % 4 == 3)).alias("_borders"))
     cond = F.col("_chunk0") == F.col("_hc")
