@@ -142,9 +142,15 @@ def _updates(spark, d):
     return ST.updates(spark, d)
 
 
+def _updates_once(spark, d):
+    """The updates as a written table, for operators that read them in several
+    branches: bodies and ids are decoded once."""
+    return cut(_updates(spark, d), "updates")
+
+
 def _stream(spark, d, viewers=None, number=True):
     from loctrack.operators import joins as D
-    return D.viewer_stream(_updates(spark, d), viewers if viewers is not None else ST.viewers(spark, d),
+    return D.viewer_stream(_updates_once(spark, d), viewers if viewers is not None else ST.viewers(spark, d),
                            LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS, number=number)
 
 
@@ -250,12 +256,12 @@ def q_sweep_summary(spark, d):
 SELECT removed_at_ms AS sweep_ms, count(*) AS n_removed FROM versions
 WHERE removed_at_ms IS NOT NULL GROUP BY removed_at_ms""")
 def q_removal_log(spark, d):
-    return C.removal_log(_updates(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+    return C.removal_log(_updates_once(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
 
 
 @query("event_presence", W("updates", extra=[VERSIONS, PRESENCE]) + "SELECT * FROM presence")
 def q_event_presence(spark, d):
-    return C.event_presence(_updates(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+    return C.event_presence(_updates_once(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
 
 
 # A short ttl, so that an event is empty between its updates.
@@ -265,7 +271,7 @@ _RS_GAP = f"{ORIGIN_MS} + greatest({Q.ceil_div(f'ts_ms + {_GAP_TTL_MS} - {ORIGIN
 
 @query("event_presence_gaps", W("updates", extra=[("versions", VERSIONS[1].replace(_RS, _RS_GAP)), PRESENCE]) + "SELECT * FROM presence")
 def q_event_presence_gaps(spark, d):
-    return C.event_presence(_updates(spark, d), _GAP_TTL_MS, _GAP_SWEEP_MS, ORIGIN_MS)
+    return C.event_presence(_updates_once(spark, d), _GAP_TTL_MS, _GAP_SWEEP_MS, ORIGIN_MS)
 
 
 def _sessions_sql(removal) -> str:
@@ -317,12 +323,12 @@ from loctrack.operators import joins as D  # noqa: E402
 
 @query("fan_out", W("updates", "viewers", extra=[FANOUT]) + "SELECT * FROM fanout")
 def q_fan_out(spark, d):
-    return D.fan_out(_updates(spark, d), ST.viewers(spark, d))
+    return D.fan_out(_updates_once(spark, d), ST.viewers(spark, d))
 
 
 @query("snapshot_for_viewers", W("updates", "viewers", extra=[VERSIONS, SNAPVIEW]) + "SELECT * FROM snapview")
 def q_snapshot_for_viewers(spark, d):
-    return D.snapshot_for_viewers(_updates(spark, d), ST.viewers(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
+    return D.snapshot_for_viewers(_updates_once(spark, d), ST.viewers(spark, d), LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS)
 
 
 @query("viewer_stream", W(*_STREAM_VIEWS, extra=_STREAM_EXTRA) + "SELECT * FROM stream")
@@ -605,7 +611,7 @@ SELECT t_ms,
   CAST(sum(dv) OVER (ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open_viewers
 FROM (SELECT t_ms, sum(de) AS de, sum(dn) AS dn, sum(dv) AS dv FROM deltas GROUP BY t_ms)""")
 def q_active_gauges(spark, d):
-    u = _updates(spark, d)
+    u = _updates_once(spark, d)
     points = cut(C.lifetime_points(u, LOC_TTL_MS, LOC_SWEEP_MS, ORIGIN_MS), "points")
     return G.active_gauges(C.presence_points(points), points, ST.viewers(spark, d), LOC_SWEEP_MS, ORIGIN_MS)
 
