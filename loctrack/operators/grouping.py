@@ -18,17 +18,20 @@ These functions are composed in a two-level tree: ``chunk_rows`` chunks form a
 block, and the blocks of one key are resolved in order in one small group
 (a key of 10^12 rows at 65,536 rows per chunk has 233 blocks).  The resolved
 entry states flow back down -- block to chunk to row -- through co-grouped
-passes on the same hash partitioning, so the rows themselves shuffle once for
-the chunk pass (plus the numbering, see ``sequence_features``) and every
-Python group holds at most ``chunk_rows + size - 1`` rows or ``chunk_rows``
-chunk summaries.
+passes on the same hash partitioning.  Every Python group holds at most
+``chunk_rows + size - 1`` rows or ``chunk_rows`` chunk summaries.
+
+Only keys, places and times go through Python, and only the rows that open a
+group come back.  The rows themselves, packed, shuffle once by chunk (plus the
+numbering, see ``sequence_features``) and take the last opening at or before
+their place in a window over the chunk.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,10 +141,12 @@ def group_within(rows: DataFrame, key, size: int, interval_ms: int, ts: str = "t
         rn = F.col("_rn") - F.lit(1)
     else:
         numbered, rn = rows, F.col(position).cast("long") - F.lit(1)
-    own = numbered.select(*cols, floor_div(rn, ch).alias("_c"), (rn % F.lit(ch)).alias("_i"))
-    halo = own.filter((F.col("_i") < F.lit(size - 1)) & (F.col("_c") > 0)) \
-        .select(*cols, (F.col("_c") - 1).alias("_c"), (F.col("_i") + F.lit(ch)).alias("_i"))
-    pts = own.unionByName(halo)
+    own = numbered.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), *keys, F.col(ts).cast("long").alias("_t"),
+                          floor_div(rn, ch).alias("_c"), (rn % F.lit(ch)).alias("_i"))
+    times = own.drop("_row")
+    halo = times.filter((F.col("_i") < F.lit(size - 1)) & (F.col("_c") > 0)) \
+        .withColumn("_c", F.col("_c") - 1).withColumn("_i", F.col("_i") + F.lit(ch))
+    pts = times.unionByName(halo)
     by_chunk = pts.groupBy(*keys, "_c")
 
     fn_schema = T.StructType([*kfields, T.StructField("_c", T.LongType()), T.StructField("_b", T.LongType()),
@@ -149,7 +154,7 @@ def group_within(rows: DataFrame, key, size: int, interval_ms: int, ts: str = "t
 
     def level0(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
-        t = pdf[ts].to_numpy(dtype=np.int64)
+        t = pdf["_t"].to_numpy(dtype=np.int64)
         n_own = int((pdf["_i"] < ch).sum())
         ex, cn, lo = chunk_function(t, n_own, size, interval_ms)
         c = int(pdf["_c"].iloc[0])
@@ -198,24 +203,25 @@ def group_within(rows: DataFrame, key, size: int, interval_ms: int, ts: str = "t
 
     chunk_states = blocks_in.cogroup(blk_states.groupBy(*keys, "_b")).applyInPandas(down, chunk_state_schema)
 
-    out_schema = T.StructType([*rows.schema.fields, T.StructField("group_no", T.LongType()),
-                               T.StructField("group_open_ms", T.LongType())])
+    opening = T.StructType([T.StructField("group_no", T.LongType()), T.StructField("group_open_ms", T.LongType())])
+    mark_schema = T.StructType([*kfields, T.StructField("_c", T.LongType()), T.StructField("_i", T.LongType()), *opening.fields])
 
-    def assign(pdf: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:   # rows of one chunk
+    def openings(pdf: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:   # rows of one chunk
         if pdf.empty:
-            return pd.DataFrame({c.name: [] for c in out_schema.fields})
+            return pd.DataFrame({c.name: [] for c in mark_schema.fields})
         pdf = pdf.sort_values("_i")
-        t = pdf[ts].to_numpy(dtype=np.int64)
+        t = pdf["_t"].to_numpy(dtype=np.int64)
         n_own = int((pdf["_i"] < ch).sum())
         s0 = st.iloc[0]
         e, before, carry = int(s0["_e"]), int(s0["_before"]), int(s0["_carry"])
-        nxt = next_open(t, n_own, size, interval_ms)
-        start = opening_rows(nxt, e, size)
-        ordinal = np.cumsum(start)
-        last_start = np.maximum.accumulate(np.where(start, np.arange(n_own), -1))
-        res = pdf.iloc[:n_own][cols].copy()
-        res["group_no"] = before + ordinal - 1
-        res["group_open_ms"] = np.where(last_start >= 0, t[np.maximum(last_start, 0)], carry)
-        return res
-
-    return by_chunk.cogroup(chunk_states.groupBy(*keys, "_c")).applyInPandas(assign, out_schema)
+        at = np.flatnonzero(opening_rows(next_open(t, n_own, size, interval_ms), e, size))
+        # the group that an earlier chunk opened stands before the first row
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "_c": int(pdf["_c"].iloc[0]), "_i": np.concatenate([[-1], at]),
+                             "group_no": before - 1 + np.arange(len(at) + 1), "group_open_ms": np.concatenate([[carry], t[at]])})
+
+    marks = by_chunk.cogroup(chunk_states.groupBy(*keys, "_c")).applyInPandas(openings, mark_schema)
+    both = own.select("_row", *keys, "_c", "_i", F.lit(None).cast(opening).alias("_g")).unionByName(
+        marks.select(F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), *keys, "_c", "_i", F.struct("group_no", "group_open_ms").alias("_g")))
+    w = Window.partitionBy(*keys, "_c").orderBy("_i", F.col("_g").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = both.withColumn("_open", F.last("_g", ignorenulls=True).over(w)).filter(F.col("_row").isNotNull())
+    return filled.select(*[F.col(f"_row.`{c}`").alias(c) for c in cols], "_open.group_no", "_open.group_open_ms")
