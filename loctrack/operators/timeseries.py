@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loctrack import schemas as S
 from loctrack.functions import floor_div
 from loctrack.operators.sequence import Running, running_flag_count, sequence_features
+from loctrack.session import cut
 
 # Block marker and field patterns of the heap summary text.
 BLOCK_START = "jdk.GCHeapSummary"
@@ -18,6 +19,9 @@ HEAP_USED_RE = r"heapUsed = ([\d.]+)\s*([A-Z]+)?"
 CLOCK_RE = r"^(\d{1,2}):(\d{1,2}):(\d{1,2})\.(\d{1,6})$"
 ISO_RE = r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})\.(\d{1,6})Z$"
 DAY_S = 86_400
+# Rows of recordings that a task sorts, and lines of a chunk: some chunks a task, so that tasks come out alike.
+TASK_ROWS = 200_000
+CHUNK_LINES = 50_000
 
 
 def heap_samples(lines: DataFrame, key: str = "recording", line_no: str = "line_no") -> DataFrame:
@@ -28,40 +32,53 @@ def heap_samples(lines: DataFrame, key: str = "recording", line_no: str = "line_
     startTime / heapUsed match of a block wins; heapUsed is scaled by its unit
     (MB, GB x 1024, KB / 1024, otherwise bytes).  A block needs both fields; an
     unclosed final block is dropped.  Windows are per block, so no window
-    spans a whole recording."""
+    spans a whole recording.
+
+    Lines without a marker, field name or brace decide nothing and stay out.  One
+    pass counts the others and the markers of each chunk of ``CHUNK_LINES`` line
+    numbers; the next one deals each line to the chunk in which its block begins
+    (these small rows, one per chunk, are broadcast) and only then to tasks of
+    about ``TASK_ROWS`` rows.  So lines shuffle once, without their recording's
+    name, and more lines mean more tasks and not larger ones."""
     s = F.trim(F.col("line"))
-    start = s.startswith(BLOCK_START)
-    # block numbers: running count of marker lines, chunked by consecutive line
-    # numbers: at most 100,000 rows per chunk by construction (no hot cells)
-    b = sequence_features(lines.withColumn("_start", start.cast("long")), [key], [line_no],
-                          floor_div(line_no, 100_000), max_chunk_rows=None,
-                          running={"_block": Running(F.col("_start"), "sum")})
-    b = b.filter(F.col("_block") > 0)
-    delta = (F.length(s) - F.length(F.regexp_replace(s, r"\{", ""))) \
-        - (F.length(s) - F.length(F.regexp_replace(s, r"\}", "")))
-    t = F.when(s.contains("startTime"), F.nullif(F.trim(F.regexp_extract(s, START_TIME_RE, 1)), F.lit("")))
-    hv = F.when(s.contains("heapUsed") & s.rlike(HEAP_USED_RE),
-                F.regexp_extract(s, HEAP_USED_RE, 1).cast("double"))
-    unit = F.regexp_extract(s, HEAP_USED_RE, 2)
-    mb = F.when(unit == "MB", hv).when(unit == "GB", hv * 1024).when(unit == "KB", hv / 1024) \
+    start, timed, used = s.startswith(BLOCK_START), s.contains("startTime"), s.contains("heapUsed")
+    delta = F.length(F.replace(s, F.lit("}"), F.lit(""))) - F.length(F.replace(s, F.lit("{"), F.lit("")))
+    t = F.when(timed, F.nullif(F.trim(F.regexp_extract(s, START_TIME_RE, 1)), F.lit("")))
+    number, unit = (F.when(used, F.nullif(F.regexp_extract(s, HEAP_USED_RE, i), F.lit(""))) for i in (1, 2))
+    lines = lines.filter(start | timed | used | s.contains("{") | s.contains("}")).withColumn("_lines", floor_div(line_no, CHUNK_LINES))
+    # written, so that the ids of chunks are settled
+    chunks = cut(lines.groupBy(key, "_lines").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if(start).alias("_n"), F.min(F.when(start, F.col(line_no))).alias("_first"))
+        .withColumn("_id", F.monotonically_increasing_id()), "heap_chunks")
+    n_tasks = (chunks.agg(F.sum("_rows")).first()[0] or 0) // TASK_ROWS + 1
+    w_key = Window.partitionBy(key)
+    before = w_key.orderBy("_lines").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_open", F.last(F.when(F.col("_n") > 0, F.col("_id")), ignorenulls=True).over(before)) \
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_last_block", F.sum("_n").over(w_key))
+    own = F.when(F.col(line_no) >= F.col("_first"), F.col("_id")).otherwise(F.col("_open"))
+    b = lines.join(F.broadcast(chunks.select(key, "_lines", "_first", "_id", "_open")), [key, "_lines"]) \
+        .select(own.alias("_own"), line_no, start.cast("long").alias("_start"), t.alias("_t"), number.alias("_number"), unit.alias("_unit"), delta.alias("_d")) \
+        .filter(F.col("_own").isNotNull()).repartition(n_tasks, "_own")
+    in_chunk = Window.partitionBy("_own").orderBy(line_no).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hv = F.col("_number").cast("double")
+    mb = F.when(F.col("_unit") == "MB", hv).when(F.col("_unit") == "GB", hv * 1024).when(F.col("_unit") == "KB", hv / 1024) \
         .otherwise(hv / (1024 * 1024))
-    b = b.withColumn("_t", t).withColumn("_mb", mb).withColumn("_d", delta)
-    w_blk = Window.partitionBy(key, "_block").orderBy(line_no)
+    b = b.select("_own", line_no, "_t", mb.alias("_mb"), "_d", F.sum("_start").over(in_chunk).alias("_nth"))
+    w_blk = Window.partitionBy("_own", "_nth").orderBy(line_no)
     upto = w_blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = b.withColumn("_depth", F.sum("_d").over(upto)) \
         .withColumn("_seen", F.max((F.col("_t").isNotNull() | F.col("_mb").isNotNull()).cast("int")).over(upto))
     closing = (F.col("_depth") == 0) & (F.col("_seen") == 1)
-    b = b.withColumn("_end", F.min(F.when(closing, F.col(line_no))).over(Window.partitionBy(key, "_block")))
+    b = b.withColumn("_end", F.min(F.when(closing, F.col(line_no))).over(Window.partitionBy("_own", "_nth")))
     inside = b.filter(F.col("_end").isNull() | (F.col(line_no) <= F.col("_end")))
-    blk = inside.groupBy(key, "_block").agg(
+    blk = inside.groupBy("_own", "_nth").agg(
         F.max_by("_t", F.when(F.col("_t").isNotNull(), F.col(line_no))).alias("time_str"),
         F.max_by("_mb", F.when(F.col("_mb").isNotNull(), F.col(line_no))).alias("heap_mb"),
         F.max("_end").alias("_end"))
-    last = blk.groupBy(key).agg(F.max("_block").alias("_last_block"))
-    blk = blk.join(last, key)
-    keep = F.col("time_str").isNotNull() & F.col("heap_mb").isNotNull() \
-        & (F.col("_end").isNotNull() | (F.col("_block") < F.col("_last_block")))
-    return blk.filter(keep).select(key, F.col("_block").alias("sample_no"), "time_str", "heap_mb")
+    blk = blk.join(F.broadcast(chunks.select(key, F.col("_id").alias("_own"), "_before", "_last_block")), "_own")
+    number_in = F.col("_before") + F.col("_nth")
+    keep = F.col("time_str").isNotNull() & F.col("heap_mb").isNotNull() & (F.col("_end").isNotNull() | (number_in < F.col("_last_block")))
+    return blk.filter(keep).select(key, number_in.alias("sample_no"), "time_str", "heap_mb")
 
 
 def _clock_seconds(t: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loctrack import schemas as S
 from loctrack.functions import join_ids, ms_text, rfc3339_text, split_ids
-from loctrack.operators.sequence import Running, sequence_features
 
 
 def _read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -73,14 +72,18 @@ def write_delivery_metrics(df: DataFrame, path: str, mode: str = "overwrite") ->
 def _numbered_lines(spark: SparkSession, path: str, source: str) -> DataFrame:
     """(source, line_no, line) of text files, numbered from 0 within each file.
 
-    Files are read in splits; a line's place is its split's first byte and its
-    order in the split.  Lines are counted per split, and the counts of a file's
-    earlier splits are added (one row per split), so no task holds a file."""
+    Files are read in splits; a scan deals a split's lines consecutive row ids, so
+    a line's place in its split is its id less the split's first id.  The lines of
+    a file's earlier splits are added from a count of each split (one row per
+    split, broadcast).  Both scans read the same listing in the same splits.
+    Lines are neither sorted nor dealt out anew, so a task holds none of them."""
     t = spark.read.text(path).select(F.col("_metadata.file_path").alias(source), F.col("_metadata.file_block_start").alias("_at"),
                                      F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
-    n = sequence_features(t, [source], ["_at", "_row"], F.col("_at"), max_chunk_rows=None,
-                          running={"line_no": Running(F.lit(1).cast("long"), "sum", inclusive=False)})
-    return n.select(source, F.col("line_no").cast("long").alias("line_no"), "line")
+    earlier = Window.partitionBy(source).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    per = t.groupBy(source, "_at").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")) \
+        .select(source, "_at", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return t.join(F.broadcast(per), [source, "_at"]) \
+        .select(source, (F.col("_row") + F.col("_shift")).cast("long").alias("line_no"), "line")
 
 
 def read_heap_recordings(spark: SparkSession, path: str) -> DataFrame:
